@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from stratum.plans import file_queries, graph_queries, search_queries
+
+MODULES = [search_queries, file_queries, graph_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
