@@ -25,10 +25,10 @@ class Params:
     """order: longest n-gram. add: what each word's count gets more in unigrams. prior: for orders 2 and up, the
     weight in tokens of the shorter context's estimate. chunk_chars: text of one chunk of documents."""
 
-    order: int = 3
+    order: int = 2
     add: float = 0.5
     prior: tuple[float, ...] = (2000.0, 10.0)
-    chunk_chars: int = 8_000_000
+    chunk_chars: int = 6_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
