@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratum import schemas
 
@@ -37,8 +38,10 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], TABLES[name])
-        df = self.spark.read.parquet(self.path(name))
-        return df.drop("bucket") if "bucket" in df.columns else df
+        schema = TABLES[name]
+        if name == "code_files":
+            return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path(name)).drop("bucket")
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.hash("file_path"), F.lit(self.buckets)))
