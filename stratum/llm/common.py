@@ -28,6 +28,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return renamed.select(*(F.col(f"c{i}").cast(kind).alias(name) for i, name, kind in places))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The same columns in the same order, those of documents by their names and any other by its place, so that
+    names which occur twice or differ in case only don't clash. ``toDF`` of the old names undoes it."""
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    first = {docs.columns.index(n) for n in own if n in docs.columns}
+    return docs.toDF(*(n if i in first else f"_column{i}" for i, n in enumerate(docs.columns)))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of documents, a null text as the empty one."""
     return pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))

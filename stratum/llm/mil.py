@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import fold, pick, small_batches, texts
+from stratum.llm.common import fold, pick, small_batches, texts, told_apart
 
 #: Classes of bytes, in the order of the shares that a passage's encoding starts with.
 CLASSES = [
@@ -194,6 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: Params | None = None)
     p = params or Params()
     small_batches(docs.sparkSession)
     model = learn(docs, labels, p)
+    names, docs = docs.columns, told_apart(docs)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: Params | None = None)
                 y, _ = model.forward(np.concatenate(bags).astype(np.float64), np.cumsum([0, *map(len, bags[:-1])]))
                 yield b.filter(pa.array(y >= p.threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)

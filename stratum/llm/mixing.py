@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.common import told_apart
+
 #: Hexadecimal digits of a hash that make a number of 52 bits, which a double holds exactly.
 DIGITS = 13
 
@@ -50,7 +52,7 @@ def rates(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def mix(docs: DataFrame, params: Params | None = None, columns: list[str] | None = None) -> DataFrame:
-    """The documents, each as often as drawn, in a global random order: the given columns and copy, rate, place.
+    """The documents, each as often as drawn, in a global random order: the given columns and rate, copy, place.
 
     A document's count is the Poisson quantile, at its source's rate, of a number hashed from seed and doc_id;
     so a rerun draws the same, and rows that repeat a doc_id are drawn alike. Rows are dealt by ranges of
@@ -58,21 +60,25 @@ def mix(docs: DataFrame, params: Params | None = None, columns: list[str] | None
     is counted with partial sums, and its rate comes by a join that has one row for each source.
 
     Null sources are a source of their own, weighted as ""; a null doc_id hashes as ""; null texts stay. A rate
-    is at most ``most``, so a count over ``largest`` has no weight worth mentioning. Further columns whose names
-    clash are dropped unless asked for. An empty table gives an empty table.
+    is at most ``most``, so a count over ``largest`` has no weight worth mentioning. Further columns stay, whatever
+    their names. An empty table gives an empty table.
     """
     p = params or Params()
     if p.most > p.largest / 4:
         raise ValueError("largest must be four times the highest rate at least")
-    columns = columns or [c for c in docs.columns if c not in ("copy", "rate", "place")]
-    docs = docs.select(*columns)
+    names = docs.columns
+    docs = told_apart(docs)
+    if columns:
+        docs = docs.select(*columns)
+        names = columns
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     table = rates(docs, p).select(F.col("source").alias("of"), "rate")
     joined = docs.join(table, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     count = poisson(uniform(key, f"{p.seed}:n:"), F.col("rate"), p.largest)
     copies = joined.withColumn("count", count).where("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count")))).drop("count")
     place = uniform(F.concat(key, F.lit(":"), F.col("copy").cast("string")), f"{p.seed}:o:")
-    return copies.withColumn("place", place).repartition(F.expr("floor(place * 4096)").cast("int")).sortWithinPartitions("place", "doc_id", "copy")
+    out = copies.withColumn("place", place).repartition(F.expr("floor(place * 4096)").cast("int")).sortWithinPartitions("place", "doc_id", "copy")
+    return out.select(*docs.columns, "rate", "copy", "place").toDF(*names, "rate", "copy", "place")
 
 
 def oracle(p: Params | None = None) -> str:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Cut, small_batches, texts
+from stratum.llm.common import Cut, small_batches, texts, told_apart
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -224,6 +224,7 @@ def redact(docs: DataFrame, params: Params | None = None) -> DataFrame:
     more = F.filter("found", lambda x: x.kind == "other")
     spans = cut.write(found.where(F.exists("found", lambda x: x.kind == "other")).select(F.col("doc_id").alias("of"), "digest", more.alias("more")).dropDuplicates(["of", "digest"]), "spans")
     count = spans.count()
+    names, docs = docs.columns, told_apart(docs)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,4 +247,4 @@ def redact(docs: DataFrame, params: Params | None = None) -> DataFrame:
     if count:
         by_doc = spans.groupBy("of").agg(F.collect_list(F.struct("digest", "more")).alias("added_by_digest"))
         docs = docs.join(F.broadcast(by_doc) if count <= p.broadcast_rows else by_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
