@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as drawn, in a global random order."""
-    return mixing.mix(docs, MIX).select(*docs.columns)
+    return mixing.mix(docs, MIX).drop("rate", "copy", "place")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
