@@ -44,11 +44,11 @@ def rates(docs: DataFrame, p: Params) -> DataFrame:
     known = F.create_map(*(F.lit(x) for pair in sorted(p.weights.items()) for x in pair)) if p.weights else F.create_map().cast("map<string,double>")
     weight = known[F.coalesce("source", F.lit(""))].cast("double")
     sizes = sizes.withColumn("weight", weight)
-    whole = sizes.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("weight").isNull(), F.col("n"))).alias("rest"), F.sum("weight").alias("given"), F.max(F.col("weight").isNull()).alias("others"))
-    share = F.coalesce(F.col("weight"), F.lit(p.other) * F.col("n") / F.col("rest"))
-    scale = F.coalesce("given", F.lit(0.0)) + F.when(F.col("others"), p.other).otherwise(0.0)
-    # one row of totals joins the sources
-    return sizes.join(F.broadcast(whole)).select("source", "n", F.least(F.lit(p.most), share / scale * F.col("rows") * p.total / F.col("n")).alias("rate"))
+    # one row of totals comes to the driver
+    whole = sizes.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("weight").isNull(), F.col("n"))).alias("rest"), F.sum("weight").alias("given")).first()
+    share = F.coalesce(F.col("weight"), F.lit(p.other) * F.col("n") / F.lit(whole.rest))
+    scale = (whole.given or 0.0) + (0.0 if whole.rest is None else p.other)
+    return sizes.select("source", "n", F.least(F.lit(p.most), share / F.lit(scale) * F.lit(whole.rows) * p.total / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, params: Params | None = None, columns: list[str] | None = None) -> DataFrame:
