@@ -40,10 +40,10 @@ class Band:
 
 #: By language where the language is known, else by script, else "other".
 BANDS = {
-    "en": Band(chars_per_token=(1.6, 8.0), byte_share=0.05),
-    "de": Band(chars_per_token=(1.4, 8.0), byte_share=0.05),
-    "fr": Band(chars_per_token=(1.3, 8.0), byte_share=0.05),
-    "es": Band(chars_per_token=(1.3, 8.0), byte_share=0.05),
+    "en": Band(evenness=0.6, chars_per_token=(1.6, 8.0), byte_share=0.05),
+    "de": Band(evenness=0.6, chars_per_token=(1.4, 8.0), byte_share=0.05),
+    "fr": Band(evenness=0.6, chars_per_token=(1.3, 8.0), byte_share=0.05),
+    "es": Band(evenness=0.6, chars_per_token=(1.3, 8.0), byte_share=0.05),
     "latin": Band(),
     "greek": Band(chars_per_token=(0.4, 6.0)),
     "cyrillic": Band(chars_per_token=(0.4, 6.0)),
