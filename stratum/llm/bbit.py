@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Cut, parts, small_batches, texts
+from stratum.llm.common import Cut, parts, small_batches, texts, told_apart
 from stratum.llm.components import components
 
 
@@ -19,8 +19,8 @@ from stratum.llm.components import components
 class Params:
     """words of a shingle; percent: least similarity of a link. bands of rows minima each give candidates. bits
     of each minimum stay in a signature. margin: standard errors by which an estimate may lie below the threshold
-    and still be confirmed. bucket: members of a candidate bucket up to which pairs are made in one go; larger
-    ones give stars first. block: members of a bucket that one task holds; see near_duplicates."""
+    and still be confirmed. bucket: members up to which buckets with the same members in several bands are told.
+    block: members of a bucket that one task holds; see near_duplicates."""
 
     words: int = 5
     percent: int = 85
@@ -115,52 +115,64 @@ def least_estimate(p: Params) -> float:
     return j - p.margin * (j * (1 - j) / p.minima) ** 0.5
 
 
-def alike(p: Params, first: bool):
-    """(a, b) of the members of a bucket that look alike and have different labels, for rows (key, part, id,
-    label, signature) in order of key and part.
+def linked(p: Params):
+    """(a, b) of links that join a bucket's members, for rows (key, part, band, id, label, signature, keys, hashes)
+    in order of key and part.
 
-    In the first round a large bucket is covered by stars: a centre is paired with all that look like it, and
-    these leave; then the next centre. So it gives fewer pairs than it has members. A small bucket, and any
-    bucket of a later round, gives all pairs of different labels; members of its most common label then meet
-    only the few others.
+    A member meets those of other components that share no lower band with it, so a pair meets once over all
+    bands, and whose estimate isn't clearly below the threshold. Their whole sets are compared at once by the
+    bucket's own index from shingles to members. A link joins components, and members of one component need no
+    further comparison; so at most as many links as members leave a bucket, however many pairs are alike.
     """
     least = least_estimate(p)
 
-    def bucket(ids: np.ndarray, labels: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        order = np.argsort(ids, kind="stable")
-        ids, labels, sig = ids[order], labels[order], sig[order]
-        names, counts = np.unique(labels, return_counts=True)
+    def bucket(band: int, ids: np.ndarray, labels: list[int], sig: np.ndarray, keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        n, out = len(ids), []
+        names, root = np.unique(np.array(labels), return_inverse=True)
         if len(names) == 1:
             return out
-        if not first or len(ids) <= p.bucket:
-            common = names[counts.argmax()]
-            for i in np.flatnonzero(labels != common):
-                other = np.flatnonzero((labels != labels[i]) & ((labels == common) | (ids > ids[i])))
-                near = other[estimates(sig[i], sig[other], p) >= least]
-                out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in near]
-            return out
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            centre, left = left[0], left[1:]
-            near = estimates(sig[centre], sig[left], p) >= least
-            out += [(int(ids[centre]), int(ids[j])) for j in left[near]]
-            left = left[~near]
+        sizes = np.array([len(x) for x in sets])
+        starts = order = None
+        for i in range(n):
+            other = np.flatnonzero(root != root[i])
+            other = other[other > i] if len(other) else other
+            if not len(other):
+                continue
+            other = other[estimates(sig[i], sig[other], p) >= least]
+            other = other[(keys[other] == keys[i]).argmax(1) == band] if len(other) else other
+            if not len(other):
+                continue
+            if len(other) <= 16:
+                shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in other])
+            else:
+                if order is None:
+                    flat = np.concatenate(sets)
+                    of = np.repeat(np.arange(n), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    flat, of = flat[order], of[order]
+                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                shared = np.bincount(np.concatenate([of[a:b] for a, b in zip(low, high)]), minlength=n)[other]
+            good = other[100 * shared >= p.percent * (sizes[i] + sizes[other] - shared)]
+            for j in good:
+                if root[i] != root[j]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    root[root == root[j]] = root[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, labels, sigs = zip(*held) if held else ((), (), ())
-            if len(ids) > 1:
-                pairs = bucket(np.array(ids), np.array(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1))
-                for i in range(0, len(pairs), 50_000):
-                    a, b = zip(*pairs[i : i + 50_000])
+            if len(held) > 1:
+                held.sort(key=lambda r: r[1])
+                bands, ids, labels, sigs, keys, sets = zip(*held)
+                pairs = bucket(bands[0], np.array(ids), list(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), np.array(keys), [np.frombuffer(x, np.uint64) for x in sets])
+                if pairs:
+                    a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for key, part, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, part, *row in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if (key, part) != at:
                     yield from flush()
                     at, held = (key, part), []
@@ -170,20 +182,22 @@ def alike(p: Params, first: bool):
     return run
 
 
-def dealt(rows: DataFrame, p: Params, first: bool) -> DataFrame:
-    """key, part, id, label of the buckets that have different labels still.
+def buckets_of(classes: DataFrame, p: Params, cut: Cut) -> DataFrame:
+    """key, band, id, size of the bands' buckets with two members at least. Of small buckets that have the very
+    same members in several bands only the one of the lowest band is kept."""
+    keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    every = cut.write(keyed.join(shared, "key"), "keyed")
+    lists = every.where(F.col("size") <= p.bucket).groupBy("key", "band", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    once = lists.groupBy("ids").agg(F.min(F.struct("band", "key", "size")).alias("b")).select("b.key", "b.band", F.explode("ids").alias("id"), "b.size")
+    return cut.write(every.where(F.col("size") > p.bucket).select("key", "band", "id", "size").unionByName(once), "buckets")
 
-    A bucket of over ``block`` members is dealt into parts. In the first round its smallest member goes to all
-    parts, as a centre for each. Later, members of its most common label stay in their part, and all the others,
-    few by then, go to every part; so each pair of different labels meets somewhere.
-    """
-    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    about = by_label.groupBy("key").agg(F.sum("n").alias("size"), F.min("least").alias("least"), F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).where("labels > 1")
+
+def dealt(rows: DataFrame, p: Params, roams: Column) -> DataFrame:
+    """Adds ``part``: a bucket of over ``block`` members is dealt into parts by id; those that roam go to all parts."""
     count = F.ceil(F.col("size") / p.block).cast("int")
-    roams = F.col("id") == F.col("least") if first else F.col("label") != F.col("common")
-    own = F.array(F.pmod(F.hash("id"), count))
-    part = F.when((count > 1) & roams, F.sequence(F.lit(0), count - 1)).otherwise(F.when(count > 1, own).otherwise(F.array(F.lit(0))))
-    return rows.join(about, "key").select("key", F.explode(part).alias("part"), "id", "label")
+    one = F.when(count > 1, F.array(F.pmod(F.hash("id"), count))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("part", F.explode(F.when((count > 1) & roams, F.sequence(F.lit(0), count - 1)).otherwise(one)))
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -192,12 +206,12 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     1. Each document gives its set's size, a hash of the whole set, a b-bit signature and its bands' keys.
     2. Documents of equal sets form a class, by partial minima; only the smallest doc_id of a class goes on. So
        any number of copies costs no more than one of them.
-    3. Members of a band's bucket whose estimate, corrected for chance collisions, is not clearly below the
-       threshold are candidates. They are confirmed on whole sets, which are made anew for the documents of
-       candidate pairs only, and the confirmed links join components.
-    4. In the first round, buckets of over ``bucket`` members give stars rather than all pairs. Round after round,
-       pairs are made only of members that are in different components still, until no round gives a pair that is
-       new. By then each pair of a bucket that may be linked is in one component or was refuted on whole sets.
+    3. Classes that share a band's key meet in a bucket. There, pairs whose estimate, corrected for chance
+       collisions, is not clearly below the threshold are confirmed on whole sets, which are made anew for the
+       members of such buckets only. A bucket gives the links that join its members, never all its pairs.
+    4. A bucket of over ``block`` members is dealt into parts, each with the smallest member. Once the links of the
+       parts have joined components, the members outside the bucket's largest component, few by then, go to
+       every part, so that each pair of different components is compared somewhere.
 
     Null, empty and blank texts have no set and are linked with nothing, as is a null doc_id. Rows that repeat a
     doc_id all stay and share its component; if their texts differ, links to unequal sets are sought for one of
@@ -214,71 +228,49 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     # one class for an id, should one doc_id have several texts
     classes = cut.write(same.groupBy("id").agg(F.min("whole").alias("whole"), F.min_by("s", "whole").alias("s")).select("id", "whole", "s.signature", "s.keys"), "classes")
     members = usable.select("doc_id", "whole").join(same.select("whole", "id"), "whole").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = cut.write(keyed.join(shared, "key"), "buckets")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    while True:
-        label = F.col("id") if labels is None else F.coalesce("component", "id")
-        named = buckets if labels is None else buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-        first = labels is None and tested is None
-        rows = dealt(named.select("key", "id", label.alias("label")), p, first).join(classes.select("id", "signature"), "id").select("key", "part", "id", "label", "signature")
-        pairs = rows.repartition(parts(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(alike(p, first), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        turn = cut.turn
-        pairs = cut.write(pairs, f"pairs{turn}")
-        if pairs.isEmpty():
-            break
-        good = cut.write(confirmed(base, classes, pairs, p), f"good{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-        labels = components(links, cut)
-    all_links = members if links is None else members.unionByName(links)
-    final = components(all_links, cut, "final")
+    buckets = buckets_of(classes, p, cut)
+    own = sets_of(base, buckets.select("id").distinct().join(classes, "id"), p)
+
+    def links(rows: DataFrame) -> DataFrame:
+        full = rows.join(own, "id").select("key", "part", "band", "id", "label", "signature", "keys", "hashes")
+        return full.repartition(parts(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(linked(p), "a long, b long").distinct()
+
+    rows = buckets.withColumn("label", F.col("id"))
+    large = rows.where(F.col("size") > p.block)
+    least = large.groupBy("key").agg(F.min("id").alias("least"))
+    found = cut.write(links(dealt(rows.join(least, "key", "left"), p, F.col("id") == F.col("least")).drop("least")), "links")
+    if not large.isEmpty():
+        labels = components(found, cut, "first")
+        named = large.drop("label").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        common = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        found = found.unionByName(cut.write(links(dealt(named.join(common, "key"), p, F.col("label") != F.col("common")).drop("common")), "more"))
+    final = components(members.unionByName(found), cut, "final")
     out = signatures.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    own_id = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), own_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def confirmed(base: DataFrame, classes: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose whole sets are as similar as asked.
-
-    The sets come by two joins on ids that are unique on the other side, so the pairs of a star's centre can be
-    split over tasks.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "whole"), "id")
+def sets_of(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """id, signature, keys and the whole set, as bytes, of classes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingles(t, p.words).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["id", "whole", "hashes"])
 
-    wanted = base.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    own = wanted.mapInArrow(sets, "id long, whole binary, hashes binary").join(ids, ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "hashes")
-    one = pairs.join(own.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = one.join(own.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= p.percent * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+    wanted = base.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return wanted.mapInArrow(sets, "id long, whole binary, hashes binary").dropDuplicates(["id", "whole"]).join(classes, ["id", "whole"]).select("id", "signature", "keys", "hashes")
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The documents without those that are linked to one of a smaller doc_id, with all their columns. Documents
     without words all stay, as does a null doc_id; rows that repeat a kept doc_id stay as one, the first by text."""
     gone = near_duplicates(docs, params).where(~F.col("kept")).select("doc_id").distinct()
+    names, docs = docs.columns, told_apart(docs)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return left
-    once = left.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
-    return left.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("doc_id", "r.*").select(*docs.columns))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+        left = left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return left.select(*docs.columns).toDF(*names)
