@@ -8,21 +8,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+UNROLLED = 128
+
 
 def distance(vector: Column, query: Sequence[float]) -> Column:
     """Squared Euclidean distance to a literal vector.
 
-    Terms are written out for vectors of usual sizes: a plain sum is compiled with the stage, while a
-    higher-order function is interpreted row by row.
+    The terms of up to UNROLLED dimensions are written out: a plain sum is compiled with the stage, while a
+    higher-order function is interpreted row by row. Beyond that the code would take longer to compile than it
+    saves on all but the largest tables, and a stage may grow too large to be compiled at all.
     """
     q = [float(x) for x in query]
-    if len(q) <= 512:
+    if len(q) <= UNROLLED:
         # A balanced tree keeps the expression shallow.
         terms = [(vector[i].cast("double") - F.lit(x)) * (vector[i].cast("double") - F.lit(x)) for i, x in enumerate(q)]
         while len(terms) > 1:
             terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
         return terms[0] if terms else F.lit(0.0)
-    return F.aggregate(F.zip_with(vector, F.lit(q), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.zip_with(vector, F.lit(q), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
 
 
 def knn(table: DataFrame, query: Sequence[float], k: int, key: Sequence[str], where: Column | None = None, vector: str = "vector") -> DataFrame:
