@@ -27,7 +27,7 @@ class Params:
     step: int = 2
     shard: int = 4096
     block: int = 2048
-    rounds: tuple[float, ...] = (0.5, 0.25, 0.125, 0.06, 0.03, 0.0)
+    rounds: tuple[float, ...] = (0.25, 0.12, 0.06, 0.04, 0.03, 0.02, 0.0)
 
 
 class Shard:
@@ -45,6 +45,7 @@ class Shard:
         by = np.argsort(-level, axis=0, kind="stable")
         self.postings = np.ascontiguousarray(by.T)
         self.levels = np.ascontiguousarray(np.take_along_axis(level, by, 0).T)
+        self.falling = -self.levels
         # a component is known up to half a step from its level's middle
         middle = np.sign(self.vectors) * (level * step - (step - 1) / 2.0)
         self.middles = np.ascontiguousarray(np.take_along_axis(middle, by, 0).T)
@@ -53,7 +54,6 @@ class Shard:
         """(id, score) of the k best and of all that tie with them for now, the query's own id left out."""
         n = len(self.ids)
         weight = np.abs(query)
-        sign = np.sign(query)
         used = np.flatnonzero(weight)
         total, seen = np.zeros(n), np.zeros(n)  # seen: of the weight's dimensions
         slack = float(weight.sum()) * (self.step - 1) / 2.0
@@ -63,15 +63,19 @@ class Shard:
         possible = np.flatnonzero(allowed)
         for share in rounds:
             bound = top * share
+            met, gains = [], []
             for d, start in at.items():
                 # the segments of this dimension whose impact is over the bound
                 least = int(bound // (weight[d] * self.step)) + 1
-                end = int(np.searchsorted(-self.levels[d], -least, "right"))
+                end = int(np.searchsorted(self.falling[d], -least, "right"))
                 if end > start:
-                    who = self.postings[d][start:end]
-                    total[who] += query[d] * self.middles[d][start:end] if sign[d] else 0
-                    seen[who] += 1
+                    met.append(self.postings[d][start:end])
+                    gains.append(query[d] * self.middles[d][start:end])
                     at[d] = end
+            if met:
+                who = np.concatenate(met)
+                total += np.bincount(who, np.concatenate(gains), n)
+                seen += np.bincount(who, minlength=n)
             if len(possible) <= k:
                 break
             # what is not yet seen adds or takes at most the bound in each dimension left
@@ -79,7 +83,8 @@ class Shard:
             low, high = total[possible] - left, total[possible] + left
             proof = np.partition(low, len(low) - k)[len(low) - k]  # k rows score so much at least
             possible = possible[high >= proof]
-            if len(possible) <= 4 * k:
+            # so few that whole scores cost less than their remaining postings
+            if len(possible) <= max(4 * k, n // 4):
                 break
         scores = self.vectors[possible] @ query
         if len(possible) > k:
