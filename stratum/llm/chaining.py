@@ -139,19 +139,59 @@ def stretch(x: list[str], y: list[str], slips: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-def align(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: Params) -> tuple[int, int, int, int, int]:
-    """(query start, end, target start, end, aligned words) of a chain, its gaps aligned and its ends extended."""
-    same, at = 0, None
-    for q, t, w in chain:
-        if at:
-            a, b = x[at[0] : q], y[at[1] : t]
-            same += common(a, b) if len(a) * len(b) <= 40_000 else stretch(a, b, p.slips)[2]
-        same += w
-        at = (q + w, t + w)
-    q, t, _ = chain[0]
-    left = stretch(x[:q][::-1], y[:t][::-1], p.slips)
-    right = stretch(x[at[0] :], y[at[1] :], p.slips)
-    return q - left[0], at[0] + right[0], t - left[1], at[1] + right[1], same + left[2] + right[2]
+def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: Params) -> list[tuple[int, int, int, int, int]]:
+    """(query start, end, target start, end, aligned words) of the passages in a chain, which don't overlap.
+
+    A chain may join passages across words that have nothing in common. So each stretch of its segments, with its
+    gaps aligned, is a candidate, as are the extensions of its two ends; the one with most aligned words of which
+    ``percent`` are aligned is taken and extended, and what lies before and after it is treated alike.
+    """
+    out, todo = [], [(chain, (0, 0), (len(x), len(y)))]
+    while todo:
+        part, (q0, t0), (q1, t1) = todo.pop()
+        # ends of each candidate's parts: begins, ends and words aligned up to there, before and after each part
+        (q, t, _), (r, u, w) = part[0], part[-1]
+        left = stretch(x[q0:q][::-1], y[t0:t][::-1], p.slips)
+        right = stretch(x[r + w : q1], y[u + w : t1], p.slips)
+        starts, ends, same, at = [], [], 0, None
+        if left[2]:
+            starts.append((q - left[0], t - left[1], 0))
+            ends.append((q, t, left[2]))
+            same = left[2]
+        for q, t, w in part:
+            if at:
+                a, b = x[at[0] : q], y[at[1] : t]
+                same += common(a, b) if len(a) * len(b) <= 40_000 else stretch(a, b, p.slips)[2]
+            starts.append((q, t, same))
+            same += w
+            at = (q + w, t + w)
+            ends.append((*at, same))
+        if right[2]:
+            starts.append((*at, same))
+            ends.append((at[0] + right[0], at[1] + right[1], same + right[2]))
+        s, e = np.array(starts), np.array(ends)
+        whole = e[-1] - s[0]
+        best = (int(whole[2]), 0, len(s) - 1) if 100 * whole[2] >= p.percent * max(whole[:2]) else (0, 0, 0)
+        for i in range(len(s) if not best[0] else 0):
+            d = e[i:] - s[i]
+            good = np.where(100 * d[:, 2] >= p.percent * np.maximum(d[:, 0], d[:, 1]), d[:, 2], 0)
+            j = int(good.argmax())
+            best = max(best, (int(good[j]), -i, j + i))
+        _, i, j = best
+        (a, c, v), (b, d, z) = starts[-i], ends[j]
+        n = z - v
+        more = stretch(x[q0:a][::-1], y[t0:c][::-1], p.slips)
+        if 100 * (n + more[2]) >= p.percent * max(b - a + more[0], d - c + more[1]):
+            a, c, n = a - more[0], c - more[1], n + more[2]
+        more = stretch(x[b:q1], y[d:t1], p.slips)
+        if 100 * (n + more[2]) >= p.percent * max(b - a + more[0], d - c + more[1]):
+            b, d, n = b + more[0], d + more[1], n + more[2]
+        if min(b - a, d - c) >= p.words:
+            out.append((a, b, c, d, n))
+        before = [(q, t, w) for q, t, v in part if (w := min(v, a - q, c - t)) > 0]
+        after = [(q + v - w, t + v - w, w) for q, t, v in part if (w := min(v, q + v - b, t + v - d)) > 0]
+        todo += [x for x in ((before, (q0, t0), (a, c)), (after, (b, d), (q1, t1))) if x[0]]
+    return sorted(out)
 
 
 def seeds(p: Params):
@@ -237,10 +277,8 @@ def aligned(p: Params):
             rows = []
             for doc_id, other, chain, q0, x, t0, y in zip(*(b.column(i).to_pylist() for i in range(7))):
                 local = [(c["q"] - q0, c["t"] - t0, c["w"]) for c in chain]
-                a, e, c, d, same = align(x or [], y or [], local, p)
-                longest = max(e - a, d - c)
-                if min(e - a, d - c) >= p.words and 100 * same >= p.percent * longest:
-                    rows.append((doc_id, other, a + q0, e + q0, c + t0, d + t0, same, 100.0 * same / longest))
+                for a, e, c, d, same in passages(x or [], y or [], local, p):
+                    rows.append((doc_id, other, a + q0, e + q0, c + t0, d + t0, same, 100.0 * same / max(e - a, d - c)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), names)], [n for n, _ in names])
 
@@ -253,7 +291,8 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     Seeds are runs of k words, kept by windows. Each document with a seed is matched to the smallest doc_id that
     has it and to no other, so a passage of any number of documents gives as many matches as it has occurrences;
     each later document is linked to the first, never all with all. Matches are chained by pair of documents,
-    the gaps of a chain aligned and its ends extended on the words themselves. A passage counts with ``words``
+    the gaps of a chain aligned and its ends extended on the words themselves; a chain is split where the words it
+    leaves out would bring it under ``percent``. A passage counts with ``words``
     words on both sides of which ``percent`` are aligned; where the first document has only a part of it, the
     extension from the remaining matches still reaches over the whole.
 

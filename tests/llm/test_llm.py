@@ -164,6 +164,19 @@ def test_shared_passages(spark):
     assert chaining.shared_passages(docs(spark, *rows).limit(0)).count() == 0
 
 
+def test_chains_are_split_at_unrelated_gaps(spark):
+    for gap, other in ((20, 20), (45, 45), (60, 60), (80, 80), (100, 100), (130, 0), (0, 90)):
+        one, two = [f"a{k}" for k in range(100)], [f"b{k}" for k in range(100)]
+        fill = lambda name, n: [f"{name}{k}" for k in range(n)]
+        x = fill("p", 30) + one + fill("x", gap) + two + fill("q", 30)
+        y = fill("r", 40) + one + fill("y", other) + two + fill("s", 20)
+        got = sorted((r.start, r.end, r.other_start, r.other_end, r.same) for r in chaining.shared_passages(docs(spark, (1, " ".join(y)), (2, " ".join(x)))).collect())
+        if max(gap, other) <= 50:
+            assert got == [(30, 230 + gap, 40, 240 + other, 200)]
+        else:
+            assert got == [(30, 130, 40, 140, 100), (130 + gap, 230 + gap, 140 + other, 240 + other, 100)]
+
+
 def test_chains_match_a_plain_loop():
     p = chaining.Params()
     rng = random.Random(2)
