@@ -234,6 +234,71 @@ def seeds(p: Params):
     return run
 
 
+def strings(p: Params):
+    """(hash, doc_id, place) of strings of seeds that follow each other in a document, from rows (doc_id, place, h,
+    other, at) in order of document and place.
+
+    A document that has a passage may hold each of its seeds after some other document does, and none of these need
+    have the passage. A string of its seeds is had first by a document that has the string. From each seed,
+    strings go on until they are as long as a passage. Where all seeds of one have the same first document on one
+    diagonal, that document has the string, and none is given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def flush(out: list) -> None:
+            if not held:
+                return
+            place, h, other, there = (np.concatenate([x[k] for x in held]) for k in range(4))
+            key, mixed = h.view(np.uint64).copy(), np.zeros(len(h), bool)
+            live = np.arange(len(h) - 1)
+            n = 0
+            while len(live):
+                n += 1
+                live = live[live + n < len(h)]
+                end = live + n
+                span = place[end] - place[live]
+                # seeds that share no window with their neighbours are no string
+                near = place[end] - place[end - 1] <= p.window + p.k
+                live, end, span = live[near], end[near], span[near]
+                mixed[live] |= (other[end] != other[live]) | (there[end] - there[live] != span)
+                key[live] = (key[live] ^ (key[live] >> np.uint64(29)) ^ span.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + h[end].view(np.uint64)
+                some = live[mixed[live]]
+                if len(some):
+                    out.append((key[some].view(np.int64), np.full(len(some), at, np.int64), place[some].astype(np.int32)))
+                live = live[span + p.k < p.words]
+
+        def table(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "doc_id", "place"])
+
+        for b in batches:
+            out: list = []
+            ids, place, h, other, there = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cuts = np.flatnonzero(np.diff(ids)) + 1 if len(ids) else []
+            for x, y in zip([0, *cuts], [*cuts, len(ids)]):
+                if x == y:
+                    continue
+                if ids[x] != at:
+                    flush(out)
+                    at, held = ids[x], []
+                held.append((place[x:y].astype(np.int64), h[x:y], other[x:y], there[x:y].astype(np.int64)))
+            if out:
+                yield table(out)
+        out = []
+        flush(out)
+        if out:
+            yield table(out)
+
+    return run
+
+
+def firsts(found: DataFrame) -> DataFrame:
+    """h, other, at: the first document and place of what at least two documents have."""
+    return found.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("last != f.doc_id").select("h", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at"))
+
+
 def chained(p: Params):
     """Chains of each pair of documents, from rows (doc_id, other, place, at) in order of the pair."""
 
@@ -289,12 +354,15 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, other_id, start, end, other_start, other_end, same, percent: passages by words, end exclusive.
 
     Seeds are runs of k words, kept by windows. Each document with a seed is matched to the smallest doc_id that
-    has it and to no other, so a passage of any number of documents gives as many matches as it has occurrences;
-    each later document is linked to the first, never all with all. Matches are chained by pair of documents,
-    the gaps of a chain aligned and its ends extended on the words themselves; a chain is split where the words it
-    leaves out would bring it under ``percent``. A passage counts with ``words``
-    words on both sides of which ``percent`` are aligned; where the first document has only a part of it, the
-    extension from the remaining matches still reaches over the whole.
+    has it, so a passage of any number of documents gives as many matches as it has occurrences; each later document
+    is linked to the first, never all with all. So are strings of seeds, up to the length of a passage, where their
+    seeds stand first in different documents: exact passages of words + 2 * (window - 1) words or more are
+    linked to a document that has ``words`` words of them, whatever pieces earlier documents hold. Shorter ones and
+    fuzzy ones may still be missed where earlier documents hold all their shared seeds or strings, but less of the text.
+
+    Matches are chained by pair of documents, the gaps of a chain aligned and its ends extended on the words
+    themselves; a chain is split where the words it leaves out would bring it under ``percent``. A passage counts
+    with ``words`` words on both sides of which ``percent`` are aligned.
 
     Null, empty and short texts have no seeds; a null doc_id takes no part; of rows that repeat a doc_id the
     smallest text counts; repeats within one document are no passage here. An empty table gives no rows.
@@ -305,8 +373,11 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     cut = Cut(spark, "passages")
     base = texts(docs)
     found = cut.write(base.mapInArrow(seeds(p), "h long, doc_id long, place int"), "seeds")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("last != f.doc_id").select("h", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at"))
-    matches = found.join(first, "h").where("doc_id != other").select("doc_id", "other", "place", "at")
+    shared = cut.write(found.join(firsts(found), "h").select("doc_id", "place", "h", "other", "at"), "shared")
+    by_place = shared.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "place", "h")
+    longer = cut.write(by_place.mapInArrow(strings(p), "h long, doc_id long, place int"), "strings")
+    both = shared.select("doc_id", "other", "place", "at").unionByName(longer.join(firsts(longer), "h").select("doc_id", "other", "place", "at"))
+    matches = both.where("doc_id != other")
     # one document's matches with one other are bounded by its own length
     ordered = matches.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "other", "place", "at")
     links = cut.write(ordered.mapInArrow(chained(p), "doc_id long, other long, chain array<struct<q int, t int, w int>>"), "links")

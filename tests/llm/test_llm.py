@@ -177,6 +177,27 @@ def test_chains_are_split_at_unrelated_gaps(spark):
             assert got == [(30, 130, 40, 140, 100), (130 + gap, 230 + gap, 140 + other, 240 + other, 100)]
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(9)
+    fresh = (f"u{k}" for k in itertools.count())
+    fill = lambda n: [next(fresh) for _ in range(n)]
+    rows, pairs, allowed = [], [], set()
+    for k in range(30):
+        n = rng.choice([80, 100, 150, 300])
+        passage = fill(n)
+        size = rng.choice([25, 30, 40])
+        ids = itertools.count(1000 * k)
+        for a in range(0, n, size // 2):  # overlapping pieces, none of 50 words, each in a document of its own
+            rows.append((next(ids), " ".join(fill(20) + passage[a : a + size] + fill(20))))
+        one, two, three = next(ids), next(ids), next(ids)
+        rows += [(i, " ".join(fill(30) + passage + fill(30))) for i in (one, two, three)]
+        pairs += [(two, one, n), (three, one, n)]
+        allowed |= {(two, one), (three, one), (three, two)}
+    got = {(r.doc_id, r.other_id): (r.start, r.end, r.other_start, r.other_end) for r in chaining.shared_passages(docs(spark, *rows)).collect()}
+    assert {(a, b): got.get((a, b)) for a, b, _ in pairs} == {(a, b): (30, 30 + n, 30, 30 + n) for a, b, n in pairs}
+    assert set(got) <= allowed
+
+
 def test_chains_match_a_plain_loop():
     p = chaining.Params()
     rng = random.Random(2)
