@@ -19,15 +19,16 @@ class Params:
     """k: words of a seed. window: consecutive seeds of which the least by hash is kept, so any window + k - 1
     words that two documents share give both a common seed. gap: cost of a chain for each word it leaves out on
     either side. words: least words of a passage. percent: least share of aligned words in it. reach: words
-    beyond a chain's ends over which it may be extended."""
+    beyond a chain's ends over which it may be extended. A fifth of a passage's words may be edited, at worst every
+    fifth one, so seeds are of four words and dense, and one by itself may lead to a passage."""
 
-    k: int = 8
-    window: int = 16
+    k: int = 4
+    window: int = 4
     gap: float = 0.25
     words: int = 50
     percent: int = 80
     reach: int = 64
-    worth: float = 8.0
+    worth: float = 4.0
     slips: int = 12
 
 
@@ -265,7 +266,8 @@ def strings(p: Params):
                 live, end, span = live[near], end[near], span[near]
                 mixed[live] |= (other[end] != other[live]) | (there[end] - there[live] != span)
                 key[live] = (key[live] ^ (key[live] >> np.uint64(29)) ^ span.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + h[end].view(np.uint64)
-                some = live[mixed[live]]
+                # a passage of the least length has a string this long
+                some = live[mixed[live] & (span >= p.words - p.k - 2 * (p.window - 1))]
                 if len(some):
                     out.append((key[some].view(np.int64), np.full(len(some), at, np.int64), place[some].astype(np.int32)))
                 live = live[span + p.k < p.words]
@@ -374,6 +376,7 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     base = texts(docs)
     found = cut.write(base.mapInArrow(seeds(p), "h long, doc_id long, place int"), "seeds")
     shared = cut.write(found.join(firsts(found), "h").select("doc_id", "place", "h", "other", "at"), "shared")
+    cut.drop("seeds")
     by_place = shared.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "place", "h")
     longer = cut.write(by_place.mapInArrow(strings(p), "h long, doc_id long, place int"), "strings")
     both = shared.select("doc_id", "other", "place", "at").unionByName(longer.join(firsts(longer), "h").select("doc_id", "other", "place", "at"))
@@ -381,6 +384,8 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     # one document's matches with one other are bounded by its own length
     ordered = matches.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "other", "place", "at")
     links = cut.write(ordered.mapInArrow(chained(p), "doc_id long, other long, chain array<struct<q int, t int, w int>>"), "links")
+    cut.drop("shared")
+    cut.drop("strings")
     low = lambda side: F.greatest(F.lit(0), F.element_at("chain", 1)[side] - p.reach)
     high = lambda side: F.element_at("chain", -1)[side] + F.element_at("chain", -1)["w"] + p.reach
     spans = links.select("doc_id", "other", "chain", low("q").alias("q0"), high("q").alias("q1"), low("t").alias("t0"), high("t").alias("t1"))

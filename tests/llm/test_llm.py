@@ -198,6 +198,24 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert set(got) <= allowed
 
 
+@pytest.mark.parametrize("percent, every, least", [(80, 5, 0.9), (85, 7, 1), (90, 10, 1), (80, 0, 0.75), (85, 0, 0.95), (90, 0, 0.95)])
+def test_recall_of_fuzzy_passages(spark, percent, every, least):
+    rng = random.Random(percent)
+    fresh = (f"u{k}" for k in itertools.count())
+    fill = lambda n: [next(fresh) for _ in range(n)]
+    rows = []
+    for k in range(60):
+        n = rng.choice([60, 100])
+        passage = fill(n)
+        # an edit every so many words, or at random places; by brute force `percent` stay aligned
+        at = range(every - 1, n, every) if every else rng.sample(range(n), n * (100 - percent) // 100)
+        edited = [next(fresh) if i in at else w for i, w in enumerate(passage)]
+        assert 100 * chaining.common(passage, edited) >= percent * n
+        rows += [(2 * k, " ".join(fill(30) + passage + fill(30))), (2 * k + 1, " ".join(fill(40) + edited + fill(20)))]
+    got = {(r.doc_id, r.other_id) for r in chaining.shared_passages(docs(spark, *rows)).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(60)} and len(got) >= least * 60
+
+
 def test_chains_match_a_plain_loop():
     p = chaining.Params()
     rng = random.Random(2)
