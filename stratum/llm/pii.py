@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -24,6 +26,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What may be an identifier: a run with a digit or @, of six characters or more.
 SHAPED = re.compile(r"(?<![0-9A-Za-z@+_./#-])[0-9A-Za-z@+_./#-]{6,}")
+#: The same, and groups of digits with the blanks and parentheses between them that seeds hold.
+GROUPED = re.compile(r"(?<![0-9A-Za-z@+_./#-])(?:(?:\+?[0-9]{1,4}\x20?)?\([0-9]{1,5}\)(?:[\x20.-]?[0-9]+)+|\+?[0-9]+(?:[.-][0-9]+)*(?:\x20[0-9]+(?:[.-][0-9]+)*)+(?![0-9A-Za-z@_/#])|[0-9A-Za-z@+_./#-]{6,})")
 WORD = re.compile(r"\w+")
 #: Characters before a span in which its context is sought.
 REACH = 48
@@ -81,11 +85,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(value: str) -> str:
-    """A value with its digits and letters made alike and runs of them shortened."""
-    return re.sub(r"a+", "a", re.sub(r"9+", "9", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", value))))[:24]
-
-
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: two words before, one word before, and the words on both sides."""
     left = [w.lower() for w in WORD.findall(text[max(0, start - REACH) : start])][-2:]
@@ -115,24 +114,19 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             spans = base_spans(text)
             counts = Counter(k for _, k, _ in spans)
-            found = [{"kind": KINDS[k], "start": a, "end": e, "value": text[a:e].lower(), "patterns": [f"{x} {shape(text[a:e])}" for x in contexts(text, a, e)]} for a, k, e in spans]
+            found = [{"kind": KINDS[k], "start": a, "end": e, "value": text[a:e].lower(), "patterns": contexts(text, a, e)} for a, k, e in spans]
             digest = hashlib.sha256(joined([(KINDS[k], a, e) for a, k, e in spans]).encode()).hexdigest()
             if "@" in text or any(c in text for c in "0123456789"):
-                k, last = 0, 0
-                ends = []
-                for _, _, e in spans:  # the furthest end of the spans so far
-                    last = max(last, e)
-                    ends.append(last)
-                for m in SHAPED.finditer(text):
-                    v = m[0]
-                    if not any(c in v for c in "0123456789@"):
-                        continue
-                    v = v.rstrip("./#-")
-                    a, e = m.start(), m.start() + len(v)
-                    while k < len(spans) and spans[k][0] < e:
-                        k += 1
-                    if len(v) >= 6 and not (k and ends[k - 1] > a):
-                        found.append({"kind": None, "start": a, "end": e, "value": v.lower()[:200], "patterns": [f"{x} {shape(v)}" for x in contexts(text, a, e)]})
+                starts = [a for a, _, _ in spans]
+                ends = list(accumulate((e for _, _, e in spans), max))  # the furthest end of the spans so far
+                free = lambda a, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= a
+                for m in GROUPED.finditer(text):
+                    # groups that touch a known span are looked at one by one
+                    for r in [m] if free(m.start(), m.end()) else SHAPED.finditer(text, m.start(), m.end()):
+                        v = r[0].rstrip("./#-")
+                        a, e = r.start(), r.start() + len(v)
+                        if len(v) >= 6 and any(c in v for c in "0123456789@") and free(a, e):
+                            found.append({"kind": None, "start": a, "end": e, "value": v.lower()[:200], "patterns": contexts(text, a, e)})
             rows.append((row, doc_id, xxhash.xxh3_128_hexdigest(text), counts[0], counts[1], counts[2], counts[3], digest, found))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(FOUND)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], ["row", "doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", "found"])
@@ -192,7 +186,7 @@ def listed(found: Column) -> Column:
 def personal_data(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """One row for each document: base counts and digest, all spans, and n_other, the spans that bootstrapping adds.
 
-    Seeds are the values of the fixed kinds; the words around them and the value's shape are the patterns. What
+    Seeds are the values of the fixed kinds; the words around them are the patterns, whatever the value's format. What
     travels is the distinct (pattern, value) pairs and row numbers, never texts.
 
     A null text is empty; repeated rows give a row each; an empty table gives no rows; other columns are ignored.

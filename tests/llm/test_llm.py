@@ -274,6 +274,20 @@ def test_bootstrapping_finds_more(spark):
     assert pii.personal_data(docs(spark, *rows).limit(0)).count() == 0
 
 
+def test_unseen_formats_after_seeded_words_are_redacted(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{prose(rng, 5)} contact phone: +1 (017) 555-{7000 + i} thanks {prose(rng, 5)}") for i in range(40)]
+    odd = ["1-555-555-2000", "(017) 555-7713", "555 777 2000", "(017) 5557714", "AB1234567"]
+    rows += [(50 + i, f"the contact phone: {v} thanks a lot") for i, v in enumerate(odd)]
+    rows += [(60, "the contact phone: 12345678 1.2.3.4 stands")]
+    rows += [(70, "in the year 2001 12 people came, number 12345678 stands here")]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, *rows)).collect()}
+    assert [got[50 + i].spans for i in range(len(odd))] == [f"other:19:{19 + len(v)}" for v in odd]
+    assert got[60].spans == "other:19:27,ip:28:35" and got[70].n_other == 0
+    red = {r.doc_id: r.text for r in pii.redact(docs(spark, *rows)).collect()}
+    assert all(red[50 + i] == "the contact phone: [OTHER] thanks a lot" for i in range(len(odd)))
+
+
 def test_patterns_need_support(spark):
     edges = spark.createDataFrame([("p", f"k{i}") for i in range(9)] + [("p", "new"), ("q", "k1"), ("q", "u1"), ("q", "u2")], "pattern string, value string")
     known = spark.createDataFrame([(f"k{i}",) for i in range(9)], "value string")
