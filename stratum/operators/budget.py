@@ -1,7 +1,8 @@
 """Budgets: which expansions, results and messages fit a prompt.
 
 These folds depend on order and skip what doesn't fit, so no running sum expresses them. They run over the few
-hundred candidates of one question, in one row's array, never over a table.
+hundred candidates of one question, in one row's array, never over a table; expansions, which may be any table, go
+on in rounds of as many files as could fit.
 """
 
 from __future__ import annotations
@@ -21,13 +22,25 @@ def split(ratio: float, prompt: int = PROMPT) -> tuple[int, int, int]:
 
 def expansions(files: DataFrame, code_budget: int, key: str = "file_path", order: str = "place", cost: str = "cost") -> DataFrame:
     """Adds ``kept``: files are taken in order as long as the sum stays within its share; one that is too large is
-    skipped and the next is tried."""
-    limit = code_budget * SHARE
-    rows = F.array_sort(F.collect_list(F.struct(order, key, (F.col(cost) + HEADER).cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    step = lambda a, x: F.when(a.used + x.c > limit, a).otherwise(F.struct((a.used + x.c).alias("used"), F.concat(a.kept, F.array(x[key].cast("string"))).alias("kept")))
-    picked = files.agg(F.aggregate(rows, start, step, lambda a: a.kept).alias("kept_keys"))
-    return files.join(F.broadcast(picked)).withColumn("kept", F.array_contains("kept_keys", F.col(key).cast("string"))).drop("kept_keys")
+    skipped and the next is tried.
+
+    Any number of files may be given. Each costs ``HEADER`` at least, so of the next files that fit by themselves a
+    bounded number, which comes to the driver, fills the share or leaves less of it to the round after."""
+    limit, used, kept, last = code_budget * SHARE, 0, [], None
+    most = int(limit // HEADER) + 1
+    sized = files.select(F.struct(order, key).alias("at"), (F.coalesce(cost, F.lit(0)) + HEADER).cast("long").alias("c"))
+    while True:
+        rest = sized if last is None else sized.where(F.col("at") > last)
+        rows = rest.where(F.col("c") <= limit - used).orderBy("at").limit(most).collect()
+        for r in rows:
+            if used + r.c <= limit:
+                used += r.c
+                kept.append(str(r["at"][key]))
+        if len(rows) < most:
+            break
+        kinds = sized.schema["at"].dataType
+        last = F.struct(*(F.lit(rows[-1]["at"][n]).cast(kinds[n].dataType).alias(n) for n in (order, key)))
+    return files.withColumn("kept", F.coalesce(F.col(key).cast("string").isin(kept), F.lit(False)))
 
 
 def seeds(candidates: DataFrame, commit_first: bool) -> DataFrame:

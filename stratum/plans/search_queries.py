@@ -191,7 +191,7 @@ def greedy_commit_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expansion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = inputs.files(spark, sf_dir).orderBy("doc_id").limit(60).select("file_path", F.col("doc_id").alias("place"), F.length("content").alias("cost"))
+    sized = inputs.files(spark, sf_dir).select("file_path", F.col("doc_id").alias("place"), F.length("content").alias("cost"))
     return budget.expansions(sized, 60_000)
 
 

@@ -68,6 +68,26 @@ def test_expansions_skip_and_go_on(spark):
     assert kept == {"a", "c"}  # 400 and 300 of 850; 200 more is over
 
 
+def test_expansions_take_whole_tables(spark):
+    rng = random.Random(4)
+    sizes = [rng.choice([3, 400, 900, 3000, 30_000]) for _ in range(3000)]
+    df = spark.createDataFrame([(f"f{i}", i, c) for i, c in enumerate(sizes)], "file_path string, place int, cost int")
+    used, expected = 0, set()
+    for i, c in enumerate(sizes):
+        if used + c + budget.HEADER <= 9000 * budget.SHARE:
+            used += c + budget.HEADER
+            expected.add(f"f{i}")
+    assert {r.file_path for r in budget.expansions(df, 9000).where("kept").collect()} == expected
+    files = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.place: r.kept for r in QUERIES["expansion_budget"](spark, DATA).collect()}
+    used = 0
+    for r in files:
+        fits = used + len(r.text) + budget.HEADER <= 60_000 * budget.SHARE
+        used += (len(r.text) + budget.HEADER) * fits
+        assert got.pop(r.doc_id) == fits
+    assert not got and len(files) > 60
+
+
 @pytest.mark.parametrize("name", ["greedy_budget_fill", "greedy_commit_first", "expansion_budget"])
 def test_folds_run_over_tables(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
