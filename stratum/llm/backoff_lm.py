@@ -2,66 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import fold, texts
+from stratum.llm.chunks import Chunk, ascending, bucket_bits, cells, compiled, inner, mixed, pack, unpack
+from stratum.llm.common import Cut, fold, small_batches, texts
 
-#: Tokens that no word can be, as words hold no white space.
-END, START = b" end", b" start"
-#: Bits of an n-gram's hash beside those that name its bucket. With them a collision among 10**12 n-grams is unlikely.
-BITS = 48
-LOW = np.uint64((1 << BITS) - 1)
+#: Tokens that no word can be, as words hold no white space; their ordinals in a chunk.
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(w) >> 16) for w in (b" start", b" end"))
 
 
 @dataclass(frozen=True)
 class Params:
     """order: longest n-gram. add: what each word's count gets more in unigrams. prior: for orders 2 and up, the
-    weight in tokens of the shorter context's estimate. chunk_chars: text of one chunk of documents."""
+    weight in tokens of the shorter context's estimate. chunk_chars: text of one chunk of documents. bucket: distinct
+    n-grams of chunks, summed over the chunks, that a bucket holds at most, about. segment: tokens of a long document
+    that are traversed in step with others."""
 
-    order: int = 2
+    order: int = 3
     add: float = 0.5
     prior: tuple[float, ...] = (2000.0, 10.0)
     chunk_chars: int = 6_000_000
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser of 64-bit hashes."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    bucket: int = 3_000_000
+    segment: int = 512
 
 
 class Tokens:
-    """The tokens of a chunk's documents as ordinals of its distinct words, and the hashes of its n-grams."""
-
-    def __init__(self, docs: list[str], order: int) -> None:
-        ordinal: dict[bytes, int] = {START: 0, END: 1}
-        get = ordinal.setdefault
-        parts, lengths = [], []
-        for text in docs:
-            words = text.encode().lower().split()
-            parts.append(np.fromiter((get(w, len(ordinal)) for w in words), np.int64, len(words)))
-            parts.append(np.array([1]))
-            lengths.append(len(words) + 1)
-        self.lengths = np.array(lengths, np.int64)
+    """The tokens of a chunk's documents, each document's words and one end, as ordinals: 0 is the start, 1 the end."""
+
+    def __init__(self, c: Chunk, order: int) -> None:
+        self.lengths = c.lengths + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ordinal), np.uint64, len(ordinal))
+        self.flat = np.ones(int(self.lengths.sum()), np.int64)
+        last = np.zeros(len(self.flat), bool)
+        last[self.starts + c.lengths] = True
+        self.flat[~last] = c.flat.astype(np.int64) + 2
+        self.hashes = np.concatenate((np.array([START, END]), c.hashes))
+        self.train = np.repeat(c.flag, self.lengths)
         first = np.zeros(len(self.flat), bool)
         first[self.starts] = True
         #: before[j]: the ordinal j + 1 places back, the start token before the first.
-        self.before, at = [], first.copy()
+        self.before = []
         for _ in range(order - 1):
             back = self.before[-1] if self.before else self.flat
-            moved = np.concatenate(([0], back[:-1]))
-            self.before.append(np.where(at, 0, moved))
+            self.before.append(np.where(first, 0, np.concatenate(([0], back[:-1]))))
         self.order = order
 
     def grams(self, n: int) -> np.ndarray:
@@ -72,79 +62,63 @@ class Tokens:
         return h
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Ascending numbers as planes of the bytes of their differences; the high planes compress well."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T[: BITS // 8]).tobytes()
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) * 8 // BITS
-    planes = np.zeros((8, n), np.uint8)
-    planes[: BITS // 8] = np.frombuffer(blob, np.uint8).reshape(BITS // 8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
+def words_of(bits: int):
+    """(bucket, blob) of the distinct hashes of a chunk's training words, the end token among them."""
 
-def planes(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T[:5]).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                t = Tokens(Chunk.load(blob), 1)
+                keys = np.unique(mixed(t.hashes[np.unique(t.flat[t.train])] + np.uint64(1)))
+                rows = [(i, pack(ascending(inner(keys[x:y], bits)))) for i, x, y in cells(keys, bits)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["bucket", "blob"])
 
-
-def numbers(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    out = np.zeros((8, n), np.uint8)
-    out[:5] = np.frombuffer(blob, np.uint8).reshape(5, n)
-    return np.ascontiguousarray(out.T).view("<u8").ravel().astype(np.int64)
+    return run
 
 
-def split_keys(t: Tokens, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes ascending, each token's place among them, and the bounds of the buckets."""
-    keys, place = np.unique(t.grams(n), return_inverse=True)
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-    return keys, place, np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def distinct(table: pa.Table) -> pa.Table:
+    keys = np.concatenate([np.cumsum(unpack(x)[0]) for x in table.column("blob").to_pylist()])
+    return pa.table({"n": pa.array([len(np.unique(keys))], pa.int64())})
 
 
-def inner(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes within a bucket, without its bits, still ascending."""
-    return (keys << np.uint64(bits)) >> np.uint64(64 - BITS)
+CELL = pa.schema([("n", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
 
 def requests(p: Params, bits: int):
-    """For each chunk and bucket, the n-grams of the chunk's documents and their counts in training documents."""
-
-    def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        t = Tokens(table.column("text").to_pylist(), p.order)
-        train = np.repeat(np.array(table.column("train").to_pylist(), bool), t.lengths)
-        out: dict[str, list] = {"bucket": list(range(1 << bits)), "chunk": [chunk] * (1 << bits)}
-        for n in range(1, p.order + 1):
-            keys, place, edges = split_keys(t, n, bits)
-            counts = np.bincount(place[train], minlength=len(keys))
-            keys = inner(keys, bits)
-            out[f"k{n}"] = [packed(keys[a:b]) for a, b in zip(edges, edges[1:])]
-            out[f"c{n}"] = [planes(counts[a:b]) for a, b in zip(edges, edges[1:])]
-        return pa.table(out, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64())] + [(f"{c}{n}", pa.binary()) for n in range(1, p.order + 1) for c in "kc"]))
+    """The cells of each chunk: its n-grams and their counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = Tokens(Chunk.load(blob), p.order)
+                for n in range(1, p.order + 1):
+                    keys, place = np.unique(t.grams(n), return_inverse=True)
+                    counts = np.bincount(place[t.train], minlength=len(keys)).astype(np.uint32)
+                    rows = [(n, i, chunk, pack(ascending(inner(keys[x:y], bits)), counts[x:y])) for i, x, y in cells(keys, bits)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CELL)], CELL.names)
 
     return run
 
 
-def replies(p: Params):
-    """Sums a bucket's counts over all chunks, and answers each chunk in the order of its own n-grams."""
-
-    def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_pylist()
-        out: dict[str, list] = {"chunk": chunks, "bucket": table.column("bucket").to_pylist()}
-        for n in range(1, p.order + 1):
-            keys = [unpacked(x) for x in table.column(f"k{n}").to_pylist()]
-            counts = np.concatenate([numbers(x) for x in table.column(f"c{n}").to_pylist()])
-            _, place = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(place, counts).astype(np.int64)
-            edges = np.cumsum([0, *map(len, keys)])
-            out[f"c{n}"] = [planes(sums[place[a:b]]) for a, b in zip(edges, edges[1:])]
-            if n == 1:
-                out["tokens"], out["words"] = [int(sums.sum())] * len(chunks), [int((sums > 0).sum())] * len(chunks)
-        return pa.table(out).select(["chunk", "bucket", "tokens", "words", *(f"c{n}" for n in range(1, p.order + 1))])
-
-    return run
+def replies(table: pa.Table) -> pa.Table:
+    """Sums a bucket's counts over all chunks, and answers each cell in the order of its own n-grams."""
+    got = [unpack(x) for x in table.column("blob").to_pylist()]
+    sizes = [len(k) for k, _ in got]
+    keys = np.concatenate([np.cumsum(k) for k, _ in got])
+    counts = np.concatenate([c for _, c in got])
+    del got
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+    sums = np.add.reduceat(counts, first)
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(sums, np.diff(first, append=len(keys)))
+    edges = np.cumsum([0, *sizes])
+    small = np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64
+    blobs = [pack(total[x:y].astype(small)) for x, y in zip(edges, edges[1:])]
+    return pa.table([table.column("n"), table.column("bucket"), table.column("chunk"), pa.array(blobs, pa.binary())], schema=CELL)
 
 
 class Automaton:
@@ -165,7 +139,7 @@ class Automaton:
         # States by number: the root, then the contexts of one word, then of two, and so on.
         fail, weight = [np.array([-1])], [np.array([0.0])]
         state = np.zeros(len(t.flat), np.int64)  # of the context before each token, of the order at hand
-        arc_state, arc_word, arc_logp, arc_next = [], [], [], []
+        arc_state, arc_word, arc_logp, arc_at = [], [], [], []
         shorter = 10.0 ** self.unigram[t.flat]
         self.after = np.zeros(len(t.hashes), np.int64)  # the root's next states
         total, contexts = 1, None
@@ -189,11 +163,13 @@ class Automaton:
             weight.append(np.log10(m / (seen[live] + m)))
             c = counts[n - 1][places[n - 1]]
             prob = np.where(has, (c + m * shorter) / (seen[label] + m), shorter)
-            arc = has & (c > 0)
-            arc_state.append(state[arc])
-            arc_word.append(t.flat[arc])
-            arc_logp.append(np.log10(prob[arc]))
-            arc_next.append((n, np.flatnonzero(arc)))
+            at = np.empty(len(counts[n - 1]), np.int64)  # a token at which each distinct n-gram ends
+            at[places[n - 1][::-1]] = np.arange(len(t.flat))[::-1]
+            at = at[has[at] & (counts[n - 1] > 0)]
+            arc_state.append(state[at])
+            arc_word.append(t.flat[at])
+            arc_logp.append(np.log10(prob[at]))
+            arc_at.append((n, at))
             shorter, total = prob, total + int(live.sum())
             if n == 2:
                 self.after = np.maximum(number, 0)
@@ -209,9 +185,12 @@ class Automaton:
             self.start = 0
         state_, word_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (arc_state, arc_word))
         logp = np.concatenate(arc_logp) if arc_logp else np.zeros(0)
-        to = np.concatenate([target[i] if n == p.order or n == p.order - 1 else lower[i] for n, i in arc_next]) if arc_next else np.zeros(0, np.int64)
-        self.keys, first = np.unique(state_ << 32 | word_, return_index=True)
-        self.logp, self.to = logp[first], to[first]
+        to = np.concatenate([target[i] if n >= p.order - 1 else lower[i] for n, i in arc_at]) if arc_at else np.zeros(0, np.int64)
+        keys = state_ << 32 | word_
+        by = np.argsort(keys)
+        self.keys, self.word, self.logp, self.to = keys[by], word_[by], logp[by], to[by]
+        #: a state's arcs are those from row[state] to row[state + 1], in order of their words
+        self.row = np.concatenate(([0], np.cumsum(np.bincount(state_, minlength=total))))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log10 probabilities of one next word for each of many states, and the states after it."""
@@ -221,52 +200,68 @@ class Automaton:
             s, w = state[left], word[left]
             root = s == 0
             if root.any():
-                logp[left[root]] += self.unigram[w[root]]
-                to[left[root]] = self.after[w[root]]
+                here = left[root]
+                logp[here] += self.unigram[w[root]]
+                to[here] = self.after[w[root]]
                 left, s, w = left[~root], s[~root], w[~root]
                 if not len(left):
                     break
-            key = s << 32 | w
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            logp[left[hit]] += self.logp[at[hit]]
-            to[left[hit]] = self.to[at[hit]]
-            left = left[~hit]
-            logp[left] += self.weight[state[left]]
-            state[left] = self.fail[state[left]]
+            at, end = self.row[s], self.row[s + 1]
+            hit = end > at
+            hit[hit] = self.word[at[hit]] == w[hit]
+            many = np.flatnonzero(~hit & (end - at > 1))
+            if len(many):  # any but the first of several arcs
+                found = np.minimum(np.searchsorted(self.keys, s[many] << 32 | w[many]), len(self.keys) - 1)
+                at[many] = found
+                hit[many] = (self.word[found] == w[many]) & (found < end[many]) & (found >= self.row[s[many]])
+            good = left[hit]
+            logp[good] += self.logp[at[hit]]
+            to[good] = self.to[at[hit]]
+            left, s = left[~hit], s[~hit]
+            logp[left] += self.weight[s]
+            state[left] = self.fail[s]
         return logp, to
 
-    def run(self, t: Tokens) -> np.ndarray:
-        """One left-to-right traversal of each document, all documents of the chunk in step."""
-        order = np.argsort(-t.lengths, kind="stable")
-        starts, lengths = t.starts[order], t.lengths[order]
-        score, state = np.zeros(len(order)), np.full(len(order), self.start, np.int64)
+    def run(self, t: Tokens, p: Params) -> np.ndarray:
+        """One left-to-right traversal of each document, all documents of the chunk in step. A long document goes in
+        segments, each from the state that the order - 1 tokens before it lead to, which is the state carried there."""
+        counts = -(-t.lengths // p.segment)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = np.argsort(-np.minimum(p.segment, t.lengths[doc] - number * p.segment), kind="stable")
+        doc, number = doc[order], number[order]
+        starts, lengths = t.starts[doc] + number * p.segment, np.minimum(p.segment, t.lengths[doc] - number * p.segment)
+        score, state = np.zeros(len(doc)), np.where(number == 0, self.start, 0)
+        later = np.flatnonzero(number > 0)
+        for j in range(min(p.order, p.segment + 1) - 1, 0, -1):
+            _, state[later] = self.step(state[later], t.flat[starts[later] - j])
         alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
         for i, n in enumerate(alive):
             logp, state = self.step(state[:n].copy(), t.flat[starts[:n] + i])
             score[:n] += logp
-        out = np.zeros(len(order))
-        out[order] = score
-        return out
+        return np.bincount(doc, score, len(counts))
 
 
-def scored(p: Params, bits: int):
+def scored(p: Params, tokens: int, words: int):
     names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
-    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        t = Tokens(docs.column("text").to_pylist(), p.order)
-        order = np.argsort(np.array(back.column("bucket").to_pylist()), kind="stable")
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table([[]] * len(names), schema=pa.schema(names))
+        c = Chunk.load(own.column("blob")[0].as_py())
+        t = Tokens(c, p.order)
         counts, places = [], []
+        order, bucket = np.array(back.column("n").to_pylist()), np.array(back.column("bucket").to_pylist())
+        blobs = back.column("blob").to_pylist()
         for n in range(1, p.order + 1):
-            got = back.column(f"c{n}").to_pylist()
-            counts.append(np.concatenate([numbers(got[i]) for i in order]))
+            cells_ = np.flatnonzero(order == n)
+            counts.append(np.concatenate([unpack(blobs[i])[0] for i in cells_[np.argsort(bucket[cells_])]]).astype(np.int64))
             places.append(np.unique(t.grams(n), return_inverse=True)[1])
-        tokens, words = (sum(back.column(c).to_pylist()) for c in ("tokens", "words"))
         auto = Automaton(t, places, counts, tokens, words, p)
-        held = [not x for x in docs.column("train").to_pylist()]
         base = np.add.reduceat(auto.unigram[t.flat], t.starts)
         known = np.add.reduceat((auto.known[t.flat] > 0).astype(np.int64), t.starts)
-        return pa.table([docs.column("doc_id").combine_chunks(), held, t.lengths, known, [tokens] * len(held), base, auto.run(t)], schema=pa.schema(names))
+        ids = pa.array(c.ids, pa.int64(), mask=c.null)
+        return pa.table([ids, ~c.flag, t.lengths, known, np.full(len(c.ids), tokens), base, auto.run(t, p)], schema=pa.schema(names))
 
     return run
 
@@ -274,23 +269,34 @@ def scored(p: Params, bits: int):
 def lm_scores(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    Documents are dealt into chunks of about ``chunk_chars`` by a hash. Each chunk sends its distinct n-grams,
+    Each task compiles what it reads into chunks of about ``chunk_chars``. A chunk sends its distinct n-grams,
     with their counts in training documents, to buckets by hash; a bucket sums them over all chunks and answers
     each chunk for its own n-grams only. The chunk builds its part of the automaton from the answers and
     traverses its documents. So no task and no driver ever holds the corpus's n-grams, a hot word is one entry
-    of each chunk, and what travels grows with the corpus.
+    of each chunk, texts aren't shuffled, and what travels grows with the distinct n-grams of chunks. The
+    number of a bucket's entries is bounded, that of buckets grows.
 
-    N-grams are known by 64-bit hashes. Null and empty texts are one end token. Repeated rows count and are
-    scored each; a null doc_id counts as the empty text in the fold. An empty table gives no rows.
+    N-grams are known by their bucket and 40 bits of hash. Null and empty texts are one end token. Repeated rows count
+    and are scored each; a null doc_id counts as the empty text in the fold. An empty table gives no rows.
     """
     p = params or Params()
-    base = texts(docs).withColumn("train", fold() != 1)
-    chars = base.agg(F.sum(F.length("text") + 8)).first()[0] or 0  # one number to the driver
-    chunks = max(1, -(-chars // p.chunk_chars))
-    bits = max(0, (chunks - 1).bit_length())
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    blobs = ", ".join(f"k{n} binary, c{n} binary" for n in range(1, p.order + 1))
-    asked = dealt.groupBy("chunk").applyInArrow(requests(p, bits), f"bucket long, chunk long, {blobs}")
-    answered = asked.groupBy("bucket").applyInArrow(replies(p), "chunk long, bucket long, tokens long, words long, " + ", ".join(f"c{n} binary" for n in range(1, p.order + 1)))
+    spark = docs.sparkSession
+    small_batches(spark)
+    cut = Cut(spark, "lm")
+    chunks = cut.write(compiled(texts(docs).withColumn("flag", fold() != 1), p.chunk_chars), "chunks")
+    # two numbers to the driver, then one
+    n_words, n_docs = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    bits = bucket_bits(n_words + n_docs, p.bucket)
+    held = chunks.select("blob").mapInArrow(words_of(bits), "bucket long, blob binary").groupBy("bucket").applyInArrow(distinct, "n long")
+    words = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int((c.lengths + 1)[c.flag].sum()) for c in map(Chunk.load, b.column(0).to_pylist())], pa.int64())], ["n"])
+
+    tokens = chunks.select("blob").mapInArrow(trained, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cell = "n int, bucket long, chunk long, blob binary"
+    asked = chunks.select("chunk", "blob").mapInArrow(requests(p, bits), cell)
+    answered = asked.groupBy("n", "bucket").applyInArrow(replies, cell)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(p, bits), out)
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(p, tokens, words), out)

@@ -134,7 +134,7 @@ def lm_reference(rows, order, p):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(spark, order):
-    p = backoff_lm.Params(order=order, prior=(3.0, 2.0), chunk_chars=700)
+    p = backoff_lm.Params(order=order, prior=(3.0, 2.0), chunk_chars=700, bucket=300, segment=7)
     rows = corpus(n=25)
     expected = lm_reference(rows, order, p)
     got = {}
