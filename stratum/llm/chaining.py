@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.chunks import Chunk, ascending, bucket_bits, cells, compiled, inner, mixed, pack, unpack
 from stratum.llm.common import Cut, parts, small_batches, texts
 
 
@@ -18,18 +18,24 @@ from stratum.llm.common import Cut, parts, small_batches, texts
 class Params:
     """k: words of a seed. window: consecutive seeds of which the least by hash is kept, so any window + k - 1
     words that two documents share give both a common seed. gap: cost of a chain for each word it leaves out on
-    either side. words: least words of a passage. percent: least share of aligned words in it. reach: words
-    beyond a chain's ends over which it may be extended. A fifth of a passage's words may be edited, at worst every
-    fifth one, so seeds are of four words and dense, and one by itself may lead to a passage."""
+    either side. words: least words of a passage. percent: least share of aligned words in it. worth: least words of
+    a chain's seeds, more than one seed has; again: times that a document says a seed by which this seed alone will do.
+    near: words between shared seeds of one stretch of text. reach: words beyond that stretch into which a
+    passage may still go on. drop: by how much an extension's score may fall below its best. A fifth of a
+    passage's words may be edited, at worst every fifth one, so seeds are of four words and dense."""
 
     k: int = 4
-    window: int = 4
-    gap: float = 0.25
+    window: int = 3
+    gap: float = 0.05
     words: int = 50
     percent: int = 80
+    worth: int = 5
+    again: int = 8
+    near: int = 24
     reach: int = 64
-    worth: float = 4.0
-    slips: int = 12
+    drop: int = 12
+    chunk_chars: int = 5_000_000
+    bucket: int = 2_500_000
 
 
 class Fenwick:
@@ -54,17 +60,6 @@ class Fenwick:
         return out
 
 
-def runs(q: np.ndarray, t: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query place, target place, words) of seeds joined along their diagonal where they touch or overlap."""
-    order = np.lexsort((q, t - q))
-    q, t = q[order], t[order]
-    new = np.ones(len(q), bool)
-    new[1:] = (np.diff(t - q) != 0) | (np.diff(q) > k)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(q)) - 1
-    return sorted((int(q[a]), int(t[a]), int(q[b] - q[a]) + k) for a, b in zip(first, last))
-
-
 def chains(segments: list[tuple[int, int, int]], p: Params) -> list[list[tuple[int, int, int]]]:
     """Chains of segments that ascend in both texts, each segment in one chain at most, the best chain first.
 
@@ -96,29 +91,33 @@ def chains(segments: list[tuple[int, int, int]], p: Params) -> list[list[tuple[i
             used[i] = True
             chain.append(segments[i])
             i = before[i]
-        if chain and sum(w for _, _, w in chain) >= p.worth:
+        if chain:
             out.append(chain[::-1])
     return out
 
 
-def common(x: list[str], y: list[str]) -> int:
-    """Length of the longest common subsequence of two short word lists."""
+def common(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence of two lists, by bits: of the words of x, a row of the usual table
+    is one number, in which a bit is 0 where the row steps up."""
     if not x or not y:
         return 0
-    row = [0] * (len(y) + 1)
-    for a in x:
-        corner = 0
-        for j, b in enumerate(y, 1):
-            corner, row[j] = row[j], corner + 1 if a == b else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def stretch(x: list[str], y: list[str], slips: int) -> tuple[int, int, int]:
+    masks: dict[int, int] = {}
+    for i, a in enumerate(x):
+        masks[a] = masks.get(a, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for b in y:
+        if m := masks.get(b):
+            row = (row + (row & m) | row & ~m) & full
+    return len(x) - row.bit_count()
+
+
+def stretch(x: list[int], y: list[int], drop: int) -> tuple[int, int, int]:
     """How far an alignment goes on from the start of x and y: words of x, of y, and aligned ones.
 
     Greedy: equal words count one, and after a difference the nearest pair of equal words (with an equal word
-    after it) within ``slips`` goes on, as long as the score of 1 a match and -1 a word left out stays within
-    ``slips`` of its best. The end is where the score was best.
+    after it) within ``drop`` goes on, as long as the score of 1 a match and -1 a word left out stays within
+    ``drop`` of its best. The end is where the score was best.
     """
     i = j = same = score = 0
     best = (0, 0, 0, 0)
@@ -128,19 +127,19 @@ def stretch(x: list[str], y: list[str], slips: int) -> tuple[int, int, int]:
             if score > best[0]:
                 best = (score, i, j, same)
             continue
-        for d in range(1, slips + 1):
+        for d in range(1, drop + 1):
             step = next(((a, d - a) for a in sorted(range(d + 1), key=lambda a: abs(2 * a - d)) if x[i + a : i + a + 2] == y[j + d - a : j + d - a + 2] and x[i + a : i + a + 2]), None)
             if step:
                 break
         if not step:
             break
         i, j, score = i + step[0], j + step[1], score - max(step)
-        if score < best[0] - slips:
+        if score < best[0] - drop:
             break
     return best[1:]
 
 
-def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: Params) -> list[tuple[int, int, int, int, int]]:
+def passages(x: list[int], y: list[int], chain: list[tuple[int, int, int]], p: Params) -> list[tuple[int, int, int, int, int]]:
     """(query start, end, target start, end, aligned words) of the passages in a chain, which don't overlap.
 
     A chain may join passages across words that have nothing in common. So each stretch of its segments, with its
@@ -152,8 +151,8 @@ def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: P
         part, (q0, t0), (q1, t1) = todo.pop()
         # ends of each candidate's parts: begins, ends and words aligned up to there, before and after each part
         (q, t, _), (r, u, w) = part[0], part[-1]
-        left = stretch(x[q0:q][::-1], y[t0:t][::-1], p.slips)
-        right = stretch(x[r + w : q1], y[u + w : t1], p.slips)
+        left = stretch(x[q0:q][::-1], y[t0:t][::-1], p.drop)
+        right = stretch(x[r + w : q1], y[u + w : t1], p.drop)
         starts, ends, same, at = [], [], 0, None
         if left[2]:
             starts.append((q - left[0], t - left[1], 0))
@@ -162,7 +161,7 @@ def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: P
         for q, t, w in part:
             if at:
                 a, b = x[at[0] : q], y[at[1] : t]
-                same += common(a, b) if len(a) * len(b) <= 40_000 else stretch(a, b, p.slips)[2]
+                same += common(a, b)
             starts.append((q, t, same))
             same += w
             at = (q + w, t + w)
@@ -181,10 +180,10 @@ def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: P
         _, i, j = best
         (a, c, v), (b, d, z) = starts[-i], ends[j]
         n = z - v
-        more = stretch(x[q0:a][::-1], y[t0:c][::-1], p.slips)
+        more = stretch(x[q0:a][::-1], y[t0:c][::-1], p.drop)
         if 100 * (n + more[2]) >= p.percent * max(b - a + more[0], d - c + more[1]):
             a, c, n = a - more[0], c - more[1], n + more[2]
-        more = stretch(x[b:q1], y[d:t1], p.slips)
+        more = stretch(x[b:q1], y[d:t1], p.drop)
         if 100 * (n + more[2]) >= p.percent * max(b - a + more[0], d - c + more[1]):
             b, d, n = b + more[0], d + more[1], n + more[2]
         if min(b - a, d - c) >= p.words:
@@ -195,159 +194,361 @@ def passages(x: list[str], y: list[str], chain: list[tuple[int, int, int]], p: P
     return sorted(out)
 
 
-def seeds(p: Params):
-    """(hash, doc_id, place) of the seeds that a window keeps."""
+def kept(c: Chunk, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and place of the seeds that the windows keep, in order of the documents and their words."""
+    n = len(c.flat)
+    doc = np.repeat(np.arange(len(c.lengths), dtype=np.int32), c.lengths)
+    place = np.arange(n, dtype=np.int64) - np.repeat(c.starts, c.lengths)
+    room = np.repeat(c.lengths, c.lengths) - place - p.k  # seeds of the document that start after this place
+    h = mixed(c.hashes)[c.flat]
+    s = np.zeros(n, np.uint64)
+    for j in range(p.k):
+        s[: n - j] = s[: n - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:]
+    s = mixed(s)
+    most = np.uint64(2**64 - 1)
+    s[room < 0] = most
+    # a window that starts here, or the only one of a short text
+    whole = (room >= p.window - 1) | (place == 0) & (room >= 0)
+    least, at = s.copy(), np.arange(n)
+    for j in range(1, p.window):
+        after = np.where(room[: n - j] >= j, s[j:], most)
+        lower = np.flatnonzero(after < least[: n - j])
+        least[lower] = after[lower]
+        at[lower] = lower + j
+    chosen = np.zeros(n, bool)
+    chosen[at[whole]] = True
+    at = np.flatnonzero(chosen)
+    # of a seed that follows on itself, as in a word said over and over, one in each stretch
+    same = (s[at][1:] == s[at][:-1]) & (doc[at][1:] == doc[at][:-1]) & (place[at][1:] // p.window == place[at][:-1] // p.window)
+    at = at[np.append(True, ~same)] if len(at) else at
+    return s[at], doc[at], place[at]
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys by value and, within one, by place; the starts of the groups in it; each key's group."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    return order, first, group
+
+
+def asked(c_ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+    """(bucket, blob) of a chunk's cells: its distinct keys, the first document and place of each, whether documents of other ids
+    have it too, and these documents' ids."""
+    if not len(keys):
+        return []
+    order, first, _ = grouped(keys)
+    last = np.append(first[1:], len(keys)) - 1
+    ids = c_ids[doc[order]]
+    distinct, one, at, many = keys[order][first], doc[order][first], place[order][first], ids[last] != ids[first]
+    out = []
+    for bucket, a, b in cells(distinct, bits):
+        used, index = np.unique(one[a:b], return_inverse=True)
+        out.append((bucket, pack(ascending(inner(distinct[a:b], bits)), index.astype(np.uint32), at[a:b].astype(np.uint32), many[a:b].view(np.uint8), used.astype(np.uint32), ascending(c_ids[used]))))
+    return out
+
+
+CELL = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
+
+def requests(p: Params, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        known: dict[bytes, int] = {}
         for b in batches:
-            ids, hashes, places = [], [], []
-            if len(known) > 400_000:
-                known.clear()
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = text.encode().lower().split()
-                n = len(words) - p.k + 1
-                if doc_id is None or n < 1:
-                    continue
-                for w in set(words).difference(known):
-                    known[w] = digest(w)
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                s = np.zeros(n, np.uint64)
-                for j in range(p.k):
-                    s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-                s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                s ^= s >> np.uint64(32)
-                if n <= p.window:
-                    at = np.array([int(s.argmin())])
-                else:
-                    view = np.lib.stride_tricks.sliding_window_view(s, p.window)
-                    at = np.unique(view.argmin(1) + np.arange(len(view)))
-                    # of a seed that follows on itself, as in a word said over and over, one in each stretch
-                    again = (np.diff(s[at]) == 0) & (np.diff(at // p.window) == 0)
-                    at = at[np.append(True, ~again)]
-                ids.append(np.full(len(at), doc_id))
-                hashes.append(s[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], ["h", "doc_id", "place"])
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = Chunk.load(blob)
+                rows = [(i, chunk, x) for i, x in asked(c.ids, *kept(c, p), bits)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), CELL)], CELL.names)
 
     return run
 
 
-def strings(p: Params):
-    """(hash, doc_id, place) of strings of seeds that follow each other in a document, from rows (doc_id, place, h,
-    other, at) in order of document and place.
+def firsts(table: pa.Table) -> pa.Table:
+    """Answers each cell of a bucket for the keys that documents of two ids or more have: which of the cell's keys
+    these are, and the first document, by id, and the place that each has there."""
+    chunk = np.array(table.column("chunk").to_pylist())
+    got = [unpack(x) for x in table.column("blob").to_pylist()]
+    sizes, tables = np.array([len(g[0]) for g in got]), np.array([len(g[4]) for g in got])
+    of_chunk, index, ids = np.repeat(chunk, tables), np.concatenate([g[4] for g in got]), np.concatenate([np.cumsum(g[5]) for g in got])
+    by = np.lexsort((index, of_chunk, ids))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    holder = np.concatenate([g[1].astype(np.int64) + a for g, a in zip(got, np.cumsum(tables) - tables)])
+    place, many = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+    keys = np.concatenate([np.cumsum(g[0]) for g in got])
+    del got
+    order, first, group = grouped(keys)
+    del keys
+    id_, ranked = ids[holder[order]], rank[holder[order]]
+    shared = (np.maximum.reduceat(id_, first) != np.minimum.reduceat(id_, first)) | (np.maximum.reduceat(many[order], first) > 0)
+    # a chunk has a key once, so the least rank of a group is that of one entry
+    best = order[ranked == np.repeat(np.minimum.reduceat(ranked, first), np.diff(first, append=len(order)))]
+    rows = []
+    for k, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+        which = np.flatnonzero(shared[group[a : a + n]])
+        if len(which):
+            entry = best[group[a + which]]
+            used, own = np.unique(holder[entry], return_inverse=True)
+            rows.append((k, pack(ascending(which.astype(np.uint32)), own.astype(np.uint32), place[entry], of_chunk[used], index[used], ids[used])))
+    where = [k for k, _ in rows]
+    return pa.table([table.column("bucket").take(pa.array(where, pa.int64())), table.column("chunk").take(pa.array(where, pa.int64())), pa.array([x for _, x in rows], pa.binary())], schema=CELL)
+
+
+@dataclass
+class Found:
+    """Keys of a chunk that other documents have too, in order of document and place: the document by its number in the chunk,
+    the place, and the first document with the key, by its row in ``holders``, and the place there. holders: chunk,
+    number in it and id."""
+
+    doc: np.ndarray
+    place: np.ndarray
+    key: np.ndarray
+    other: np.ndarray
+    at: np.ndarray
+    holders: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, back: pa.Table, bits: int) -> Found:
+        order, first, group = grouped(keys)
+        start = {bucket: a for bucket, a, _ in cells(keys[order][first], bits)}
+        other, at = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
+        tables, n = [np.zeros((0, 3), np.int64)], 0
+        for bucket, blob in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist()):
+            which, own, there, chunk, index, ids = unpack(blob)
+            mine = start[bucket] + np.cumsum(which.astype(np.int64))
+            other[mine], at[mine] = own.astype(np.int64) + n, there
+            tables.append(np.stack([chunk, index.astype(np.int64), ids], 1))
+            n += len(chunk)
+        holders, same = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+        same = same.reshape(-1)
+        live = np.flatnonzero(other[group] >= 0)
+        return cls(doc[live].astype(np.int64), place[live].astype(np.int64), keys[live], same[other[group[live]]] if n else np.zeros(0, np.int64), at[group[live]], holders)
+
+
+def strings(f: Found, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents and places of strings of seeds that follow each other in a document.
 
     A document that has a passage may hold each of its seeds after some other document does, and none of these need
     have the passage. A string of its seeds is had first by a document that has the string. From each seed,
     strings go on until they are as long as a passage. Where all seeds of one have the same first document on one
     diagonal, that document has the string, and none is given.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        at = None
-
-        def flush(out: list) -> None:
-            if not held:
-                return
-            place, h, other, there = (np.concatenate([x[k] for x in held]) for k in range(4))
-            key, mixed = h.view(np.uint64).copy(), np.zeros(len(h), bool)
-            live = np.arange(len(h) - 1)
-            n = 0
-            while len(live):
-                n += 1
-                live = live[live + n < len(h)]
-                end = live + n
-                span = place[end] - place[live]
-                # seeds that share no window with their neighbours are no string
-                near = place[end] - place[end - 1] <= p.window + p.k
-                live, end, span = live[near], end[near], span[near]
-                mixed[live] |= (other[end] != other[live]) | (there[end] - there[live] != span)
-                key[live] = (key[live] ^ (key[live] >> np.uint64(29)) ^ span.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + h[end].view(np.uint64)
-                # a passage of the least length has a string this long
-                some = live[mixed[live] & (span >= p.words - p.k - 2 * (p.window - 1))]
-                if len(some):
-                    out.append((key[some].view(np.int64), np.full(len(some), at, np.int64), place[some].astype(np.int32)))
-                live = live[span + p.k < p.words]
-
-        def table(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "doc_id", "place"])
-
-        for b in batches:
-            out: list = []
-            ids, place, h, other, there = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            cuts = np.flatnonzero(np.diff(ids)) + 1 if len(ids) else []
-            for x, y in zip([0, *cuts], [*cuts, len(ids)]):
-                if x == y:
-                    continue
-                if ids[x] != at:
-                    flush(out)
-                    at, held = ids[x], []
-                held.append((place[x:y].astype(np.int64), h[x:y], other[x:y], there[x:y].astype(np.int64)))
-            if out:
-                yield table(out)
-        out = []
-        flush(out)
-        if out:
-            yield table(out)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    key, strange = f.key.copy(), np.zeros(len(f.key), bool)
+    live, n = np.arange(max(0, len(key) - 1)), 0
+    while len(live):
+        n += 1
+        live = live[live + n < len(key)]
+        end = live + n
+        # seeds that share no window with their neighbours are no string
+        near = (f.doc[end] == f.doc[live]) & (f.place[end] - f.place[end - 1] <= p.window + p.k)
+        live, end = live[near], end[near]
+        span = f.place[end] - f.place[live]
+        strange[live] |= (f.other[end] != f.other[live]) | (f.at[end] - f.at[live] != span)
+        key[live] = mixed(key[live] ^ span.astype(np.uint64)) + f.key[end]
+        # a passage of the least length has a string this long
+        some = live[strange[live] & (span >= p.words - p.k - 2 * (p.window - 1))]
+        out.append((mixed(key[some]), f.doc[some], f.place[some]))
+        live = live[span + p.k < p.words]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def found(p: Params, bits: int):
+    """Of each chunk a row (bucket -1) with what it shares, and the cells of its strings."""
+
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        if not own.num_rows or not back.num_rows:
+            return CELL.empty_table()
+        chunk, c = own.column("chunk")[0].as_py(), Chunk.load(own.column("blob")[0].as_py())
+        f = Found.of(*kept(c, p), back, bits)
+        long = strings(f, p)
+        blob = pack(ascending(f.doc), f.place.astype(np.uint32), f.other.astype(np.uint32), f.at.astype(np.uint32), f.holders.reshape(-1), c.ids, *long[:1], long[1], long[2])
+        rows = [(-1, chunk, blob), *((i, chunk, x) for i, x in asked(c.ids, *long, bits))]
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), CELL)], schema=CELL)
 
     return run
 
 
-def firsts(found: DataFrame) -> DataFrame:
-    """h, other, at: the first document and place of what at least two documents have."""
-    return found.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("last != f.doc_id").select("h", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at"))
-
+def segments(doc: np.ndarray, other: np.ndarray, q: np.ndarray, t: np.ndarray, p: Params) -> Iterator[tuple[int, int, list[list[tuple[int, int, int]]]]]:
+    """(document, other, chains) of matches, chains of (place, place in other, words)."""
+    if not len(doc):
+        return
+    order = np.lexsort((q, t - q, other, doc))
+    doc, other, q, t = doc[order], other[order], q[order], t[order]
+    pair = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]))
+    # seeds joined along their diagonal where they touch or overlap
+    new = pair | np.append(True, (np.diff(t - q) != 0) | (np.diff(q) > p.k))
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(q)) - 1
+    of = np.cumsum(pair)[a] - 1
+    words = q[b] - q[a] + p.k
+    start = t[a]
+    # single seeds that meet one place of the other over and over: the first stands for all
+    rows = np.lexsort((q[a], start, of))
+    s, o = start[rows], of[rows]
+    head = np.append(True, (s[1:] != s[:-1]) | (o[1:] != o[:-1]))
+    group = np.cumsum(head) - 1
+    often = np.zeros(len(a), np.int64)
+    often[rows] = np.bincount(group)[group]
+    first = np.zeros(len(a), bool)
+    first[rows] = head
+    use = (words > p.k) | first
+    sum_ = np.bincount(of, np.where(use, words, 0), minlength=int(of.max(initial=-1)) + 1)
+    most = np.zeros(len(sum_), np.int64)
+    np.maximum.at(most, of, often)
+    good = use & ((sum_[of] >= p.worth) | (most[of] >= p.again))
+    a, of, words, often = a[good], of[good], words[good], often[good]
+    edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    for x, y in zip(edges, np.append(edges[1:], len(of))):
+        i = a[x]
+        rows = sorted(zip(q[a[x:y]].tolist(), t[a[x:y]].tolist(), words[x:y].tolist()))
+        loud = {(int(q[k]), int(t[k])) for k, n in zip(a[x:y], often[x:y]) if n >= p.again}
+        made = [c for c in (chains(rows, p) if len(rows) > 1 else [rows]) if sum(w for _, _, w in c) >= p.worth or c[0][:2] in loud]
+        if made:
+            yield int(doc[i]), int(other[i]), made
+
+
+LINK = pa.schema([("chunk", pa.int64()), ("asker", pa.int64()), ("blob", pa.binary())])
+
+
+def links(p: Params, bits: int):
+    """What each chunk wants of itself (asker is chunk) and of others, to align its chains: spans of documents, by
+    number, start and end. Of itself also the chains, and which spans each is about."""
+
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return LINK.empty_table()
+        me = own.column("chunk")[0].as_py()
+        doc, place, other, at, holders, ids, key, long_doc, long_place = unpack(own.column("blob")[0].as_py())
+        doc, holders = np.cumsum(doc), holders.reshape(-1, 3)
+        place, other, at = place.astype(np.int64), other.astype(np.int64), at.astype(np.int64)
+        more = Found.of(key, long_doc, long_place, back, bits)
+        every = np.concatenate((holders, more.holders))
+        d, q, o, t = np.concatenate((doc, more.doc)), np.concatenate((place, more.place)), np.concatenate((other, more.other + len(holders))), np.concatenate((at, more.at))
+        # one row of holders for each document
+        every, same = np.unique(every, axis=0, return_inverse=True)
+        o = same.reshape(-1)[o] if len(o) else o
+        use = ids[d] != every[o, 2] if len(o) else np.zeros(0, bool)
+        # stretches of shared seeds, by their first and last places
+        apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > p.near)) if len(doc) else np.zeros(0, bool)
+        where = np.flatnonzero(apart)
+        low, high = place[where], place[np.append(where[1:], len(place)) - 1] + p.k if len(doc) else place
+        flat = doc[where] << 40 | low
+        mine, theirs, chain_rows = [], {}, []
+        for i, j, made in segments(d[use], o[use], q[use], t[use], p):
+            to, number, id_ = every[j].tolist()
+            for c in made:
+                (q0, t0, _), (q1, t1, w) = c[0], c[-1]
+                k = int(np.searchsorted(flat, i << 40 | q0, "right")) - 1
+                z = int(np.searchsorted(flat, i << 40 | (q1 + w), "right")) - 1
+                left, right = q0 - int(min(low[k], q0)) + p.reach, int(max(high[z], q1 + w)) - q1 - w + p.reach
+                mine.append((i, max(0, q0 - left), q1 + w + right))
+                span = (max(0, t0 - left - left // 4), t1 + w + right + right // 4)
+                known = theirs.setdefault((to, number), [id_, *span])
+                known[1], known[2] = min(known[1], span[0]), max(known[2], span[1])
+                chain_rows.append((i, to, number, len(c), *(x for s in c for x in s)))
+        if not mine:
+            return LINK.empty_table()
+        rows = []
+        wanted: dict[int, list] = {}
+        for (to, number), (_, a, b) in theirs.items():
+            wanted.setdefault(to, []).append((number, a, b))
+        for to, spans in wanted.items():
+            rows.append((to, me, pack(*np.array(sorted(spans), np.int64).T)))
+        names = np.array([(to, number, id_) for (to, number), (id_, _, _) in theirs.items()], np.int64)
+        rows.append((me, -1, pack(*np.array(mine, np.int64).T, np.concatenate([np.array(r, np.int64) for r in chain_rows]), names.reshape(-1), ids)))
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), LINK)], schema=LINK)
 
-def chained(p: Params):
-    """Chains of each pair of documents, from rows (doc_id, other, place, at) in order of the pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def flush(out: list) -> None:
-            if held:
-                q, t = np.concatenate([x for x, _ in held]).astype(np.int64), np.concatenate([y for _, y in held]).astype(np.int64)
-                out += [(*at, [{"q": a, "t": b, "w": w} for a, b, w in c]) for c in chains(runs(q, t, p.k), p)]
-
-        def table(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.struct([("q", pa.int32()), ("t", pa.int32()), ("w", pa.int32())]))))], ["doc_id", "other", "chain"])
+    return run
 
-        for b in batches:
-            out: list = []
-            one, two, place, there = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            cuts = np.flatnonzero((np.diff(one) != 0) | (np.diff(two) != 0)) + 1 if len(one) else []
-            for x, y in zip([0, *cuts], [*cuts, len(one)]):
-                if x == y:
-                    continue
-                if (int(one[x]), int(two[x])) != at:
-                    flush(out)
-                    at, held = (int(one[x]), int(two[x])), []
-                held.append((place[x:y], there[x:y]))
-            if out:
-                yield table(out)
-        out = []
-        flush(out)
-        if out:
-            yield table(out)
 
-    return run
+SERVED = pa.schema([("asker", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
+
+
+def served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, by 32 bits of their hashes, of the spans that rows (chunk, asker, blob) ask for, each chunk's own words
+    (asker -2) first. Nothing but that chunk and one batch is held, however many ask."""
+    at, c = None, None
+    for b in batches:
+        rows = []
+        for chunk, asker, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if asker == -2:
+                at, c = chunk, Chunk.load(blob)
+                starts, low = c.starts, (mixed(c.hashes) >> np.uint64(32)).astype(np.uint32)
+                continue
+            assert at == chunk
+            number, a, z, *rest = unpack(blob)
+            z = np.minimum(z, c.lengths[number])
+            a = np.minimum(a, z)
+            flat = np.repeat(starts[number] + a - (np.cumsum(z - a) - (z - a)), z - a) + np.arange(int((z - a).sum()))
+            words = low[c.flat[flat]]
+            rows.append((chunk if asker == -1 else asker, -1 if asker == -1 else chunk, pack(number, a, z, np.frombuffer(words.tobytes(), np.uint8), *rest)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SERVED)], SERVED.names)
+
+
+NAMES = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "same", "percent"]
+TYPES = [pa.int64()] * 7 + [pa.float64()]
+
+
+def merged(rows: list[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+    """Passages of one pair that overlap in the document are one, described by its longest alignment."""
+    start = end = best = None
+    for a, b, c, d, same in [*sorted(rows), (None,) * 5]:
+        if best and (a is None or a >= end):
+            yield (start, end, *best[1:], 100.0 * best[0][0] / best[0][1])
+            best = None
+        if a is None:
+            return
+        worth = ((same, max(b - a, d - c), -a, -c), c, d, same)
+        share = lambda x: (x[0][0], x[0][0] / x[0][1], *x[0][2:])
+        if not best:
+            start, end, best = a, b, worth
+        else:
+            end = max(end, b)
+            best = max(best, worth, key=share)
 
 
 def aligned(p: Params):
-    names = [("doc_id", pa.int64()), ("other_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other_start", pa.int64()), ("other_end", pa.int64()), ("same", pa.int64()), ("percent", pa.float64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, other, chain, q0, x, t0, y in zip(*(b.column(i).to_pylist() for i in range(7))):
-                local = [(c["q"] - q0, c["t"] - t0, c["w"]) for c in chain]
-                for a, e, c, d, same in passages(x or [], y or [], local, p):
-                    rows.append((doc_id, other, a + q0, e + q0, c + t0, d + t0, same, 100.0 * same / max(e - a, d - c)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), names)], [n for n, _ in names])
+    def run(table: pa.Table) -> pa.Table:
+        spans: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+        own = None
+        for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()):
+            number, a, z, words, *rest = unpack(blob)
+            edges = np.cumsum([0, *(z - a)])
+            words = words.view(np.uint32)
+            if chunk == -1:
+                own = (number, a, z, edges, words, *rest)
+                continue
+            for i, n in enumerate(number.tolist()):
+                spans[chunk, n] = (int(a[i]), int(z[i]), words[edges[i] : edges[i + 1]])
+        if own is None:
+            return pa.table([[]] * len(NAMES), schema=pa.schema(list(zip(NAMES, TYPES))))
+        number, a, z, edges, words, rows, names, ids = own
+        id_of = {(to, n): i for to, n, i in names.reshape(-1, 3).tolist()}
+        pairs: dict[tuple[int, int, int], list] = {}
+        at, rows = 0, rows.tolist()
+        for k in range(len(number)):
+            doc, to, n, size = rows[at : at + 4]
+            chain = [tuple(rows[at + 4 + 3 * j : at + 7 + 3 * j]) for j in range(size)]
+            at += 4 + 3 * size
+            q0, x = int(a[k]), words[edges[k] : edges[k + 1]]
+            low, high, other = spans[to, n]
+            (qa, ta, _), (qb, tb, w) = chain[0], chain[-1]
+            # of what others of this chunk wanted of that document, what this chain may need
+            t0 = max(low, ta - (qa - q0) - (qa - q0) // 4)
+            right = int(z[k]) - qb - w
+            y = other[t0 - low : max(0, min(high, tb + w + right + right // 4 + p.reach) - low)]
+            out = pairs.setdefault((doc, to, n), [])
+            if size == 1 and len(x) == len(y) == w and (x == y).all():
+                found_ = [(0, w, 0, w, w)] if w >= p.words else []
+            else:
+                found_ = passages(x.tolist(), y.tolist(), [(q - q0, t - t0, v) for q, t, v in chain], p)
+            out += [(s + q0, e + q0, c + t0, d + t0, same) for s, e, c, d, same in found_]
+        ready = [(int(ids[doc]), id_of[to, n], *r) for (doc, to, n), found_ in pairs.items() for r in merged(found_)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*ready) if ready else [[]] * len(NAMES), TYPES)], names=NAMES)
 
     return run
 
@@ -355,53 +556,43 @@ def aligned(p: Params):
 def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, other_id, start, end, other_start, other_end, same, percent: passages by words, end exclusive.
 
-    Seeds are runs of k words, kept by windows. Each document with a seed is matched to the smallest doc_id that
-    has it, so a passage of any number of documents gives as many matches as it has occurrences; each later document
-    is linked to the first, never all with all. So are strings of seeds, up to the length of a passage, where their
-    seeds stand first in different documents: exact passages of words + 2 * (window - 1) words or more are
-    linked to a document that has ``words`` words of them, whatever pieces earlier documents hold. Shorter ones and
-    fuzzy ones may still be missed where earlier documents hold all their shared seeds or strings, but less of the text.
-
-    Matches are chained by pair of documents, the gaps of a chain aligned and its ends extended on the words
-    themselves; a chain is split where the words it leaves out would bring it under ``percent``. A passage counts
-    with ``words`` words on both sides of which ``percent`` are aligned.
-
-    Null, empty and short texts have no seeds; a null doc_id takes no part; of rows that repeat a doc_id the
-    smallest text counts; repeats within one document are no passage here. An empty table gives no rows.
+    1. Documents are compiled into chunks. A chunk asks hash buckets about its distinct seeds, runs of k words kept by
+       windows; a bucket answers for those that documents of two ids have, with the first document by id and its place. So
+       a seed that a third of all documents have is one entry of each chunk, and never a group of rows.
+    2. Each document with a seed is matched to its first document, so a passage of any number of documents gives as many
+       matches as it has occurrences; each later document is linked to the first, never all with all. So are strings
+       of seeds, up to the length of a passage, where their seeds stand first in different documents: exact passages
+       of words + 2 * (window - 1) words or more are linked to a document that has ``words`` words of
+       them, whatever pieces earlier documents hold. Shorter ones and fuzzy ones may still be missed where
+       earlier documents hold all their shared seeds or strings, but less of the text.
+    3. Matches are chained by pair of documents in the chunk of the later one, which asks the other's chunk for the words
+       around: over the stretch of shared seeds that the chain lies in, and ``reach`` words beyond. Gaps of a chain are
+       aligned exactly and its ends extended; a chain is split where the words it leaves out would bring it under
+       ``percent``. A passage counts with ``words`` words on both sides of which ``percent`` are aligned.
+
+    Words are compared by 32 bits of a hash, seeds by their bucket and 40. Null, empty and short texts have no seeds; a null
+    doc_id takes no part; each of rows that repeat a doc_id is compared with other ids' rows, and what they find alike
+    is given once; repeats within one doc_id are no passage here. An empty table gives no rows; other columns are ignored.
     """
     p = params or Params()
     spark = docs.sparkSession
     small_batches(spark)
     cut = Cut(spark, "passages")
-    base = texts(docs)
-    found = cut.write(base.mapInArrow(seeds(p), "h long, doc_id long, place int"), "seeds")
-    shared = cut.write(found.join(firsts(found), "h").select("doc_id", "place", "h", "other", "at"), "shared")
-    cut.drop("seeds")
-    by_place = shared.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "place", "h")
-    longer = cut.write(by_place.mapInArrow(strings(p), "h long, doc_id long, place int"), "strings")
-    both = shared.select("doc_id", "other", "place", "at").unionByName(longer.join(firsts(longer), "h").select("doc_id", "other", "place", "at"))
-    matches = both.where("doc_id != other")
-    # one document's matches with one other are bounded by its own length
-    ordered = matches.repartition(parts(spark), "doc_id").sortWithinPartitions("doc_id", "other", "place", "at")
-    links = cut.write(ordered.mapInArrow(chained(p), "doc_id long, other long, chain array<struct<q int, t int, w int>>"), "links")
+    base = texts(docs).where("doc_id is not null").withColumn("flag", F.lit(False))
+    chunks = cut.write(compiled(base, p.chunk_chars), "chunks").select("chunk", "n_words", "blob")
+    # one number to the driver; about two seeds of each window + 1 are kept
+    bits = bucket_bits(2 * (chunks.agg(F.sum("n_words")).first()[0] or 0) // (p.window + 1), p.bucket)
+    cell, link = "bucket long, chunk long, blob binary", "chunk long, asker long, blob binary"
+    chunks = chunks.select("chunk", "blob")
+    first = cut.write(chunks.mapInArrow(requests(p, bits), cell).groupBy("bucket").applyInArrow(firsts, cell), "firsts")
+    shared = cut.write(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(found(p, bits), cell), "shared")
+    cut.drop("firsts")
+    longer = shared.where("bucket >= 0").groupBy("bucket").applyInArrow(firsts, cell)
+    wanted = cut.write(shared.where("bucket < 0").groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(links(p, bits), link), "links")
     cut.drop("shared")
-    cut.drop("strings")
-    low = lambda side: F.greatest(F.lit(0), F.element_at("chain", 1)[side] - p.reach)
-    high = lambda side: F.element_at("chain", -1)[side] + F.element_at("chain", -1)["w"] + p.reach
-    spans = links.select("doc_id", "other", "chain", low("q").alias("q0"), high("q").alias("q1"), low("t").alias("t0"), high("t").alias("t1"))
-    ids = links.select(F.explode(F.array("doc_id", "other")).alias("doc_id")).distinct()
-    lower = F.translate(F.min("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(lower, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    # each document's words are told apart once, however many chains it has
-    own = cut.write(base.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(words.alias("words")), "words")
-    part = lambda a, b: F.slice("words", F.col(a) + 1, F.col(b) - F.col(a))
-    here = spans.join(own, "doc_id").withColumn("x", part("q0", "q1")).drop("words")
-    both = here.join(own.withColumnRenamed("doc_id", "other"), "other").withColumn("y", part("t0", "t1"))
-    rows = both.select("doc_id", "other", "chain", "q0", "x", "t0", "y").mapInArrow(aligned(p), "doc_id long, other_id long, start long, end long, other_start long, other_end long, same long, percent double")
-    # chains of a pair that overlap in the document are one passage, described by its longest alignment
-    by = Window.partitionBy("doc_id", "other_id").orderBy("start", "end")
-    new = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
-    islands = rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(by))
-    best = F.max_by(F.struct("other_start", "other_end", "same", "percent"), F.struct("same", "percent", -F.col("start"), -F.col("other_start")))
-    merged = islands.groupBy("doc_id", "other_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("b"))
-    return merged.select("doc_id", "other_id", "start", "end", "b.*")
+    rows = wanted.unionByName(chunks.join(wanted.select("chunk").distinct(), "chunk", "left_semi").select("chunk", F.lit(-2).cast("long").alias("asker"), "blob"))
+    answers = cut.write(rows.repartition(parts(spark), "chunk").sortWithinPartitions("chunk", "asker").mapInArrow(served, "asker long, chunk long, blob binary"), "words")
+    cut.drop("links")
+    cut.drop("chunks")
+    out = "doc_id long, other_id long, start long, end long, other_start long, other_end long, same long, percent double"
+    return answers.groupBy("asker").applyInArrow(aligned(p), out).distinct()
