@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Cut, parts, small_batches, texts, told_apart
+from stratum.llm.common import Cut, joined, parts, small_batches, texts, told_apart
 from stratum.llm.components import components
 
 
@@ -20,7 +20,7 @@ class Params:
     """words of a shingle; percent: least similarity of a link. bands of rows minima each give candidates. bits
     of each minimum stay in a signature. margin: standard errors by which an estimate may lie below the threshold
     and still be confirmed. bucket: members up to which buckets with the same members in several bands are told.
-    block: members of a bucket that one task holds; see near_duplicates."""
+    block: shingles of a bucket's members that a part holds, about; see near_duplicates."""
 
     words: int = 5
     percent: int = 85
@@ -29,7 +29,7 @@ class Params:
     bits: int = 8
     margin: float = 5.0
     bucket: int = 64
-    block: int = 20_000
+    block: int = 4_000_000
     seed: int = 9
 
     @property
@@ -116,8 +116,8 @@ def least_estimate(p: Params) -> float:
 
 
 def linked(p: Params):
-    """(a, b) of links that join a bucket's members, for rows (key, part, band, id, label, signature, keys, hashes)
-    in order of key and part.
+    """(a, b) of links that join a bucket's members, for rows (key, part, band, id, label, side, signature, keys,
+    hashes) in order of key and part.
 
     A member meets those of other components that share no lower band with it, so a pair meets once over all
     bands, and whose estimate isn't clearly below the threshold. Their whole sets are compared at once by the
@@ -126,7 +126,7 @@ def linked(p: Params):
     """
     least = least_estimate(p)
 
-    def bucket(band: int, ids: np.ndarray, labels: list[int], sig: np.ndarray, keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def bucket(band: int, ids: np.ndarray, labels: list[int], side: np.ndarray, sig: np.ndarray, keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n, out = len(ids), []
         names, root = np.unique(np.array(labels), return_inverse=True)
         if len(names) == 1:
@@ -135,7 +135,7 @@ def linked(p: Params):
         starts = order = None
         for i in range(n):
             other = np.flatnonzero(root != root[i])
-            other = other[other > i] if len(other) else other
+            other = other[(other > i) & ((side[other] != side[i]) | (side[i] == 2))] if len(other) else other
             if not len(other):
                 continue
             other = other[estimates(sig[i], sig[other], p) >= least]
@@ -165,14 +165,14 @@ def linked(p: Params):
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 held.sort(key=lambda r: r[1])
-                bands, ids, labels, sigs, keys, sets = zip(*held)
-                pairs = bucket(bands[0], np.array(ids), list(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), np.array(keys), [np.frombuffer(x, np.uint64) for x in sets])
+                bands, ids, labels, sides, sigs, keys, sets = zip(*held)
+                pairs = bucket(bands[0], np.array(ids), list(labels), np.array(sides), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), np.array(keys), [np.frombuffer(x, np.uint64) for x in sets])
                 if pairs:
                     a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for key, part, *row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            for key, part, *row in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if (key, part) != at:
                     yield from flush()
                     at, held = (key, part), []
@@ -183,68 +183,107 @@ def linked(p: Params):
 
 
 def buckets_of(classes: DataFrame, p: Params, cut: Cut) -> DataFrame:
-    """key, band, id, size of the bands' buckets with two members at least. Of small buckets that have the very
-    same members in several bands only the one of the lowest band is kept."""
-    keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    every = cut.write(keyed.join(shared, "key"), "keyed")
-    lists = every.where(F.col("size") <= p.bucket).groupBy("key", "band", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    once = lists.groupBy("ids").agg(F.min(F.struct("band", "key", "size")).alias("b")).select("b.key", "b.band", F.explode("ids").alias("id"), "b.size")
-    return cut.write(every.where(F.col("size") > p.bucket).select("key", "band", "id", "size").unionByName(once), "buckets")
+    """key, band, id, n and the size, in members and shingles, of the bands' buckets with two members at least. Of small buckets that have
+    the very same members in several bands only the one of the lowest band is kept."""
+    keyed = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    shared = cut.write(keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1"), "shared")
+    every = cut.write(joined(keyed, shared, "key", "size"), "keyed")
+    cut.drop("shared")
+    lists = every.where(F.col("size") <= p.bucket).groupBy("key", "band", "size", "weight").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    once = lists.groupBy("ids").agg(F.min(F.struct("band", "key", "size", "weight")).alias("b")).select("b.key", "b.band", F.explode("ids").alias("m"), "b.size", "b.weight").select("key", "band", "m.id", "m.n", "size", "weight")
+    out = cut.write(every.where(F.col("size") > p.bucket).select("key", "band", "id", "n", "size", "weight").unionByName(once), "buckets")
+    cut.drop("keyed")
+    return out
 
 
-def dealt(rows: DataFrame, p: Params, roams: Column) -> DataFrame:
-    """Adds ``part``: a bucket of over ``block`` members is dealt into parts by id; those that roam go to all parts."""
-    count = F.ceil(F.col("size") / p.block).cast("int")
-    one = F.when(count > 1, F.array(F.pmod(F.hash("id"), count))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("part", F.explode(F.when((count > 1) & roams, F.sequence(F.lit(0), count - 1)).otherwise(one)))
+def blocks(weight: Column, p: Params) -> Column:
+    """Blocks of about ``block`` shingles."""
+    return F.greatest(F.lit(1), F.ceil(weight / p.block)).cast("long")
+
+
+def spread(count: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), count)
+
+
+def all_of(count: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), count - 1)
+
+
+def dealt(rows: DataFrame, p: Params) -> DataFrame:
+    """Adds ``part`` and ``side``: a bucket is dealt into blocks by id, each with the bucket's smallest member."""
+    count = blocks(F.col("weight"), p)
+    part = F.when(F.col("id") == F.col("least"), all_of(count)).otherwise(F.array(spread(count)))
+    return rows.withColumn("part", F.explode(part)).withColumn("side", F.lit(2)).drop("least")
+
+
+def crossed(rows: DataFrame, p: Params) -> DataFrame:
+    """Adds ``part`` and ``side`` to rows that say whether they roam and how much does: each block of members that don't (side 0)
+    meets each block of those that do (1), and each block of the latter meets each other (2). So every pair of
+    which one roams is in a part, and a part is two blocks, however many roam."""
+    stay, roam = blocks(F.col("weight") - F.col("roaming"), p), blocks(F.col("roaming"), p)
+    cell = lambda i, j: i * F.lit(1 << 24) + j
+    place = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
+    own = spread(roam)
+    staying = F.transform(all_of(roam), lambda j: place(cell(spread(stay), j), 0))
+    meeting = F.transform(all_of(stay), lambda i: place(cell(i, own), 1))
+    among = F.transform(all_of(roam), lambda j: place(F.lit(1 << 48) + cell(F.least(j, own), F.greatest(j, own)), 2))
+    cells = F.when(F.col("roams"), F.concat(meeting, among)).otherwise(staying)
+    return rows.withColumn("c", F.explode(cells)).select(*rows.columns, "c.part", "c.side").drop("roams", "roaming")
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     1. Each document gives its set's size, a hash of the whole set, a b-bit signature and its bands' keys.
-    2. Documents of equal sets form a class, by partial minima; only the smallest doc_id of a class goes on. So
-       any number of copies costs no more than one of them.
+    2. Documents of equal sets form a class, by partial minima; only one of a class goes on. So any number of copies costs
+       no more than one of them.
     3. Classes that share a band's key meet in a bucket. There, pairs whose estimate, corrected for chance
        collisions, is not clearly below the threshold are confirmed on whole sets, which are made anew for the
        members of such buckets only. A bucket gives the links that join its members, never all its pairs.
-    4. A bucket of over ``block`` members is dealt into parts, each with the smallest member. Once the links of the
-       parts have joined components, the members outside the bucket's largest component, few by then, go to
-       every part, so that each pair of different components is compared somewhere.
+    4. A bucket of over ``block`` shingles is dealt into blocks, each with the smallest member. Once the links of the
+       blocks have joined components, the members outside the bucket's largest component are compared with all others,
+       in parts of two blocks, so that each pair of different components is compared and no task holds a bucket.
 
     Null, empty and blank texts have no set and are linked with nothing, as is a null doc_id. Rows that repeat a
-    doc_id all stay and share its component; if their texts differ, links to unequal sets are sought for one of
-    the texts, that of the smallest hash. An empty table gives no rows; further columns are ignored.
+    doc_id all stay and share its component, which the links of all their texts join. An empty table gives no rows; further
+    columns are ignored.
     """
     p = params or Params()
-    spark = docs.sparkSession
-    small_batches(spark)
-    cut = Cut(spark, "near")
-    base = texts(docs)
+    small_batches(docs.sparkSession)
+    with Cut(docs.sparkSession, "near") as cut:
+        return cut.result(components_of(texts(docs), p, cut))
+
+
+def components_of(base: DataFrame, p: Params, cut: Cut) -> DataFrame:
+    spark = base.sparkSession
     signatures = cut.write(base.mapInArrow(signed(p), SIGNED), "signed")
     usable = signatures.where("whole is not null and doc_id is not null")
-    same = usable.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min(F.struct("signature", "keys")).alias("s"))
-    # one class for an id, should one doc_id have several texts
-    classes = cut.write(same.groupBy("id").agg(F.min("whole").alias("whole"), F.min_by("s", "whole").alias("s")).select("id", "whole", "s.signature", "s.keys"), "classes")
-    members = usable.select("doc_id", "whole").join(same.select("whole", "id"), "whole").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
+    same = usable.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min(F.struct("n_shingles", "signature", "keys")).alias("s"))
+    # a class is known by a number, as one doc_id may stand first in several
+    classes = cut.write(same.select(F.xxhash64("whole").alias("id"), "whole", "rep", "rows", F.col("s.n_shingles").alias("n"), "s.signature", "s.keys"), "classes")
+    members = joined(usable.select("doc_id", "whole"), classes.select("whole", "rep", "rows"), "whole", "rows").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     buckets = buckets_of(classes, p, cut)
     own = sets_of(base, buckets.select("id").distinct().join(classes, "id"), p)
 
     def links(rows: DataFrame) -> DataFrame:
-        full = rows.join(own, "id").select("key", "part", "band", "id", "label", "signature", "keys", "hashes")
+        full = rows.join(own, "id").select("key", "part", "band", "id", "label", "side", "signature", "keys", "hashes")
         return full.repartition(parts(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(linked(p), "a long, b long").distinct()
 
     rows = buckets.withColumn("label", F.col("id"))
-    large = rows.where(F.col("size") > p.block)
+    large = rows.where(F.col("weight") > p.block)
     least = large.groupBy("key").agg(F.min("id").alias("least"))
-    found = cut.write(links(dealt(rows.join(least, "key", "left"), p, F.col("id") == F.col("least")).drop("least")), "links")
+    found = cut.write(links(dealt(rows.join(least, "key", "left"), p)), "links")
     if not large.isEmpty():
         labels = components(found, cut, "first")
         named = large.drop("label").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        common = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-        found = found.unionByName(cut.write(links(dealt(named.join(common, "key"), p, F.col("label") != F.col("common")).drop("common")), "more"))
-    final = components(members.unionByName(found), cut, "final")
+        by_label = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        common = by_label.groupBy("key").agg(F.max_by(F.struct("label", "w"), F.struct("m", "label")).alias("c"), F.sum("w").alias("all_"), F.count("*").alias("labels")).where("labels > 1")
+        roaming = named.join(common.select("key", F.col("c.label").alias("common"), (F.col("all_") - F.col("c.w")).alias("roaming")), "key").withColumn("roams", F.col("label") != F.col("common")).drop("common")
+        found = found.unionByName(cut.write(links(crossed(roaming, p)), "more"))
+    # back from classes to the documents that stand for them
+    rep = lambda name: classes.select(F.col("id").alias(name), F.col("rep").alias(f"rep_{name}"))
+    between = found.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    final = components(members.unionByName(between), cut, "final")
     out = signatures.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     own_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), own_id.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -256,21 +295,26 @@ def sets_of(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingles(t, p.words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["id", "whole", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["rep", "whole", "hashes"])
 
-    wanted = base.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(sets, "id long, whole binary, hashes binary").dropDuplicates(["id", "whole"]).join(classes, ["id", "whole"]).select("id", "signature", "keys", "hashes")
+    wanted = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return wanted.mapInArrow(sets, "rep long, whole binary, hashes binary").dropDuplicates(["rep", "whole"]).join(classes, ["rep", "whole"]).select("id", "signature", "keys", "hashes")
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The documents without those that are linked to one of a smaller doc_id, with all their columns. Documents
-    without words all stay, as does a null doc_id; rows that repeat a kept doc_id stay as one, the first by text."""
+    """The documents without those that are linked to one of a smaller doc_id, with all their columns.
+
+    Documents without words all stay, as does a null doc_id. Of rows that repeat a kept doc_id and have the same
+    words in the same order, one stays; unlike ones all do. An empty table gives an empty table; columns of any name and type
+    are kept.
+    """
     gone = near_duplicates(docs, params).where(~F.col("kept")).select("doc_id").distinct()
     names, docs = docs.columns, told_apart(docs)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not again.isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
-        left = left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        words = F.md5(F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " ")).cast("binary"))
+        once = left.join(again, "doc_id", "left_semi").withColumn("_words", words).dropDuplicates(["doc_id", "_words"])
+        left = left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
     return left.select(*docs.columns).toDF(*names)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,39 +58,95 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (local tests), one temporary folder of the session."""
+    on a local master, as in tests, one temporary folder of the session."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="stratum-")
         spark.sparkContext.setCheckpointDir(f"file://{at}")
         at = f"file://{at}"
     return str(at).rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders of tables that results still read from, to be deleted when the application ends.
+LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def clean() -> None:
+    for path, spark in LEFT.items():
+        try:
+            if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+                delete(spark, path)
+        except Exception as e:  # the application ends anyway
+            print(f"{path} may be left: {type(e).__name__}")
+
+
 class Cut:
     """Tables written once to the shared folder, to be read many times and deleted when done with.
 
-    A lost executor loses nothing of them, and later stages start from the table.
+    A lost executor loses nothing of them, and later stages start from the table. As a context, it deletes all of its tables
+    but ``result`` on leaving, also upon failure. A result is read from as long as the application lasts, and
+    deleted when that ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
         self.turn = 0
+        LEFT[self.root] = spark
+
+    def __enter__(self) -> Cut:
+        return self
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a table; an earlier one of that name goes once the new one is there."""
+    def __exit__(self, kind: object, *_: object) -> None:
+        for name in list(self.paths):
+            if kind or name != "result":
+                self.drop(name)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The table that stays."""
+        return self.write(df, "result")
+
+    def write(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """``df`` as a table; an earlier one of that name goes once the new one is there. The shuffle files it came
+        from are then of no more use: with ``free``, the driver's garbage is collected at once, upon which Spark deletes
+        them, instead of when its memory happens to run short."""
         self.turn += 1
         path = f"{self.root}/{name}-{self.turn}"
         df.write.parquet(path)
+        for _ in range(2 if free else 0):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)  # references are let go of by other threads
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         if old := self.paths.pop(name, None):
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(self.spark, old)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 500) -> DataFrame:
+    """``rows`` with the columns of ``table``, which is written, has a row a key, and says in ``weight`` how many rows have it.
+
+    Keys of ``most`` rows or more, and of a thousandth of all at least, come by a broadcast; that many rows can only be had by a
+    thousand keys. So no task of the shuffled rest gets a key with more.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) >= max(most, -(-total // 1000))
+    if table.where(hot).isEmpty():
+        return rows.join(table, key)
+    few = table.where(hot)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
 
 
 def parts(spark: SparkSession) -> int:

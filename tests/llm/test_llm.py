@@ -83,16 +83,16 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 12)]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)]  # ties
-    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (404, []), (450, [0.5] * 5), (None, [0.1] * 12), (500, rows[0][1])]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (404, []), (450, [0.5] * 5), (None, [0.1] * 12), (500, rows[0][1]), (551, [300000.0, 1.0]), (550, [1e16, -2.0] * 6), (552, [-1e200]), (553, [0.001] * 3000), (0, rows[0][1]), (1, rows[1][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, rank int")
-    got = sorted(map(tuple, impact_index.top_k(df, impact_index.Params(shard=64, block=4)).collect()))
+    got = sorted(map(tuple, impact_index.top_k(df, impact_index.Params(shard=64)).collect()))
     fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for q, v in fine:
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in fine if i != q)[:5]
+            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, c)))), i) for i, c in fine if i != q)[:5]
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert got == sorted(expected)
+    assert got == sorted(set(expected))  # a repeated query is asked once
     assert impact_index.top_k(df.limit(0)).count() == 0
 
 
@@ -310,7 +310,7 @@ def test_mixing(spark):
 
 
 def test_poisson_inverse(spark):
-    df = spark.range(20_000).select(F.col("id").cast("string").alias("k")).select(mixing.poisson(mixing.uniform(F.col("k"), "s"), F.lit(2.5), 64).alias("n"))
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("k")).select(mixing.poisson(mixing.uniform(F.col("k"), "s"), F.lit(2.5)).alias("n"))
     counts = {r.n: r["count"] for r in df.groupBy("n").count().collect()}
     for k in range(7):
         want = 20_000 * math.exp(-2.5) * 2.5**k / math.factorial(k)
@@ -404,7 +404,8 @@ def test_one_document_of_each_group_stays(spark):
     out = bbit.one_of_each(docs(spark, *rows), bbit.Params(percent=80))
     kept = [r.doc_id for r in out.collect()]
     want = {i for i, _, c in near_reference(corpus(3), 80) if i == c}
-    assert set(kept) == want and len(kept) == len(set(kept)) and out.columns == docs(spark, *rows).columns
+    # the unlike text under a kept id stays, the repeated row of 303 goes
+    assert collections.Counter(kept) == collections.Counter([*want, 0]) and out.columns == docs(spark, *rows).columns
     assert bbit.near_duplicates(docs(spark, *rows).limit(0)).count() == 0
 
 
