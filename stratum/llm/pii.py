@@ -29,7 +29,8 @@ SHAPED = re.compile(r"(?<![0-9A-Za-z@+_./#-])[0-9A-Za-z@+_./#-]{6,}")
 #: The same, and groups of digits with the blanks and parentheses between them that seeds hold.
 GROUPED = re.compile(r"(?<![0-9A-Za-z@+_./#-])(?:(?:\+?[0-9]{1,4}\x20?)?\([0-9]{1,5}\)(?:[\x20.-]?[0-9]+)+|\+?[0-9]+(?:[.-][0-9]+)*(?:\x20[0-9]+(?:[.-][0-9]+)*)+(?![0-9A-Za-z@_/#])|[0-9A-Za-z@+_./#-]{6,})")
 WORD = re.compile(r"\w+")
-#: Characters before a span in which its context is sought.
+KEY = b"stratum"
+#: Characters beside a span in which its context is first sought; if they may cut a word of it, in twice as many.
 REACH = 48
 
 
@@ -87,8 +88,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: two words before, one word before, and the words on both sides."""
-    left = [w.lower() for w in WORD.findall(text[max(0, start - REACH) : start])][-2:]
-    right = WORD.findall(text[end : end + REACH])[:1]
+    reach = REACH
+    while len(left := WORD.findall(text[max(0, start - reach) : start])) < 3 and reach < start:
+        reach *= 2
+    left, reach = [w.lower() for w in left[-2:]], REACH
+    while len(right := WORD.findall(text[end : end + reach])) < 2 and end + reach < len(text):
+        reach *= 2
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
@@ -99,6 +104,11 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def known_as(value: str) -> str:
+    """What a value goes by in tables: none holds it in clear text, and without the job's key no guess can be checked."""
+    return hashlib.blake2b(value.lower().encode(), digest_size=16, key=KEY).hexdigest()
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     rank = {k: i for i, k in enumerate((*KINDS, "other"))}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], rank[s[0]], s[2])))
@@ -114,7 +124,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             spans = base_spans(text)
             counts = Counter(k for _, k, _ in spans)
-            found = [{"kind": KINDS[k], "start": a, "end": e, "value": text[a:e].lower(), "patterns": contexts(text, a, e)} for a, k, e in spans]
+            found = [{"kind": KINDS[k], "start": a, "end": e, "value": known_as(text[a:e]), "patterns": contexts(text, a, e)} for a, k, e in spans]
             digest = hashlib.sha256(joined([(KINDS[k], a, e) for a, k, e in spans]).encode()).hexdigest()
             if "@" in text or any(c in text for c in "0123456789"):
                 starts = [a for a, _, _ in spans]
@@ -126,7 +136,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         v = r[0].rstrip("./#-")
                         a, e = r.start(), r.start() + len(v)
                         if len(v) >= 6 and any(c in v for c in "0123456789@") and free(a, e):
-                            found.append({"kind": None, "start": a, "end": e, "value": v.lower()[:200], "patterns": contexts(text, a, e)})
+                            found.append({"kind": None, "start": a, "end": e, "value": known_as(v), "patterns": contexts(text, a, e)})
             rows.append((row, doc_id, xxhash.xxh3_128_hexdigest(text), counts[0], counts[1], counts[2], counts[3], digest, found))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(FOUND)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], ["row", "doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", "found"])
@@ -154,12 +164,9 @@ def bootstrap(edges: DataFrame, known: DataFrame, p: Params, cut: Cut) -> tuple[
     return strong, instances.where(F.col("now") >= p.confidence)
 
 
-def find(docs: DataFrame, params: Params | None = None) -> tuple[DataFrame, Cut]:
+def find(docs: DataFrame, p: Params, cut: Cut) -> DataFrame:
     """Each document's row number, doc_id, hash of the text, base counts and digest, and accepted spans."""
-    p = params or Params()
-    spark = docs.sparkSession
-    small_batches(spark)
-    cut = Cut(spark, "pii")
+    small_batches(docs.sparkSession)
     # Row numbers are given once and written; nothing computes them a second time.
     scanned = cut.write(texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(scan, SCAN), "scan")
     one = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
@@ -173,7 +180,7 @@ def find(docs: DataFrame, params: Params | None = None) -> tuple[DataFrame, Cut]
     both = scanned.join(added, "row", "left")
     kept = F.filter("found", lambda x: x.kind.isNotNull() | F.coalesce(F.array_contains("added", x.start), F.lit(False)))
     spans = F.transform(kept, lambda x: F.struct(F.coalesce(x.kind, F.lit("other")).alias("kind"), x.start.alias("start"), x.end.alias("end")))
-    return both.select("row", "doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("found")), cut
+    return both.select("row", "doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("found"))
 
 
 def listed(found: Column) -> Column:
@@ -191,7 +198,11 @@ def personal_data(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     A null text is empty; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
     """
-    found, _ = find(docs, params)
+    with Cut(docs.sparkSession, "pii") as cut:
+        return cut.result(listing(find(docs, params or Params(), cut)))
+
+
+def listing(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", listed(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: x.kind == "other")).cast("long").alias("n_other"))
 
 
@@ -206,6 +217,12 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def others(found: DataFrame) -> DataFrame:
+    """of, digest, more: the spans that bootstrapping adds to each text of a document."""
+    more = F.filter("found", lambda x: x.kind == "other")
+    return found.where(F.exists("found", lambda x: x.kind == "other")).select(F.col("doc_id").alias("of"), "digest", more.alias("more")).dropDuplicates(["of", "digest"])
+
+
 def redact(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The documents with personal data replaced and n_chars, where there is such a column, counted anew.
 
@@ -214,9 +231,8 @@ def redact(docs: DataFrame, params: Params | None = None) -> DataFrame:
     null; rows that repeat stay and are redacted alike.
     """
     p = params or Params()
-    found, cut = find(docs, p)
-    more = F.filter("found", lambda x: x.kind == "other")
-    spans = cut.write(found.where(F.exists("found", lambda x: x.kind == "other")).select(F.col("doc_id").alias("of"), "digest", more.alias("more")).dropDuplicates(["of", "digest"]), "spans")
+    with Cut(docs.sparkSession, "pii") as cut:
+        spans = cut.result(others(find(docs, p, cut)))
     count = spans.count()
     names, docs = docs.columns, told_apart(docs)
     schema = docs.schema
