@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import fold, pick, small_batches, texts, told_apart
+from stratum.llm.common import Cut, fold, pick, small_batches, texts, told_apart
 
 #: Classes of bytes, in the order of the shares that a passage's encoding starts with.
 CLASSES = [
@@ -29,11 +29,12 @@ WIDTH = len(CLASSES) + 7 + HASHED
 
 @dataclass(frozen=True)
 class Params:
-    """sample: labelled documents to fit on at most, the first by hash, a fixed bound. passage: words of a
-    passage. held, attention: sizes of the layers. threshold: least score of label 1."""
+    """sample: labelled documents to fit on at most, the first by hash; passages: whole documents are taken in that order
+    until they have so many together. Both bound what comes to the driver, none cuts a document. passage: words of a
+    passage. hidden, attention: sizes of the layers. threshold: least score of label 1."""
 
     sample: int = 4000
-    most_passages: int = 64
+    passages: int = 400_000
     passage: int = 64
     hidden: int = 24
     attention: int = 12
@@ -138,8 +139,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, p: Params) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     """Fits on the documents that have a label and lie in the training folds, ``sample`` of them at most.
 
-    Executors encode the sample; the driver gets features only, of at most ``most_passages`` evenly spread
-    passages of a document.
+    Executors encode the sample; the driver gets features only, first the numbers of passages, then those of the
+    documents that fit. Of rows that repeat a document the first by text counts.
     """
     marked = pick(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     train = marked.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
@@ -149,15 +150,22 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
         for b in batches:
             rows = []
             for doc_id, text, quality in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = encode(text, p.passage)
-                if len(x) > p.most_passages:
-                    x = x[np.linspace(0, len(x) - 1, p.most_passages).astype(int)]
-                rows.append((doc_id, quality, x.astype(np.float32).tobytes()))
+                rows.append((doc_id, quality, encode(text, p.passage).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "quality", "x"])
 
-    rows = own.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    rows = rows[: 2 * p.sample]  # repeated rows of a document
+    with Cut(docs.sparkSession, "mil") as cut:
+        # one row a document, so ``sample`` at most
+        once = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+        encoded = cut.write(once.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary"), "bags")
+        sizes = encoded.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.length("x") / (4 * WIDTH)).cast("long").alias("n")).collect()
+        taken, total = [], 0
+        for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+            total += r.n
+            if total > p.passages and taken:
+                break
+            taken.append(r.doc_id)
+        rows = (encoded if len(taken) == len(sizes) else encoded.where(F.col("doc_id").isin(taken))).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.quality for r in rows], float), p)
 
 
@@ -190,7 +198,8 @@ def quality(docs: DataFrame, labels: DataFrame, params: Params | None = None) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> DataFrame:
-    """The documents that the classifier predicts as label 1, with all their columns."""
+    """The documents that the classifier predicts as label 1, with all their columns, whatever their names. Null and empty
+    texts are judged as one passage of zeros, each of repeated rows by itself; an empty table gives an empty table."""
     p = params or Params()
     small_batches(docs.sparkSession)
     model = learn(docs, labels, p)
