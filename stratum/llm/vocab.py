@@ -16,7 +16,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A pre-token never reaches over the start of such a unit: one space and what follows it up to white space.
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SPECIAL = "<|endoftext|>"
-CACHE = 600_000
+#: Units that are kept, and the characters of the longest; longer ones are encoded anew.
+CACHE, LONGEST = 600_000, 64
 
 
 def default_path(name: str) -> str:
@@ -51,6 +52,7 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
+        self.long: list[str] = []  # kept until the next units are learnt
         ranks = Path(path).with_suffix(".tiktoken")
         self.fast = None
         if ranks.exists():
@@ -72,6 +74,9 @@ class ByteBpe:
         that don't start with a space have a line end before them there, which is a token of its own."""
         if len(self.kept) > CACHE:
             self.kept.clear()
+        for u in self.long:
+            self.kept.pop(u, None)
+        self.long = [u for u in units if len(u) > LONGEST]
         joined = [u for u in units if not u.isspace()] if self.fast else []
         for u in units.difference(joined):
             self.kept[u] = self.one(u)
