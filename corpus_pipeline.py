@@ -19,23 +19,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention-based classifier doesn't reject."""
+    """Documents that the attention-based classifier doesn't reject; null and empty texts are judged like any other."""
     return mil.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; texts without words and null ids all stay."""
     return bbit.one_of_each(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; a null text stays null."""
     return pii.redact(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as drawn, in a global random order."""
-    return mixing.mix(docs, MIX).drop("rate", "copy", "place")
+    """Documents as often as drawn, in a global random order; a null source is one of its own."""
+    return mixing.mix(docs, MIX, marks=False)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written to the shared folder and read again."""
+    """The stages over documents, each result written to the shared folder and read again, and deleted once the next
+    one is there. Each stage keeps the columns of documents, whatever further ones there are; an empty table goes through
+    all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut = Cut(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = cut.write(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Cut(spark, "pipeline") as cut:
+        for _, stage in STAGES[:-1]:
+            docs = cut.write(stage(spark, docs, sf_dir), "documents")
+        return cut.result(STAGES[-1][1](spark, docs, sf_dir))
