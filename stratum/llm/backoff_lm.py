@@ -28,7 +28,7 @@ class Params:
     order: int = 3
     add: float = 0.5
     prior: tuple[float, ...] = (2000.0, 10.0)
-    chunk_chars: int = 6_000_000
+    chunk_chars: int = 4_500_000
     bucket: int = 3_000_000
     segment: int = 512
 
@@ -39,10 +39,10 @@ class Tokens:
     def __init__(self, c: Chunk, order: int) -> None:
         self.lengths = c.lengths + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.ones(int(self.lengths.sum()), np.int64)
+        self.flat = np.ones(int(self.lengths.sum()), np.int32)
         last = np.zeros(len(self.flat), bool)
         last[self.starts + c.lengths] = True
-        self.flat[~last] = c.flat.astype(np.int64) + 2
+        self.flat[~last] = c.flat.astype(np.int32) + 2
         self.hashes = np.concatenate((np.array([START, END]), c.hashes))
         self.train = np.repeat(c.flag, self.lengths)
         first = np.zeros(len(self.flat), bool)
@@ -51,7 +51,7 @@ class Tokens:
         self.before = []
         for _ in range(order - 1):
             back = self.before[-1] if self.before else self.flat
-            self.before.append(np.where(first, 0, np.concatenate(([0], back[:-1]))))
+            self.before.append(np.where(first, np.int32(0), np.concatenate((back[:1], back[:-1]))))
         self.order = order
 
     def grams(self, n: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def requests(p: Params, bits: int):
 
 
 def replies(table: pa.Table) -> pa.Table:
-    """Sums a bucket's counts over all chunks, and answers each cell in the order of its own n-grams."""
+    """Sums a bucket's counts over all chunks, and tells each cell what the others have of its own n-grams, in order."""
     got = [unpack(x) for x in table.column("blob").to_pylist()]
     sizes = [len(k) for k, _ in got]
     keys = np.concatenate([np.cumsum(k) for k, _ in got])
@@ -114,7 +114,7 @@ def replies(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
     sums = np.add.reduceat(counts, first)
     total = np.empty(len(order), np.int64)
-    total[order] = np.repeat(sums, np.diff(first, append=len(keys)))
+    total[order] = np.repeat(sums, np.diff(first, append=len(keys))) - counts
     edges = np.cumsum([0, *sizes])
     small = np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64
     blobs = [pack(total[x:y].astype(small)) for x, y in zip(edges, edges[1:])]
@@ -138,7 +138,7 @@ class Automaton:
         ends = np.array([known[1]])  # the start stands before as many tokens as there are training documents
         # States by number: the root, then the contexts of one word, then of two, and so on.
         fail, weight = [np.array([-1])], [np.array([0.0])]
-        state = np.zeros(len(t.flat), np.int64)  # of the context before each token, of the order at hand
+        state = np.zeros(len(t.flat), np.int32)  # of the context before each token, of the order at hand
         arc_state, arc_word, arc_logp, arc_at = [], [], [], []
         shorter = 10.0 ** self.unigram[t.flat]
         self.after = np.zeros(len(t.hashes), np.int64)  # the root's next states
@@ -154,7 +154,7 @@ class Automaton:
                 label = np.where(t.before[0] == 0, 0, moved)
                 seen = np.concatenate((ends, counts[n - 2]))
             live = seen > 0
-            number = np.where(live, total + np.cumsum(live) - 1, -1)
+            number = np.where(live, total + np.cumsum(live) - 1, -1).astype(np.int32)
             before, state = state, number[label]
             fail.append(np.zeros(int(live.sum()), np.int64))
             has = state >= 0
@@ -186,7 +186,7 @@ class Automaton:
         state_, word_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (arc_state, arc_word))
         logp = np.concatenate(arc_logp) if arc_logp else np.zeros(0)
         to = np.concatenate([target[i] if n >= p.order - 1 else lower[i] for n, i in arc_at]) if arc_at else np.zeros(0, np.int64)
-        keys = state_ << 32 | word_
+        keys = state_.astype(np.int64) << 32 | word_
         by = np.argsort(keys)
         self.keys, self.word, self.logp, self.to = keys[by], word_[by], logp[by], to[by]
         #: a state's arcs are those from row[state] to row[state + 1], in order of their words
@@ -211,7 +211,7 @@ class Automaton:
             hit[hit] = self.word[at[hit]] == w[hit]
             many = np.flatnonzero(~hit & (end - at > 1))
             if len(many):  # any but the first of several arcs
-                found = np.minimum(np.searchsorted(self.keys, s[many] << 32 | w[many]), len(self.keys) - 1)
+                found = np.minimum(np.searchsorted(self.keys, s[many].astype(np.int64) << 32 | w[many]), len(self.keys) - 1)
                 at[many] = found
                 hit[many] = (self.word[found] == w[many]) & (found < end[many]) & (found >= self.row[s[many]])
             good = left[hit]
@@ -254,9 +254,12 @@ def scored(p: Params, tokens: int, words: int):
         order, bucket = np.array(back.column("n").to_pylist()), np.array(back.column("bucket").to_pylist())
         blobs = back.column("blob").to_pylist()
         for n in range(1, p.order + 1):
-            cells_ = np.flatnonzero(order == n)
-            counts.append(np.concatenate([unpack(blobs[i])[0] for i in cells_[np.argsort(bucket[cells_])]]).astype(np.int64))
-            places.append(np.unique(t.grams(n), return_inverse=True)[1])
+            keys, place = np.unique(t.grams(n), return_inverse=True)
+            places.append(place.astype(np.int32))
+            others = np.flatnonzero(order == n)
+            counts.append(np.concatenate([unpack(blobs[i])[0] for i in others[np.argsort(bucket[others])]]).astype(np.int64) + np.bincount(place[t.train], minlength=len(keys)))
+            del keys, place
+        del blobs, back
         auto = Automaton(t, places, counts, tokens, words, p)
         base = np.add.reduceat(auto.unigram[t.flat], t.starts)
         known = np.add.reduceat((auto.known[t.flat] > 0).astype(np.int64), t.starts)
@@ -297,6 +300,6 @@ def lm_scores(docs: DataFrame, params: Params | None = None) -> DataFrame:
     tokens = chunks.select("blob").mapInArrow(trained, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cell = "n int, bucket long, chunk long, blob binary"
     asked = chunks.select("chunk", "blob").mapInArrow(requests(p, bits), cell)
-    answered = asked.groupBy("n", "bucket").applyInArrow(replies, cell)
+    answered = cut.write(asked.groupBy("n", "bucket").applyInArrow(replies, cell), "answers", free=True)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(p, tokens, words), out)
