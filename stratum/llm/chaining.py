@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,8 @@ class Params:
     """k: words of a seed. window: consecutive seeds of which the least by hash is kept, so any window + k - 1
     words that two documents share give both a common seed. gap: cost of a chain for each word it leaves out on
     either side. words: least words of a passage. percent: least share of aligned words in it. worth: least words of
-    a chain's seeds, more than one seed has; again: times that a document says a seed by which this seed alone will do.
-    near: words between shared seeds of one stretch of text. reach: words beyond that stretch into which a
-    passage may still go on. drop: by how much an extension's score may fall below its best. A fifth of a
+    a chain's seeds, those of two; again: times that a document says a seed by which this seed alone will do.
+    reach: words beyond a stretch of shared seeds into which a passage may still go on. drop: by how much an extension's score may fall below its best. A fifth of a
     passage's words may be edited, at worst every fifth one, so seeds are of four words and dense."""
 
     k: int = 4
@@ -29,10 +29,9 @@ class Params:
     gap: float = 0.05
     words: int = 50
     percent: int = 80
-    worth: int = 5
+    worth: int = 8
     again: int = 8
-    near: int = 24
-    reach: int = 64
+    reach: int = 50
     drop: int = 12
     chunk_chars: int = 5_000_000
     bucket: int = 2_500_000
@@ -332,7 +331,7 @@ def strings(f: Found, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A document that has a passage may hold each of its seeds after some other document does, and none of these need
     have the passage. A string of its seeds is had first by a document that has the string. From each seed,
-    strings go on until they are as long as a passage. Where all seeds of one have the same first document on one
+    strings go on until they are as long as the shortest passage. Where all seeds of one have the same first document on one
     diagonal, that document has the string, and none is given.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -348,8 +347,7 @@ def strings(f: Found, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         span = f.place[end] - f.place[live]
         strange[live] |= (f.other[end] != f.other[live]) | (f.at[end] - f.at[live] != span)
         key[live] = mixed(key[live] ^ span.astype(np.uint64)) + f.key[end]
-        # a passage of the least length has a string this long
-        some = live[strange[live] & (span >= p.words - p.k - 2 * (p.window - 1))]
+        some = live[strange[live] & (span + p.k >= p.words)]
         out.append((mixed(key[some]), f.doc[some], f.place[some]))
         live = live[span + p.k < p.words]
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -410,6 +408,17 @@ def segments(doc: np.ndarray, other: np.ndarray, q: np.ndarray, t: np.ndarray, p
             yield int(doc[i]), int(other[i]), made
 
 
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(document, start, end) with those that touch made one, in order."""
+    out: list[tuple[int, int, int]] = []
+    for i, a, b in sorted(spans):
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1] = (i, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((i, a, b))
+    return out
+
+
 LINK = pa.schema([("chunk", pa.int64()), ("asker", pa.int64()), ("blob", pa.binary())])
 
 
@@ -432,7 +441,7 @@ def links(p: Params, bits: int):
         o = same.reshape(-1)[o] if len(o) else o
         use = ids[d] != every[o, 2] if len(o) else np.zeros(0, bool)
         # stretches of shared seeds, by their first and last places
-        apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > p.near)) if len(doc) else np.zeros(0, bool)
+        apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > p.window + p.k)) if len(doc) else np.zeros(0, bool)
         where = np.flatnonzero(apart)
         low, high = place[where], place[np.append(where[1:], len(place)) - 1] + p.k if len(doc) else place
         flat = doc[where] << 40 | low
@@ -445,20 +454,18 @@ def links(p: Params, bits: int):
                 z = int(np.searchsorted(flat, i << 40 | (q1 + w), "right")) - 1
                 left, right = q0 - int(min(low[k], q0)) + p.reach, int(max(high[z], q1 + w)) - q1 - w + p.reach
                 mine.append((i, max(0, q0 - left), q1 + w + right))
-                span = (max(0, t0 - left - left // 4), t1 + w + right + right // 4)
-                known = theirs.setdefault((to, number), [id_, *span])
-                known[1], known[2] = min(known[1], span[0]), max(known[2], span[1])
-                chain_rows.append((i, to, number, len(c), *(x for s in c for x in s)))
+                theirs.setdefault((to, number), [id_]).append((max(0, t0 - left - left // 4), t1 + w + right + right // 4))
+                chain_rows.append((i, to, number, *mine[-1][1:], len(c), *(x for s in c for x in s)))
         if not mine:
             return LINK.empty_table()
         rows = []
         wanted: dict[int, list] = {}
-        for (to, number), (_, a, b) in theirs.items():
-            wanted.setdefault(to, []).append((number, a, b))
+        for (to, number), (_, *spans) in theirs.items():
+            wanted.setdefault(to, []).extend((number, a, b) for a, b in spans)
         for to, spans in wanted.items():
-            rows.append((to, me, pack(*np.array(sorted(spans), np.int64).T)))
-        names = np.array([(to, number, id_) for (to, number), (id_, _, _) in theirs.items()], np.int64)
-        rows.append((me, -1, pack(*np.array(mine, np.int64).T, np.concatenate([np.array(r, np.int64) for r in chain_rows]), names.reshape(-1), ids)))
+            rows.append((to, me, pack(*np.array(united(spans), np.int64).T)))
+        names = np.array([(to, number, id_) for (to, number), (id_, *_) in theirs.items()], np.int64)
+        rows.append((me, -1, pack(*np.array(united(mine), np.int64).T, np.concatenate([np.array(r, np.int64) for r in chain_rows]), names.reshape(-1), ids)))
         return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), LINK)], schema=LINK)
 
     return run
@@ -513,34 +520,38 @@ def merged(rows: list[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
 
 def aligned(p: Params):
     def run(table: pa.Table) -> pa.Table:
-        spans: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+        spans: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
         own = None
         for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()):
             number, a, z, words, *rest = unpack(blob)
             edges = np.cumsum([0, *(z - a)])
             words = words.view(np.uint32)
-            if chunk == -1:
-                own = (number, a, z, edges, words, *rest)
-                continue
-            for i, n in enumerate(number.tolist()):
-                spans[chunk, n] = (int(a[i]), int(z[i]), words[edges[i] : edges[i + 1]])
+            for i, (n, x, y) in enumerate(zip(number.tolist(), a.tolist(), z.tolist())):
+                spans.setdefault((chunk, n), []).append((x, y, words[edges[i] : edges[i + 1]]))
+            own = rest if chunk == -1 else own
+
+        def part(key: tuple[int, int], place: int) -> tuple[int, int, np.ndarray]:
+            """The span of a document that holds a place."""
+            return spans[key][bisect_right(spans[key], place, key=lambda s: s[0]) - 1]
+
         if own is None:
             return pa.table([[]] * len(NAMES), schema=pa.schema(list(zip(NAMES, TYPES))))
-        number, a, z, edges, words, rows, names, ids = own
+        rows, names, ids = own
         id_of = {(to, n): i for to, n, i in names.reshape(-1, 3).tolist()}
         pairs: dict[tuple[int, int, int], list] = {}
         at, rows = 0, rows.tolist()
-        for k in range(len(number)):
-            doc, to, n, size = rows[at : at + 4]
-            chain = [tuple(rows[at + 4 + 3 * j : at + 7 + 3 * j]) for j in range(size)]
-            at += 4 + 3 * size
-            q0, x = int(a[k]), words[edges[k] : edges[k + 1]]
-            low, high, other = spans[to, n]
+        while at < len(rows):
+            doc, to, n, q0, q1, size = rows[at : at + 6]
+            chain = [tuple(rows[at + 6 + 3 * j : at + 9 + 3 * j]) for j in range(size)]
+            at += 6 + 3 * size
             (qa, ta, _), (qb, tb, w) = chain[0], chain[-1]
-            # of what others of this chunk wanted of that document, what this chain may need
-            t0 = max(low, ta - (qa - q0) - (qa - q0) // 4)
-            right = int(z[k]) - qb - w
-            y = other[t0 - low : max(0, min(high, tb + w + right + right // 4 + p.reach) - low)]
+            low, high, x = part((-1, doc), q0)
+            q1 = min(q1, high)
+            x = x[q0 - low : q1 - low]
+            low, high, y = part((to, n), ta)
+            left, right = qa - q0, q1 - qb - w
+            t0 = max(low, ta - left - left // 4)
+            y = y[t0 - low : max(0, min(high, tb + w + right + right // 4) - low)]
             out = pairs.setdefault((doc, to, n), [])
             if size == 1 and len(x) == len(y) == w and (x == y).all():
                 found_ = [(0, w, 0, w, w)] if w >= p.words else []
@@ -584,14 +595,14 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     bits = bucket_bits(2 * (chunks.agg(F.sum("n_words")).first()[0] or 0) // (p.window + 1), p.bucket)
     cell, link = "bucket long, chunk long, blob binary", "chunk long, asker long, blob binary"
     chunks = chunks.select("chunk", "blob")
-    first = cut.write(chunks.mapInArrow(requests(p, bits), cell).groupBy("bucket").applyInArrow(firsts, cell), "firsts")
-    shared = cut.write(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(found(p, bits), cell), "shared")
+    first = cut.write(chunks.mapInArrow(requests(p, bits), cell).groupBy("bucket").applyInArrow(firsts, cell), "firsts", free=True)
+    shared = cut.write(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(found(p, bits), cell), "shared", free=True)
     cut.drop("firsts")
     longer = shared.where("bucket >= 0").groupBy("bucket").applyInArrow(firsts, cell)
-    wanted = cut.write(shared.where("bucket < 0").groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(links(p, bits), link), "links")
+    wanted = cut.write(shared.where("bucket < 0").groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(links(p, bits), link), "links", free=True)
     cut.drop("shared")
     rows = wanted.unionByName(chunks.join(wanted.select("chunk").distinct(), "chunk", "left_semi").select("chunk", F.lit(-2).cast("long").alias("asker"), "blob"))
-    answers = cut.write(rows.repartition(parts(spark), "chunk").sortWithinPartitions("chunk", "asker").mapInArrow(served, "asker long, chunk long, blob binary"), "words")
+    answers = cut.write(rows.repartition(parts(spark), "chunk").sortWithinPartitions("chunk", "asker").mapInArrow(served, "asker long, chunk long, blob binary"), "words", free=True)
     cut.drop("links")
     cut.drop("chunks")
     out = "doc_id long, other_id long, start long, end long, other_start long, other_end long, same long, percent double"
