@@ -5,13 +5,14 @@ Each diagram is lines with an order, made in parallel; ``text_of`` joins them in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import paths
 from stratum.functions.text import diagram_id, diagram_label
 from stratum.schemas import EXTERNAL
 
+# The colours of states.
 STYLES = [
     "",
     "  classDef merged fill:#238636,color:#fff",
@@ -70,8 +71,8 @@ def call_graph(edges: DataFrame) -> DataFrame:
     some = outside.limit(1)
     ext = rows(some, 1, F.lit("0"), F.lit("0"), F.lit('  subgraph ext_fns["External"]')).unionByName(rows(outside, 1, F.lit("1"), F.col("callee_name"), indented("    ", diagram_id(F.concat(F.lit("ext::"), "callee_name")), '["', diagram_label(F.col("callee_name")), '"]'))).unionByName(rows(some, 1, F.lit("2"), F.lit("0"), F.lit("  end")))
     target = F.concat(F.when(inside, F.col("callee_file")).otherwise("ext"), F.lit("::"), F.col("callee_name"))
-    numbered = edges.withColumn("n", F.row_number().over(Window.orderBy("caller_file", "caller_name", "callee_file", "callee_name", "line")))
-    arrows = rows(numbered, 2, F.lpad(F.col("n").cast("string"), 12, "0"), F.lit(""), indented("  ", diagram_id(F.concat("caller_file", F.lit("::"), "caller_name")), " --> ", diagram_id(target)))
+    order = F.concat_ws("\0", "caller_file", "caller_name", "callee_file", "callee_name", F.lpad(F.col("line").cast("string"), 12, "0"))
+    arrows = rows(edges, 2, order, F.lit(""), indented("  ", diagram_id(F.concat("caller_file", F.lit("::"), "caller_name")), " --> ", diagram_id(target)))
     return text_of(boxes.unionByName(ext).unionByName(arrows), "graph TD")
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum import scratch
 from stratum.functions import paths, text
 from stratum.schemas import EXTERNAL
 
@@ -82,12 +80,6 @@ def callees_of(edges: DataFrame, file: str, name: str) -> DataFrame:
     return edges.where((F.col("caller_file") == file) & (F.col("caller_name") == name)).select("callee_file", "callee_name", "line")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder all executors share, for tables that cut lineage."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='stratum-')}"
-    return f"{at.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
-
-
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes (file, name) that can be reached along edges from the start nodes, these included.
 
@@ -95,7 +87,7 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     written to the shared folder, so a lost executor costs one round and plans stay small.
     """
     spark = edges.sparkSession
-    at, level = scratch(spark), 0
+    at, level = scratch.folder(spark, "graph"), 0
     hops = edges.where(F.col("callee_file") != EXTERNAL).select(F.col("caller_file").alias("file"), F.col("caller_name").alias("name"), F.col("callee_file").alias("to_file"), F.col("callee_name").alias("to_name")).distinct()
     start.select("file", "name").distinct().write.parquet(f"{at}/level={level}")
     schema = "file string, name string, level int"
@@ -123,30 +115,39 @@ def commit_groups(commits: DataFrame) -> DataFrame:
     return commits.where("file_path <> ''").groupBy("hash").agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.min("date").alias("date"))
 
 
+#: Files of a commit that one task pairs with all of its files.
+DEALT = 256
+
+
 def co_change(commits: DataFrame, now: Column, half_life: float = 365.0, min_commits: int = 3, min_shared: int = 3, min_rate: float = 0.5, top: int | None = 500) -> DataFrame:
     """Pairs of files that often change in the same commits, the heaviest ``top`` of them.
 
     Files of too few commits go before the join of a commit's files with each other, as in a large history most
-    do; the join is by commit, and pairs are summed partially. weight is the sum of decayed commits, in two
-    decimals; the rate is of the file with fewer commits.
+    do. A commit of many files is dealt into parts, of which each meets all of its files. Pairs are first summed into a weight
+    and a count, which hash aggregation does in place; the commits they share first and last are looked up for those
+    that are frequent enough and among the heaviest. weight is the sum of decayed commits, in two decimals; the rate is
+    of the file with fewer commits.
     """
+    spark = commits.sparkSession
     rows = commits.where("file_path <> ''").groupBy("hash", "file_path").agg(F.min("date").alias("date"))
     counts = rows.groupBy("file_path").agg(F.count("*").alias("n")).where(F.col("n") >= min_commits)
-    dates = rows.groupBy("hash").agg(F.min("date").alias("date"))
+    dates = rows.groupBy("hash").agg(F.min("date").alias("date"), F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / DEALT).cast("long")
     kept = rows.drop("date").join(counts, "file_path").join(dates, "hash")
-    a = kept.select("hash", "date", F.col("file_path").alias("file_a"), F.col("n").alias("n_a"))
-    b = kept.select("hash", F.col("file_path").alias("file_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, "hash").where("file_a < file_b").groupBy("file_a", "file_b").agg(
-        F.sum(text.decay(F.col("date"), now, half_life)).alias("weight"),
-        F.count("*").alias("raw_count"),
-        F.least(F.min("n_a"), F.min("n_b")).alias("fewer"),
-        F.max_by("hash", F.struct("date", "hash")).alias("latest_hash"),
-        F.max("date").alias("latest_date"),
-        F.min_by("hash", F.struct("date", "hash")).alias("earliest_hash"),
-        F.min("date").alias("earliest_date"),
-    )
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    a = kept.select("hash", F.pmod(F.xxhash64("file_path"), parts).alias("part"), text.decay(F.col("date"), now, half_life).alias("decayed"), F.col("file_path").alias("file_a"), F.col("n").alias("n_a"))
+    b = kept.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("file_path").alias("file_b"), F.col("n").alias("n_b"))
+    # a fixed number of parts, as the pairs are many more than what they are made of
+    met = a.repartition(n, "hash", "part").join(b.repartition(n, "hash", "part"), ["hash", "part"]).where("file_a < file_b")
+    pairs = met.groupBy("file_a", "file_b").agg(F.sum("decayed").alias("weight"), F.count("*").alias("raw_count"), F.least(F.min("n_a"), F.min("n_b")).alias("fewer"))
     often = pairs.where((F.col("raw_count") >= min_shared) & (F.col("raw_count") / F.col("fewer") >= min_rate)).withColumn("weight", F.round("weight", 2)).drop("fewer")
-    return often if top is None else often.orderBy(F.desc("weight"), "file_a", "file_b").limit(top)
+    best = often if top is None else often.orderBy(F.desc("weight"), "file_a", "file_b").limit(top)
+    files = rows.select("hash", "file_path").join(dates.drop("size"), "hash")
+    one, two = files.withColumnRenamed("file_path", "file_a"), rows.select("hash", F.col("file_path").alias("file_b"))
+    when = F.struct("date", "hash")
+    ends = best.select("file_a", "file_b").join(one, "file_a").join(two, ["file_b", "hash"]).groupBy("file_a", "file_b").agg(F.max(when).alias("latest"), F.min(when).alias("earliest"))
+    found = best.join(ends, ["file_a", "file_b"]).select("file_a", "file_b", "weight", "raw_count", *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("latest", "earliest") for c in ("hash", "date")))
+    return found if top is None else found.orderBy(F.desc("weight"), "file_a", "file_b")
 
 
 def co_change_edges(pairs: DataFrame) -> DataFrame:

@@ -15,13 +15,14 @@ TREE_CHARS = 4000
 def file_tree(files: DataFrame, cap: int = TREE_CHARS) -> DataFrame:
     """One row, ``tree``: folders and files in order, indented by depth, cut at ``cap`` characters.
 
-    Every prefix of every path is an entry; entries are distinct before they meet, in order of their segments.
+    Every prefix of every path is an entry; entries are distinct before they meet, in order of their segments. Each
+    takes two characters at least, so no more than the first half as many as ``cap`` come together.
     """
     parts = files.select(F.split("file_path", "/").alias("p"))
     prefixes = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.struct(F.slice("p", 1, n).alias("p"), (n < F.size("p")).alias("folder")))).alias("e"))
     entries = prefixes.groupBy("e.p").agg(F.max("e.folder").alias("folder"))
     line = F.concat(F.repeat(F.lit("  "), F.size("p") - 1), F.element_at("p", -1), F.when(F.col("folder"), "/").otherwise(""))
-    tree = entries.select("p", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x.line), "\n").alias("tree"))
+    tree = entries.orderBy("p").limit(cap // 2 + 2).select("p", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x.line), "\n").alias("tree"))
     return tree.select(F.when(F.length("tree") > cap, F.concat(F.substring("tree", 1, cap), F.lit("\n... [tree truncated]"))).otherwise(F.col("tree")).alias("tree"))
 
 

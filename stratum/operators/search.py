@@ -21,7 +21,7 @@ def distance(vector: Column, query: Sequence[float]) -> Column:
     q = [float(x) for x in query]
     if len(q) <= UNROLLED:
         # A balanced tree keeps the expression shallow.
-        terms = [(vector[i].cast("double") - F.lit(x)) * (vector[i].cast("double") - F.lit(x)) for i, x in enumerate(q)]
+        terms = [(F.get(vector, F.lit(i)).cast("double") - F.lit(x)) * (F.get(vector, F.lit(i)).cast("double") - F.lit(x)) for i, x in enumerate(q)]
         while len(terms) > 1:
             terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
         return terms[0] if terms else F.lit(0.0)
@@ -32,9 +32,9 @@ def knn(table: DataFrame, query: Sequence[float], k: int, key: Sequence[str], wh
     """The k rows nearest to ``query`` among those that pass ``where``, with score, ties by ``key``.
 
     The filter reaches the scan, the vector is dropped once the distance is known, and the order and limit become
-    one top-k per task and a merge.
+    one top-k per task and a merge. Null vectors and those of another length take no part.
     """
-    rows = table if where is None else table.where(where)
+    rows = (table if where is None else table.where(where)).where(F.size(vector) == len(query))
     return rows.withColumn("score", distance(F.col(vector), query)).drop(vector).orderBy("score", *key).limit(k)
 
 

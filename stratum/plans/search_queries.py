@@ -36,9 +36,9 @@ def knn_scoped_global_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_quantised_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of whole numbers find the candidates, whole vectors order them; three times k holds the true k here."""
+    """Codes of whole numbers find three times k candidates, whole vectors order them."""
     e = inputs.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector").withColumn("codes", search.quantised(F.col("vector")))
-    return search.quantised_knn(e, inputs.question(spark, sf_dir), K, ["vec_id"], refine=6).select("vec_id", F.round("score", 6).alias("score"))
+    return search.quantised_knn(e, inputs.question(spark, sf_dir), K, ["vec_id"], refine=3).select("vec_id", F.round("score", 6).alias("score"))
 
 
 def ann_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ def files_to_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of one question: rank, type, cost, expanded, taken."""
     s = rerank.ranked(streams(spark, sf_dir), "type", "vec_id")
-    cost = rerank.snippet_chars(F.col("type"), F.substring("content", 1, 200), F.col("content"), F.array("file_path"), F.col("content"), F.substring("content", 1, 80), F.col("content"), F.lit(""))
+    cost = rerank.snippet_chars(F.col("type"), F.col("content"), F.col("content"), F.array("file_path"), F.col("content"), F.col("content"), F.col("content"), F.lit(""))
     expanded = (F.col("type") == "code") & (F.col("vec_id") % 4 == 0)
     return s.select("rank", "type", "vec_id", cost.alias("cost"), expanded.alias("expanded"), (expanded & (F.col("vec_id") % 8 == 0)).alias("taken"))
 
@@ -178,8 +178,8 @@ def snippet_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("vec_id", "type", "cost", "expanded", "taken")
 
 
-SNIPPET_SQL = f"""select vec_id, type, cast(case type when 'commit' then 80 + length(substr(content, 1, 200)) + length(content) + length(file_path) when 'code' then 80 + length(content)
-  else 80 + length(substr(content, 1, 80)) + least(length(content), 500) end as integer) as cost, type = 'code' and vec_id % 4 = 0 as expanded, type = 'code' and vec_id % 8 = 0 as taken from {STREAMS_SQL}"""
+SNIPPET_SQL = f"""select vec_id, type, cast(case type when 'commit' then 80 + length(content) + length(content) + length(file_path) when 'code' then 80 + length(content)
+  else 80 + length(content) + least(length(content), 500) end as integer) as cost, type = 'code' and vec_id % 4 = 0 as expanded, type = 'code' and vec_id % 8 = 0 as taken from {STREAMS_SQL}"""
 
 
 def greedy_budget_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,9 @@ SQL = {
     "knn_prefix_scoped": knn_sql("starts_with(file_path, 'src1')"),
     "knn_filtered": knn_sql("contains(content, '|')"),
     "knn_scoped_global_split": f"select * from ({knn_sql(f'''starts_with(file_path, case when exists (select 1 from {CHUNKS_SQL} where starts_with(file_path, 'src2/d1')) then 'src2/d1' else 'src2' end)''', 12)}) union all select * from ({knn_sql(k=8)})",
-    "knn_quantised_refine": PLAIN_SQL,
+    "knn_quantised_refine": f"""with q as (select list_transform(embedding, lambda x: round(x::double * 127)) as c from embeddings where vec_id = 0),
+      r as (select vec_id, embedding, list_sum(list_transform(list_zip(list_transform(embedding, lambda x: round(x::double * 127)), (select c from q)), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as rough from embeddings order by rough, vec_id limit {3 * K})
+      select vec_id, round(score, 6) as score from (select vec_id, {distance_sql('embedding')} as score from r order by score, vec_id limit {K})""",
     "ann_all_lists": PLAIN_SQL,
     "union_streams_rerank": rerank_sql(f"1 + 0.4 * least(greatest({YEARS_SQL.format(a=NOW_SQL, b='date')}, 0.0) / 2.0, 3.0)"),
     "rerank_anchor": rerank_sql(f"1 + 0.5 * least(abs({YEARS_SQL.format(a='date', b=chr(39).join(['timestamp ', '1998-07-01 00:00:00', '']))}) / 1.5, 3.0)"),
