@@ -131,16 +131,22 @@ def co_change(commits: DataFrame, now: Column, half_life: float = 365.0, min_com
     spark = commits.sparkSession
     rows = commits.where("file_path <> ''").groupBy("hash", "file_path").agg(F.min("date").alias("date"))
     counts = rows.groupBy("file_path").agg(F.count("*").alias("n")).where(F.col("n") >= min_commits)
+    # files by number, written so that the numbers stay; pairs of numbers are summed several times as fast as pairs of paths
+    at = scratch.folder(spark, "files")
+    counts.withColumn("id", F.monotonically_increasing_id()).write.parquet(at)
+    counts = spark.read.schema("file_path string, n long, id long").parquet(at)
     dates = rows.groupBy("hash").agg(F.min("date").alias("date"), F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / DEALT).cast("long")
     kept = rows.drop("date").join(counts, "file_path").join(dates, "hash")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    a = kept.select("hash", F.pmod(F.xxhash64("file_path"), parts).alias("part"), text.decay(F.col("date"), now, half_life).alias("decayed"), F.col("file_path").alias("file_a"), F.col("n").alias("n_a"))
-    b = kept.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("file_path").alias("file_b"), F.col("n").alias("n_b"))
+    a = kept.select("hash", F.pmod(F.xxhash64("id"), parts).alias("part"), text.decay(F.col("date"), now, half_life).alias("decayed"), F.col("id").alias("a"))
+    b = kept.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("b"))
     # a fixed number of parts, as the pairs are many more than what they are made of
-    met = a.repartition(n, "hash", "part").join(b.repartition(n, "hash", "part"), ["hash", "part"]).where("file_a < file_b")
-    pairs = met.groupBy("file_a", "file_b").agg(F.sum("decayed").alias("weight"), F.count("*").alias("raw_count"), F.least(F.min("n_a"), F.min("n_b")).alias("fewer"))
-    often = pairs.where((F.col("raw_count") >= min_shared) & (F.col("raw_count") / F.col("fewer") >= min_rate)).withColumn("weight", F.round("weight", 2)).drop("fewer")
+    met = a.repartition(n, "hash", "part").join(b.repartition(n, "hash", "part"), ["hash", "part"]).where("a < b")
+    pairs = met.groupBy("a", "b").agg(F.sum("decayed").alias("weight"), F.count("*").alias("raw_count")).where(F.col("raw_count") >= min_shared)
+    named = lambda k: counts.select(F.col("id").alias(k), F.col("file_path").alias(f"file_{k}"), F.col("n").alias(f"n_{k}"))
+    rated = pairs.join(named("a"), "a").join(named("b"), "b").where(F.col("raw_count") / F.least("n_a", "n_b") >= min_rate)
+    often = rated.select(F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b"), F.round("weight", 2).alias("weight"), "raw_count")
     best = often if top is None else often.orderBy(F.desc("weight"), "file_a", "file_b").limit(top)
     files = rows.select("hash", "file_path").join(dates.drop("size"), "hash")
     one, two = files.withColumnRenamed("file_path", "file_a"), rows.select("hash", F.col("file_path").alias("file_b"))
