@@ -1,4 +1,4 @@
-"""Command line: index, index-code, index-prs, query, status, standup, clear, diagram, config, info."""
+"""Command line: index, index-code, index-prs, index-vectors, query, status, standup, clear, diagram, diagrams, config, info."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pathlib import Path
 
 from stratum import config as settings
+from stratum.sources.diagrams import Diagrams
 
 
 def parser() -> argparse.ArgumentParser:
@@ -15,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--repo", default=".")
     out.add_argument("--store", default=".stratum")
     sub = out.add_subparsers(dest="command", required=True)
-    for name in ("index", "index-code", "status", "clear", "info"):
+    for name in ("index", "index-code", "index-vectors", "status", "clear", "info"):
         sub.add_parser(name)
     sub.add_parser("index-prs").add_argument("pages")
     q = sub.add_parser("query")
@@ -26,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("kind", choices=["architecture", "callgraph", "commits", "prs"])
     d.add_argument("--start", nargs=2, metavar=("FILE", "NAME"))
     d.add_argument("--save")
+    d.add_argument("--title", help="keeps the diagram among the saved ones")
+    s = sub.add_parser("diagrams", help="lists saved diagrams, or shows or deletes one")
+    s.add_argument("name", nargs="?")
+    s.add_argument("--delete", action="store_true")
     c = sub.add_parser("config")
     c.add_argument("action", choices=["show", "set", "reset"])
     c.add_argument("values", nargs="*", help="name=value")
@@ -72,8 +77,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(engine.summarize_recent(a.repo, a.since))
     elif a.command == "clear":
         engine.clear_index()
+    elif a.command == "index-vectors":
+        print(", ".join(engine.index_vectors()) or "all tables are small")
+    elif a.command == "diagrams":
+        saved = Diagrams(str(Path(a.store) / "diagrams"))
+        if a.name:
+            print(("deleted" if saved.delete(a.name) else "no such diagram") if a.delete else saved.load(a.name))
+        else:
+            print("\n".join(f"{d['name']}  {d['kind']}  {d['title']}" for d in saved.list()))
     else:
         out = engine.diagram(a.kind, a.repo, tuple(a.start) if a.start else None)
+        if a.title:
+            print(Diagrams(str(Path(a.store) / "diagrams")).save(a.kind, a.title, out))
         if a.save:
             Path(a.save).write_text(out + "\n")
         print(out)

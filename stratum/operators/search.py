@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNROLLED = 128
 
@@ -79,3 +84,60 @@ def probe(table: DataFrame, query: Sequence[float], k: int, key: Sequence[str],
     """Top k over the lists of the ``probes`` nearest centres; all of them give the exact answer."""
     order = sorted(range(len(centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centres[i], query)))
     return knn(table, query, k, key, F.col("list_id").isin(order[:probes]), vector)
+
+
+#: Rows from which on an index is worth its while.
+INDEXED = 10_000
+
+
+def train_centres(table: DataFrame, lists: int, sample: int = 20_000, rounds: int = 10, vector: str = "vector") -> np.ndarray:
+    """Centres of so many lists, by k-means over at most ``sample`` vectors, the first by hash, on the driver."""
+    rows = table.where(F.size(vector) > 0).select(vector).orderBy(F.xxhash64(vector)).limit(sample).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    width = Counter(len(r[0]) for r in rows).most_common(1)[0][0]  # vectors of another length are in no search
+    x = np.array([list(r[0]) for r in rows if len(r[0]) == width], float)
+    centres = np.unique(x, axis=0)
+    centres = centres[np.random.default_rng(0).permutation(len(centres))[:lists]]
+    for _ in range(rounds):
+        own = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
+        n = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+class ListIndex:
+    """A table dealt into lists of near vectors, which are folders of its files: a search reads only the lists whose centres are
+    nearest to the question. All rows are indexed; the centres are trained on a bounded sample and lie beside the table."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        rows = sorted(spark.read.parquet(f"{self.path}/centres").collect(), key=lambda r: r.list_id)
+        self.schema = T.StructType.fromJson(json.loads(rows[0].schema)).add("list_id", "int")
+        self.centres = np.array([list(r.centre) for r in rows[1:]], float)
+
+    @classmethod
+    def build(cls, table: DataFrame, path: str, lists: int | None = None, sample: int = 20_000, vector: str = "vector") -> ListIndex:
+        spark, path = table.sparkSession, path.rstrip("/")
+        lists = lists or max(1, math.isqrt(table.count()) // 2)
+        centres = train_centres(table, lists, sample, vector=vector)
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            out = np.zeros(len(v), int)
+            fits = [i for i, x in enumerate(v) if x is not None and len(x) == centres.shape[1]]
+            if fits:
+                x = np.array([v.iloc[i] for i in fits], float)
+                out[fits] = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+            return pd.Series(out)
+
+        table.withColumn("list_id", nearest(F.col(vector))).repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+        about = [(-1, None, table.schema.json()), *((i, c.tolist(), None) for i, c in enumerate(centres))]
+        spark.createDataFrame(about, "list_id int, centre array<double>, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        return cls(spark, path)
+
+    def search(self, query: Sequence[float], k: int, key: Sequence[str], probes: int, vector: str = "vector") -> DataFrame:
+        order = ((self.centres - np.array(query, float)) ** 2).sum(1).argsort(kind="stable")[:probes].tolist() if len(self.centres) else [0]
+        return knn(self.spark.read.schema(self.schema).parquet(f"{self.path}/rows"), query, k, key, F.col("list_id").isin(order), vector).drop("list_id")

@@ -66,6 +66,11 @@ class Engine:
 
     # Indexing
 
+    def _outdated(self, name: str) -> None:
+        """A table that changes is searched whole until its lists are built anew."""
+        if self.store.load_state().get(f"listed_{name}"):
+            self.store.save_state(**{f"listed_{name}": 0})
+
     def index_repository(self, repo: str) -> int:
         """Commits into the store: all of them, or only those since the last run while its commit still exists."""
         last = self.store.load_state().get("last_hash", "")
@@ -77,6 +82,7 @@ class Engine:
         rows = git.commit_rows(log)
         body = text.commit_text(F.col("hash"), F.col("author"), F.col("date").cast("string"), F.col("message"), F.col("file_path"), F.col("files_changed"), F.col("condensed_diff"))
         vectors = embed.embedded(rows.withColumn("text", body), make=self.embedder).drop("text")
+        self._outdated("commits")
         (self.store.append if new else self.store.create)("commits", vectors)
         head = git.git(repo, "rev-parse", "HEAD").strip()
         self.store.save_state(last_hash=head)
@@ -88,8 +94,7 @@ class Engine:
         files = git.read_files(self.spark, repo).persist()
         try:
             hashed = files.select("file_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-            before = self.spark.createDataFrame(list(self.store.load_state().get("file_hashes", {}).items()), "file_path string, content_hash string")
-            change = changes(hashed, before).persist()
+            change = changes(hashed, self.store.load_hashes()).persist()
             counts = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
             found = symbols.symbols(files)
             chunks = chunk.windows(files.join(change.where("change <> 'deleted'").select("file_path"), "file_path", "left_semi"), summaries=large).drop("content_hash")
@@ -101,7 +106,7 @@ class Engine:
                 self.store.replace_files(change.select("file_path"), embed.embedded(tagged.withColumn("text", body), make=self.embedder).drop("text"))
             co = graph.co_change_edges(graph.co_change(self.store.read("commits"), F.current_timestamp()))
             self.store.set_edges(graph.call_edges(found).unionByName(co, allowMissingColumns=True))
-            self.store.save_state(file_hashes={r.file_path: r.content_hash for r in hashed.toLocalIterator()})
+            self.store.save_hashes(hashed)
             return counts
         finally:
             files.unpersist()
@@ -110,12 +115,33 @@ class Engine:
         raw = pulls.read_pages(self.spark, pages, self.store.load_state().get("last_fetched"))
         stored = pulls.normalised(raw)
         vectors = embed.embedded(stored.withColumn("text", pulls.embedding_text(stored)), make=self.embedder).drop("text")
+        self._outdated("pr_data")
         self.store.upsert_pulls(vectors)
         latest = raw.agg(F.max("updated_at")).first()[0]
         if latest:
             self.store.save_state(last_fetched=str(latest))
         return self.store.read("pr_data").count()
 
+    def index_vectors(self) -> list[str]:
+        """Builds lists of near vectors for the tables that are large enough; others, and those that have changed since, are searched whole."""
+        built = []
+        for name in ("commits", "code_files", "pr_data"):
+            rows = self.store.read(name)
+            if (n := rows.count()) >= search.INDEXED:
+                search.ListIndex.build(rows, f"{self.store.root}/lists/{name}")
+                self.store.save_state(**{f"listed_{name}": n})
+                built.append(name)
+        return built
+
+    def nearest(self, name: str, vector: list[float], k: int, key: list[str]) -> DataFrame:
+        """The k nearest rows of a table, by a quarter of its lists where they are up to date."""
+        rows = self.store.read(name)
+        listed = self.store.load_state().get(f"listed_{name}")
+        if listed and listed == rows.count():
+            index = search.ListIndex(self.spark, f"{self.store.root}/lists/{name}")
+            return index.search(vector, k, key, max(1, len(index.centres) // 4))
+        return search.knn(rows, vector, k, key)
+
     def status(self) -> DataFrame:
         return self.store.status()
 
@@ -136,8 +162,8 @@ class Engine:
         if weights["p_implementation"] > 0.4:
             tagged = search.knn(code, vector, k["code"], ["file_path", "start_line"], search.with_symbols(code)).withColumn("score", F.col("score") * rerank.BOOSTS["symbols"])
             near = rerank.not_yet(tagged, near, ["file_path", "start_line"])
-        past = search.knn(commits, vector, k["commit"], ["hash", "file_path"])
-        asked = search.knn(prs, vector, k["pr"], ["pr_number"])
+        past = self.nearest("commits", vector, k["commit"], ["hash", "file_path"])
+        asked = self.nearest("pr_data", vector, k["pr"], ["pr_number"])
         dated = {"code": near, "commit": past, "pr": asked.withColumn("date", F.coalesce("merged_at", "created_at"))}
         every = None
         for kind, df in dated.items():

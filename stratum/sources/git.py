@@ -14,6 +14,8 @@ from stratum.functions import paths
 from stratum.operators import diff
 
 PAGE, LARGE = 200, 5000
+#: Characters of files that are handed on at once.
+BYTES = 16 << 20
 FIELD, RECORD = "\x1f", "\x1e"
 FORMAT = f"%H{FIELD}%an{FIELD}%aI{FIELD}%s"
 
@@ -46,13 +48,14 @@ class LogReader(DataSourceReader):
         return [f"{self.since}..HEAD"] if self.since else ["--all"]
 
     def partitions(self) -> list[InputPartition]:
-        total = int(git(self.repo, "rev-list", "--count", *self.revisions()))
-        total = min(total, self.limit) if self.limit else total
-        return [InputPartition((skip, min(self.page, total - skip))) for skip in range(0, total, self.page)]
+        """The commits' hashes are listed once, so pages stay as they are while commits land, and git goes to each at once."""
+        most = [f"--max-count={self.limit}"] if self.limit else []
+        hashes = git(self.repo, "rev-list", *most, *self.revisions()).split()
+        return [InputPartition(hashes[i : i + self.page]) for i in range(0, len(hashes), self.page)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        skip, count = partition.value
-        out = git(self.repo, "log", f"--skip={skip}", f"--max-count={count}", "--patch", "--no-color", f"--format={RECORD}{FORMAT}{FIELD}", *self.revisions())
+        command = ["git", "-C", self.repo, "log", "--no-walk=unsorted", "--stdin", "--patch", "--no-color", f"--format={RECORD}{FORMAT}{FIELD}"]
+        out = subprocess.run(command, input="\n".join(partition.value), capture_output=True, text=True, errors="replace", check=True).stdout
         for record in out.split(RECORD)[1:]:
             hash_, author, date, message, body = record.split(FIELD, 4)
             yield hash_, author, date, message, body.lstrip("\n")
@@ -108,14 +111,18 @@ def read_files(spark: SparkSession, repo: str, names: list[str] | None = None) -
 
     def read(rows):
         for batch in rows:
-            found = []
+            found, size = [], 0
             for p in batch.file_path:
                 at = Path(root, p)
                 try:
                     if at.resolve().is_relative_to(root):
                         found.append((p, at.read_text(encoding="utf-8", errors="replace")))
+                        size += len(found[-1][1])
                 except OSError:
                     continue
+                if size > BYTES:
+                    yield type(batch)(found, columns=["file_path", "content"])
+                    found, size = [], 0
             yield batch.iloc[:0].assign(content=None) if not found else type(batch)(found, columns=["file_path", "content"])
 
     return listed.mapInPandas(read, "file_path string, content string")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,3 +75,49 @@ def normalised(raw: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
 def embedding_text(pulls: DataFrame) -> Column:
     return text.pull_text(*(F.col(c) for c in ("pr_number", "title", "state", "author", "merged_by", "description")), F.array_join("linked_issues", ", "), F.col("resolved_by"))
+
+
+class Fetcher:
+    """Pages of a service's pull requests, written as files that ``read_pages`` reads.
+
+    ``get`` maps a path with its query to decoded JSON. Pages are by falling time of change. One that holds nothing changed at
+    ``since`` or later is the last. With ``at_once`` over 1, as many pages are on their way at a time, and those
+    beyond the last are dropped. So are titles of issues, one request each.
+    """
+
+    def __init__(self, get: Callable[[str], object], owner: str, name: str, size: int = 100, at_once: int = 3) -> None:
+        self.get, self.base, self.size, self.at_once = get, f"/repos/{owner}/{name}", size, at_once
+
+    def page(self, n: int) -> list[dict]:
+        return self.get(f"{self.base}/pulls?state=all&sort=updated&direction=desc&per_page={self.size}&page={n}") or []
+
+    def fetch(self, folder: str, since: str = "", on_page: Callable[[int, int], None] | None = None) -> int:
+        """The number of pull requests written; each page is there as a whole or not at all."""
+        at, total, n = Path(folder), 0, 1
+        at.mkdir(parents=True, exist_ok=True)
+        with ThreadPoolExecutor(self.at_once) as pool:
+            while True:
+                for rows in pool.map(self.page, range(n, n + self.at_once)):
+                    new = [r for r in rows if str(r.get("updated_at") or "") >= since]
+                    if new:
+                        part = at / f".page-{n}.json"
+                        part.write_text(json.dumps(new))
+                        part.rename(at / f"page-{n}.json")
+                    total += len(new)
+                    if on_page:
+                        on_page(n, total)
+                    if len(rows) < self.size or len(new) < len(rows):
+                        return total
+                    n += 1
+
+    def titles(self, issues: list[int]) -> dict[int, str]:
+        """Titles of those issues that can be had."""
+
+        def one(i: int) -> tuple[int, str | None]:
+            try:
+                return i, (self.get(f"{self.base}/issues/{i}") or {}).get("title")
+            except (OSError, ValueError):
+                return i, None
+
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return {i: t for i, t in pool.map(one, dict.fromkeys(issues)) if t}

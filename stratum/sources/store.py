@@ -89,7 +89,7 @@ class Store:
 
     def clear(self) -> None:
         fs, path = self._fs()
-        for name in (*TABLES, "state"):
+        for name in (*TABLES, "state", "file_hashes"):
             fs.delete(path(self.path(name)), True)
 
     def save_state(self, **values: object) -> None:
@@ -105,6 +105,14 @@ class Store:
         except (ValueError, TypeError):
             return {}
 
+    def save_hashes(self, hashes: DataFrame) -> None:
+        """file_path, content_hash of the files as they were indexed; a table, however many files there are."""
+        hashes.select("file_path", "content_hash").write.mode("overwrite").parquet(self.path("file_hashes"))
+
+    def load_hashes(self) -> DataFrame:
+        schema = "file_path string, content_hash string"
+        return self.spark.read.schema(schema).parquet(self.path("file_hashes")) if self.exists("file_hashes") else self.spark.createDataFrame([], schema)
+
     def status(self) -> DataFrame:
         return status(self.read("commits"), self.read("code_files"), self.read("pr_data"))
 
