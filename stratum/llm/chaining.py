@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -353,22 +354,6 @@ def strings(f: Found, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def found(p: Params, bits: int):
-    """Of each chunk a row (bucket -1) with what it shares, and the cells of its strings."""
-
-    def run(own: pa.Table, back: pa.Table) -> pa.Table:
-        if not own.num_rows or not back.num_rows:
-            return CELL.empty_table()
-        chunk, c = own.column("chunk")[0].as_py(), Chunk.load(own.column("blob")[0].as_py())
-        f = Found.of(*kept(c, p), back, bits)
-        long = strings(f, p)
-        blob = pack(ascending(f.doc), f.place.astype(np.uint32), f.other.astype(np.uint32), f.at.astype(np.uint32), f.holders.reshape(-1), c.ids, *long[:1], long[1], long[2])
-        rows = [(-1, chunk, blob), *((i, chunk, x) for i, x in asked(c.ids, *long, bits))]
-        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), CELL)], schema=CELL)
-
-    return run
-
-
 def segments(doc: np.ndarray, other: np.ndarray, q: np.ndarray, t: np.ndarray, p: Params) -> Iterator[tuple[int, int, list[list[tuple[int, int, int]]]]]:
     """(document, other, chains) of matches, chains of (place, place in other, words)."""
     if not len(doc):
@@ -419,58 +404,102 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+@dataclass
+class Stretches:
+    """Runs of shared seeds that share a window with the next: document, first place and end, in order."""
+
+    doc: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, doc: np.ndarray, place: np.ndarray, p: Params) -> Stretches:
+        if not len(doc):
+            return cls(doc, place, place)
+        where = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > p.window + p.k)))
+        return cls(doc[where], place[where], place[np.append(where[1:], len(place)) - 1] + p.k)
+
+    def around(self, doc: int, start: int, end: int) -> tuple[int, int]:
+        """Words that go on before and after a chain within the stretches that it starts and ends in."""
+        k, z = (int(np.searchsorted(self.flat, doc << 40 | x, "right")) - 1 for x in (start, end))
+        left = start - int(self.low[k]) if k >= 0 and self.doc[k] == doc and self.high[k] > start else 0
+        right = int(self.high[z]) - end if z >= 0 and self.doc[z] == doc else 0
+        return max(0, left), max(0, right)
+
+    @cached_property
+    def flat(self) -> np.ndarray:
+        return self.doc << 40 | self.low
+
+
+def chain_rows(doc: np.ndarray, other: np.ndarray, q: np.ndarray, t: np.ndarray, ids: np.ndarray, holders: np.ndarray, s: Stretches, p: Params) -> np.ndarray:
+    """The chains of matches, one after the other: document, its words to look at, the other's chunk, number, id and words to look at,
+    the number of segments and these."""
+    use = ids[doc] != holders[other, 2] if len(doc) else np.zeros(0, bool)
+    out = []
+    for i, j, made in segments(doc[use], other[use], q[use], t[use], p):
+        for c in made:
+            (q0, t0, _), (q1, t1, w) = c[0], c[-1]
+            left, right = (x + p.reach for x in s.around(i, q0, q1 + w))
+            out.append((i, max(0, q0 - left), q1 + w + right, *holders[j].tolist(), max(0, t0 - left - left // 4), t1 + w + right + right // 4, len(c), *(x for y in c for x in y)))
+    return np.concatenate([np.array(r, np.int64) for r in out]) if out else np.zeros(0, np.int64)
+
+
+def found(p: Params, bits: int):
+    """Of each chunk a row (bucket -1) with its chains, and where its strings are, and the cells of its strings."""
+
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        if not own.num_rows or not back.num_rows:
+            return CELL.empty_table()
+        chunk, c = own.column("chunk")[0].as_py(), Chunk.load(own.column("blob")[0].as_py())
+        f = Found.of(*kept(c, p), back, bits)
+        key, doc, place = strings(f, p)
+        s = Stretches.of(f.doc, f.place, p)
+        rows = chain_rows(f.doc, f.other, f.place, f.at, c.ids, f.holders, s, p)
+        long = s.high - s.low >= p.words  # a string lies in such a one
+        blob = pack(c.ids, rows, key, doc.astype(np.uint32), place.astype(np.uint32), s.doc[long].astype(np.uint32), s.low[long].astype(np.uint32), s.high[long].astype(np.uint32))
+        cells_ = [(-1, chunk, blob), *((i, chunk, x) for i, x in asked(c.ids, key, doc, place, bits))]
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*cells_), CELL)], schema=CELL)
+
+    return run
+
+
 LINK = pa.schema([("chunk", pa.int64()), ("asker", pa.int64()), ("blob", pa.binary())])
 
 
 def links(p: Params, bits: int):
-    """What each chunk wants of itself (asker is chunk) and of others, to align its chains: spans of documents, by
-    number, start and end. Of itself also the chains, and which spans each is about."""
+    """What each chunk wants of itself (asker is -1) and of others, to align its chains: spans of documents, by number,
+    start and end. Of itself also the chains."""
 
     def run(own: pa.Table, back: pa.Table) -> pa.Table:
         if not own.num_rows:
             return LINK.empty_table()
         me = own.column("chunk")[0].as_py()
-        doc, place, other, at, holders, ids, key, long_doc, long_place = unpack(own.column("blob")[0].as_py())
-        doc, holders = np.cumsum(doc), holders.reshape(-1, 3)
-        place, other, at = place.astype(np.int64), other.astype(np.int64), at.astype(np.int64)
-        more = Found.of(key, long_doc, long_place, back, bits)
-        every = np.concatenate((holders, more.holders))
-        d, q, o, t = np.concatenate((doc, more.doc)), np.concatenate((place, more.place)), np.concatenate((other, more.other + len(holders))), np.concatenate((at, more.at))
-        # one row of holders for each document
-        every, same = np.unique(every, axis=0, return_inverse=True)
-        o = same.reshape(-1)[o] if len(o) else o
-        use = ids[d] != every[o, 2] if len(o) else np.zeros(0, bool)
-        # stretches of shared seeds, by their first and last places
-        apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > p.window + p.k)) if len(doc) else np.zeros(0, bool)
-        where = np.flatnonzero(apart)
-        low, high = place[where], place[np.append(where[1:], len(place)) - 1] + p.k if len(doc) else place
-        flat = doc[where] << 40 | low
-        mine, theirs, chain_rows = [], {}, []
-        for i, j, made in segments(d[use], o[use], q[use], t[use], p):
-            to, number, id_ = every[j].tolist()
-            for c in made:
-                (q0, t0, _), (q1, t1, w) = c[0], c[-1]
-                k = int(np.searchsorted(flat, i << 40 | q0, "right")) - 1
-                z = int(np.searchsorted(flat, i << 40 | (q1 + w), "right")) - 1
-                left, right = q0 - int(min(low[k], q0)) + p.reach, int(max(high[z], q1 + w)) - q1 - w + p.reach
-                mine.append((i, max(0, q0 - left), q1 + w + right))
-                theirs.setdefault((to, number), [id_]).append((max(0, t0 - left - left // 4), t1 + w + right + right // 4))
-                chain_rows.append((i, to, number, *mine[-1][1:], len(c), *(x for s in c for x in s)))
-        if not mine:
+        ids, rows, key, doc, place, *stretches = unpack(own.column("blob")[0].as_py())
+        f = Found.of(key, doc.astype(np.int64), place.astype(np.int64), back, bits)
+        more = chain_rows(f.doc, f.other, f.place, f.at, ids, f.holders, Stretches(*(x.astype(np.int64) for x in stretches)), p)
+        rows = np.concatenate((rows, more))
+        if not len(rows):
             return LINK.empty_table()
-        rows = []
-        wanted: dict[int, list] = {}
-        for (to, number), (_, *spans) in theirs.items():
-            wanted.setdefault(to, []).extend((number, a, b) for a, b in spans)
-        for to, spans in wanted.items():
-            rows.append((to, me, pack(*np.array(united(spans), np.int64).T)))
-        names = np.array([(to, number, id_) for (to, number), (id_, *_) in theirs.items()], np.int64)
-        rows.append((me, -1, pack(*np.array(united(mine), np.int64).T, np.concatenate([np.array(r, np.int64) for r in chain_rows]), names.reshape(-1), ids)))
-        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), LINK)], schema=LINK)
+        mine, wanted = [], {}
+        for i, q0, q1, to, number, _, t0, t1, _ in each(rows.tolist()):
+            mine.append((i, q0, q1))
+            wanted.setdefault(to, []).append((number, t0, t1))
+        out = [(to, me, pack(*np.array(united(spans), np.int64).T)) for to, spans in wanted.items()]
+        out.append((me, -1, pack(*np.array(united(mine), np.int64).T, rows, ids)))
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out), LINK)], schema=LINK)
 
     return run
 
 
+def each(rows: list[int]) -> Iterator[tuple]:
+    """The chains of ``chain_rows``, each with its segments last."""
+    at = 0
+    while at < len(rows):
+        end = at + 9 + 3 * rows[at + 8]
+        yield (*rows[at : at + 8], [tuple(rows[i : i + 3]) for i in range(at + 9, end, 3)])
+        at = end
+
+
 SERVED = pa.schema([("asker", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
 
@@ -536,14 +565,9 @@ def aligned(p: Params):
 
         if own is None:
             return pa.table([[]] * len(NAMES), schema=pa.schema(list(zip(NAMES, TYPES))))
-        rows, names, ids = own
-        id_of = {(to, n): i for to, n, i in names.reshape(-1, 3).tolist()}
-        pairs: dict[tuple[int, int, int], list] = {}
-        at, rows = 0, rows.tolist()
-        while at < len(rows):
-            doc, to, n, q0, q1, size = rows[at : at + 6]
-            chain = [tuple(rows[at + 6 + 3 * j : at + 9 + 3 * j]) for j in range(size)]
-            at += 6 + 3 * size
+        rows, ids = own
+        pairs: dict[tuple[int, int, int, int], list] = {}
+        for doc, q0, q1, to, n, id_, _, _, chain in each(rows.tolist()):
             (qa, ta, _), (qb, tb, w) = chain[0], chain[-1]
             low, high, x = part((-1, doc), q0)
             q1 = min(q1, high)
@@ -552,13 +576,13 @@ def aligned(p: Params):
             left, right = qa - q0, q1 - qb - w
             t0 = max(low, ta - left - left // 4)
             y = y[t0 - low : max(0, min(high, tb + w + right + right // 4) - low)]
-            out = pairs.setdefault((doc, to, n), [])
-            if size == 1 and len(x) == len(y) == w and (x == y).all():
+            out = pairs.setdefault((doc, to, n, id_), [])
+            if len(chain) == 1 and len(x) == len(y) == w and (x == y).all():
                 found_ = [(0, w, 0, w, w)] if w >= p.words else []
             else:
                 found_ = passages(x.tolist(), y.tolist(), [(q - q0, t - t0, v) for q, t, v in chain], p)
             out += [(s + q0, e + q0, c + t0, d + t0, same) for s, e, c, d, same in found_]
-        ready = [(int(ids[doc]), id_of[to, n], *r) for (doc, to, n), found_ in pairs.items() for r in merged(found_)]
+        ready = [(int(ids[doc]), id_, *r) for (doc, _, _, id_), found_ in pairs.items() for r in merged(found_)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*ready) if ready else [[]] * len(NAMES), TYPES)], names=NAMES)
 
     return run
@@ -601,7 +625,7 @@ def shared_passages(docs: DataFrame, params: Params | None = None) -> DataFrame:
     longer = shared.where("bucket >= 0").groupBy("bucket").applyInArrow(firsts, cell)
     wanted = cut.write(shared.where("bucket < 0").groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(links(p, bits), link), "links", free=True)
     cut.drop("shared")
-    rows = wanted.unionByName(chunks.join(wanted.select("chunk").distinct(), "chunk", "left_semi").select("chunk", F.lit(-2).cast("long").alias("asker"), "blob"))
+    rows = wanted.unionByName(chunks.select("chunk", F.lit(-2).cast("long").alias("asker"), "blob"))
     answers = cut.write(rows.repartition(parts(spark), "chunk").sortWithinPartitions("chunk", "asker").mapInArrow(served, "asker long, chunk long, blob binary"), "words", free=True)
     cut.drop("links")
     cut.drop("chunks")
