@@ -115,7 +115,7 @@ class ListIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         rows = sorted(spark.read.parquet(f"{self.path}/centres").collect(), key=lambda r: r.list_id)
-        self.schema = T.StructType.fromJson(json.loads(rows[0].schema)).add("list_id", "int")
+        self.schema = T.StructType.fromJson(json.loads(rows[0].schema)).add("list_id", T.IntegerType())
         self.centres = np.array([list(r.centre) for r in rows[1:]], float)
 
     @classmethod
