@@ -16,6 +16,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A pre-token never reaches over the start of such a unit: one space and what follows it up to white space.
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SPECIAL = "<|endoftext|>"
+BLANKS = str.maketrans("\t\n\r", "   ")
 #: Units that are kept, and the characters of the longest; longer ones are encoded anew.
 CACHE, LONGEST = 600_000, 64
 
@@ -121,8 +122,8 @@ class Pieces:
         self.known = {x for x in map(self.model.id_to_piece, range(size)) if len(x) == 1} | set(" \t\n\r")
 
     def byte_share(self, text: str) -> float:
-        """Byte-fallback pieces among all pieces."""
+        """Byte-fallback pieces among all pieces. Line ends and tabs count as blanks, as they are no sign of a strange script."""
         if self.known.issuperset(text):
             return 0.0
-        ids = self.model.encode(text, num_threads=1)
+        ids = self.model.encode(text.translate(BLANKS), num_threads=1)
         return sum(i in self.bytes for i in ids) / len(ids) if ids else 0.0
