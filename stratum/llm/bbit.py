@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Cut, joined, parts, small_batches, texts, told_apart
+from stratum.llm.common import Cut, joined, parts, sifted, small_batches, texts, told_apart
 from stratum.llm.components import components
 
 
@@ -29,7 +29,7 @@ class Params:
     bits: int = 8
     margin: float = 5.0
     bucket: int = 64
-    block: int = 4_000_000
+    block: int = 1_000_000
     seed: int = 9
 
     @property
@@ -187,7 +187,7 @@ def buckets_of(classes: DataFrame, p: Params, cut: Cut) -> DataFrame:
     the very same members in several bands only the one of the lowest band is kept."""
     keyed = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
     shared = cut.write(keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1"), "shared")
-    every = cut.write(joined(keyed, shared, "key", "size"), "keyed")
+    every = cut.write(joined(sifted(keyed, shared, "key"), shared, "key", "size"), "keyed")
     cut.drop("shared")
     lists = every.where(F.col("size") <= p.bucket).groupBy("key", "band", "size", "weight").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
     once = lists.groupBy("ids").agg(F.min(F.struct("band", "key", "size", "weight")).alias("b")).select("b.key", "b.band", F.explode("ids").alias("m"), "b.size", "b.weight").select("key", "band", "m.id", "m.n", "size", "weight")
@@ -261,9 +261,10 @@ def components_of(base: DataFrame, p: Params, cut: Cut) -> DataFrame:
     same = usable.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min(F.struct("n_shingles", "signature", "keys")).alias("s"))
     # a class is known by a number, as one doc_id may stand first in several
     classes = cut.write(same.select(F.xxhash64("whole").alias("id"), "whole", "rep", "rows", F.col("s.n_shingles").alias("n"), "s.signature", "s.keys"), "classes")
-    members = joined(usable.select("doc_id", "whole"), classes.select("whole", "rep", "rows"), "whole", "rows").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    members = joined(usable.select("doc_id", "whole"), classes.where("rows > 1").select("whole", "rep", "rows"), "whole", "rows").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     buckets = buckets_of(classes, p, cut)
-    own = sets_of(base, buckets.select("id").distinct().join(classes, "id"), p)
+    ids = cut.write(buckets.select("id").distinct(), "ids")
+    own = sets_of(base, cut.write(sifted(classes, ids, "id").join(ids, "id"), "met"), p)
 
     def links(rows: DataFrame) -> DataFrame:
         full = rows.join(own, "id").select("key", "part", "band", "id", "label", "side", "signature", "keys", "hashes")
@@ -297,7 +298,9 @@ def sets_of(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
             made = [shingles(t, p.words).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["rep", "whole", "hashes"])
 
-    wanted = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    ids = classes.select(F.col("rep").alias("doc_id")).distinct()
+    # no semi-join, which Spark would move below the sifting
+    wanted = sifted(base, ids, "doc_id").join(ids, "doc_id").select("doc_id", "text")
     return wanted.mapInArrow(sets, "rep long, whole binary, hashes binary").dropDuplicates(["rep", "whole"]).join(classes, ["rep", "whole"]).select("id", "signature", "keys", "hashes")
 
 

@@ -149,6 +149,16 @@ def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int =
     return rows.join(F.broadcast(few), key).unionByName(rest)
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, slots: int = 1 << 17) -> DataFrame:
+    """``rows`` whose key is among those wanted, or by chance has the bit of one. The bits are 64 a slot, so the broadcast has
+    ``slots`` rows at most, whatever is wanted; what a join of wide rows would shuffle for nothing is mostly left out before it."""
+    h = F.xxhash64(key)
+    slot, bit = F.pmod(F.shiftright(h, 6), F.lit(slots)), F.pmod(h, F.lit(64)).cast("int")
+    marks = wanted.select(slot.alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    hit = rows.withColumn("_slot", slot).join(F.broadcast(marks), "_slot")
+    return hit.where(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_slot", "_bits")
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
