@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Cut, joined, parts, sifted, small_batches, texts, told_apart
+from stratum.llm.common import Cut, joined, parts, sifted, small_batches, texts, told_apart, without
 from stratum.llm.components import components
 
 
@@ -313,7 +313,7 @@ def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """
     gone = near_duplicates(docs, params).where(~F.col("kept")).select("doc_id").distinct()
     names, docs = docs.columns, told_apart(docs)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = without(docs, gone, "doc_id")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not again.isEmpty():
         lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -152,11 +152,25 @@ def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int =
 def sifted(rows: DataFrame, wanted: DataFrame, key: str, slots: int = 1 << 17) -> DataFrame:
     """``rows`` whose key is among those wanted, or by chance has the bit of one. The bits are 64 a slot, so the broadcast has
     ``slots`` rows at most, whatever is wanted; what a join of wide rows would shuffle for nothing is mostly left out before it."""
+    return marked(rows, wanted, key, slots).where("_hit").select(*rows.columns)
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str, slots: int) -> DataFrame:
+    """``rows`` with ``_hit``, whether the bit of their key is set."""
     h = F.xxhash64(key)
     slot, bit = F.pmod(F.shiftright(h, 6), F.lit(slots)), F.pmod(h, F.lit(64)).cast("int")
     marks = wanted.select(slot.alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    hit = rows.withColumn("_slot", slot).join(F.broadcast(marks), "_slot")
-    return hit.where(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_slot", "_bits")
+    hit = rows.withColumn("_slot", slot).join(F.broadcast(marks), "_slot", "left")
+    set_ = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return hit.withColumn("_hit", F.coalesce(set_, F.lit(False)))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, slots: int = 1 << 17) -> DataFrame:
+    """``rows`` whose key is not among those gone, which are distinct. Only rows with the bit of one are joined."""
+    every = marked(rows, gone, key, slots)
+    # no anti-join, which Spark would move below the marking
+    doubted = every.where("_hit").join(gone.select(key, F.lit(True).alias("_gone")), key, "left").where("_gone is null")
+    return every.where("not _hit").select(*rows.columns).unionByName(doubted.select(*rows.columns))
 
 
 def parts(spark: SparkSession) -> int:
