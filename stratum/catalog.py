@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.plans import file_queries, graph_queries, search_queries
+from stratum.plans import file_queries, graph_queries, search_queries, store_queries
 
-MODULES = [search_queries, file_queries, graph_queries]
+MODULES = [search_queries, file_queries, graph_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,9 +78,13 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.import_targets(IMPORTS.df(spark), KNOWN.df(spark)).select("file_path", "source", "target")
 
 
-STEM_SQL = """(case source when '../lib/b' then 'lib/b' when './help' then 'app/help' when '../app' then 'app' when './missing' then 'lib/missing' when './c.ts' then 'lib/c.ts' end)"""
-IMPORT_SQL = f"""with s(suffix, place) as (values {', '.join(f"('{x}', {i})" for i, x in enumerate([*graph.SUFFIXES, *('/' + x for x in graph.INDEX_FILES)]))})
-select i.file_path, i.source, (select min_by(k.file_path, place) from s join {KNOWN.sql()} k on k.file_path = {STEM_SQL} || suffix) as target from {IMPORTS.sql()} i"""
+#: The stem of each relative import: the folder and the source taken together, step by step.
+STEMS_SQL = f"""select file_path, source, steps, 1 as i, []::varchar[] as acc from (select distinct file_path, source, list_filter(string_split(regexp_extract(file_path, '^(.*/)[^/]*$', 1) || source, '/'), lambda x: x not in ('', '.')) as steps from {IMPORTS.sql()} where starts_with(source, '.'))
+union all select file_path, source, steps, i + 1, case when steps[i] = '..' then acc[:len(acc) - 1] else list_append(acc, steps[i]) end from w where i <= len(steps)"""
+IMPORT_SQL = f"""with recursive w(file_path, source, steps, i, acc) as ({STEMS_SQL}), stem as (select file_path, source, array_to_string(acc, '/') as stem from w where i = len(steps) + 1),
+s(suffix, place) as (values {', '.join(f"('{x}', {i})" for i, x in enumerate([*graph.SUFFIXES, *('/' + x for x in graph.INDEX_FILES)]))}),
+best as (select t.file_path, t.source, min_by(k.file_path, place) as target from stem t join s on true join {KNOWN.sql()} k on k.file_path = stem || suffix group by all)
+select i.file_path, i.source, best.target from {IMPORTS.sql()} i left join best on best.file_path = i.file_path and best.source = i.source"""
 
 
 def callee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
