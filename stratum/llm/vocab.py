@@ -1,4 +1,4 @@
-"""Public tokenizer vocabularies, loaded once for each Python worker, with bounded caches by word."""
+"""Public tokenizer vocabularies, loaded once for each Python worker."""
 
 from __future__ import annotations
 
@@ -6,19 +6,16 @@ import base64
 import functools
 import re
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 
 #: White space of str.isspace() that the vocabularies' pattern does not take as such.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A pre-token never reaches over the start of such a unit: one space and what follows it up to white space.
-UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SPECIAL = "<|endoftext|>"
+#: Characters beyond which ids come as an array at once, which takes less memory than a list but a little more time.
+LONG = 1 << 18
 BLANKS = str.maketrans("\t\n\r", "   ")
-#: Units that are kept, and the characters of the longest; longer ones are encoded anew.
-CACHE, LONGEST = 600_000, 64
 
 
 def default_path(name: str) -> str:
@@ -41,10 +38,9 @@ def pieces(path: str) -> "Pieces":
 class ByteBpe:
     """Ids of the byte-level BPE in ``path``, a file of the tokenizers library.
 
-    tokenizers.Tokenizer defines the ids. Texts are cut into units that no pre-token crosses, and a unit's
-    ids are kept, packed, for its next occurrence. Units that are not kept are encoded together by the rank
-    file of the same vocabulary beside ``path`` where there is one, as it is several times as fast and gives
-    the same ids. Texts that hold a special token or odd white space go to tokenizers whole.
+    tokenizers.Tokenizer defines the ids. Texts are encoded by the rank file of the same vocabulary beside
+    ``path`` where there is one, as it is several times as fast and gives the same ids. Texts that hold a special
+    token or odd white space go to tokenizers. Nothing is kept from one text to the next.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,8 +48,6 @@ class ByteBpe:
 
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
-        self.long: list[str] = []  # kept until the next units are learnt
         ranks = Path(path).with_suffix(".tiktoken")
         self.fast = None
         if ranks.exists():
@@ -62,51 +56,17 @@ class ByteBpe:
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.width = np.zeros(max(table.values()) + 1, np.int64)
-            for token, i in table.items():
-                self.width[i] = len(token)
-
-    def one(self, text: str) -> bytes:
-        encode = self.fast.encode_ordinary if self.fast else lambda x: self.whole.encode(x, add_special_tokens=False).ids
-        return np.array(encode(text), self.kind).tobytes()
-
-    def learn(self, units: set[str]) -> None:
-        """Adds the ids of units. All but white space are encoded as one text and cut apart by width; those
-        that don't start with a space have a line end before them there, which is a token of its own."""
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        for u in self.long:
-            self.kept.pop(u, None)
-        self.long = [u for u in units if len(u) > LONGEST]
-        joined = [u for u in units if not u.isspace()] if self.fast else []
-        for u in units.difference(joined):
-            self.kept[u] = self.one(u)
-        if joined:
-            parts = [u if u[0] == " " else "\n" + u for u in joined]
-            ids = np.fromiter(self.fast.encode_ordinary("".join(parts)), np.int64)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)))
-            size = self.kind.itemsize
-            cuts = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * size).tolist()
-            raw, start = ids.astype(self.kind).tobytes(), 0
-            for u, end in zip(joined, cuts):
-                self.kept[u] = raw[start if u[0] == " " else start + size : end]
-                start = end
+
+    def one(self, text: str) -> np.ndarray:
+        if not self.fast or SPECIAL in text or ODD_SPACE.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
+        if len(text) > LONG:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
+        return np.array(self.fast.encode_ordinary(text), self.kind)
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for i in range(0, len(texts), 64):
-            part = texts[i : i + 64]
-            split = [None if SPECIAL in x or ODD_SPACE.search(x) else UNIT.findall(x) for x in part]
-            for _ in range(2):  # learning may drop what was kept
-                kept = self.kept
-                new = {u for units in split if units for u in units if u not in kept}
-                if not new:
-                    break
-                self.learn(new)
-            get = self.kept.__getitem__
-            for text, units in zip(part, split):
-                raw = b"".join(map(get, units)) if units is not None else np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-                yield np.frombuffer(raw, self.kind)
+        return map(self.one, texts)
 
 
 class Pieces:

@@ -73,6 +73,9 @@ def test_vocabulary_ids_are_those_of_tokenizers():
     p = fertility.Params()
     bpe = vocab.ByteBpe(p.bpe)
     odd = ["", " ", "a  b\n\n c\t d  ", "\x1c a b", "<|endoftext|> hi <|endoftext|>", "it's we'll 12 34x __ é　x", "\n\n\nx", "日本語 テスト", "😀 😀😀", " \n a", "a\r\n\r\nb", "x" * 3000, *(t or "" for _, t in corpus())]
+    rng = random.Random(12)
+    signs = [*map(chr, (*range(0x180), 0x2028, 0x200B, 0x3000, 0x180E, 0xFEFF, 0x660, 0x4E00, 0xAC00, 0x1F600, 0x10FFFF)), *(" ", "\n", "'s", "'LL", "word", vocab.SPECIAL) * 8]
+    odd += ["".join(rng.choices(signs, k=rng.randint(1, 50))) for _ in range(1500)] + ["ab 12\n " * (vocab.LONG // 6), " " * (vocab.LONG + 1)]
     for text, ids in zip(odd, bpe.batch(odd)):
         assert ids.tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
     sp = vocab.Pieces(p.model)
