@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import chunk, diagram, expand, graph, prompt
+from stratum.operators import chunk, diagram, expand, graph, prompt, rerank
 from stratum.plans import inputs
 from stratum.plans.file_queries import windows_sql
 from stratum.plans.inputs import COMMITS_SQL, EDGES_SQL, FILES_SQL, NOW_SQL, Values, visits_sql
@@ -153,8 +153,15 @@ def context_walk_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.context(c, ["next"]).where("forced").select("file_path", "start_line")
 
 
-#: By hand: the chunk at 21 of r.js has the symbol, its parent handle; the run of handle from 1 to 31 is forced, 51 is cut off.
-CONTEXT_SQL = "select * from (values ('r.js', 1), ('r.js', 11), ('r.js', 21), ('r.js', 31), ('s.js', 11)) t(file_path, start_line)"
+#: From each chunk with the symbol, one chunk at a time up and down as long as they name its parent.
+CONTEXT_SQL = f"""with recursive c as (select *, row_number() over (partition by file_path order by start_line) as i, list_transform((case when start_line = 11 then ['Handle'] else []::varchar[] end)
+  || list_transform(list_zip(regexp_extract_all(content, '{expand.DECLARED}', 1), regexp_extract_all(content, '{expand.DECLARED}', 2)), lambda x: concat(x[1], x[2])) || regexp_extract_all(content, '{expand.ASSIGNED}', 1), lambda x: lower(x)) as names
+  from {CHUNKS.sql()} where not is_summary),
+h as (select *, len(list_filter(names, lambda x: contains(x, 'next'))) > 0 or regexp_matches(content, '{rerank.declares(["next"])}') as hit from c),
+n as (select *, case when hit then coalesce(list_filter(names, lambda x: not contains(x, 'next'))[1], names[1]) end as parent from h),
+w(file_path, parent, i, step) as (select file_path, parent, i, unnest([1, -1]) from n where parent is not null
+  union select n.file_path, w.parent, n.i, step from w join n on n.file_path = w.file_path and n.i = w.i + step where len(list_filter(n.names, lambda x: contains(x, w.parent))) > 0)
+select distinct file_path, start_line from n where hit or (file_path, i) in (select file_path, i from w)"""
 
 
 def hit_or_skeleton_render(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,29 @@ def expansion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.expansions(sized, 60_000)
 
 
+def fill_sql(code: int, commit: int, commit_first: bool) -> str:
+    """The fold over candidates by recursion: taken results, then seeds, then the others one after the other."""
+    favoured = "type <> 'code'" if commit_first else "type = 'code'"
+    full = f"case when type = 'code' then code + cost > {code} else commits + cost > {commit} end"
+    return f"""with recursive x as materialized (select x.*, cast(row_number() over (order by r.score, r.type, r.vec_id) as integer) as rank from ({SNIPPET_SQL}) x join {STREAMS_SQL} r on r.vec_id = x.vec_id and r.type = x.type),
+seeds as (select type, min(rank) as rank, case when (type = 'commit') = {commit_first} then 0 else 1 end as seed from x where type = 'commit' or (type = 'code' and not expanded) group by type),
+t as (select rank, row_number() over (order by rank) - 1 as place from x where taken), s as (select x.*, seed, row_number() over (order by seed) - 1 + (select count(*) from t) as place from x join seeds using (rank) where not taken),
+rest as materialized (select *, row_number() over (order by rank) as n from x where not taken and rank not in (select rank from seeds)),
+f(n, rank, code, commits, done, size, placed) as (
+  select 0::bigint, 0, coalesce((select sum(cost) from s where type = 'code'), 0)::bigint, coalesce((select sum(cost) from s where type <> 'code'), 0)::bigint, false, (select count(*) from t) + (select count(*) from s), false
+  union all
+  select n, rank, code + case when not skip and type = 'code' then cost else 0 end, commits + case when not skip and type <> 'code' then cost else 0 end, done or (not skip and above and size > 0),
+    size + case when skip or (above and size > 0) then 0 else 1 end, not (skip or (above and size > 0))
+  from (select r.*, code, commits, done, size, code + commits + cost > {code + commit} as above, done or (type = 'code' and expanded) or ({full} and (not ({favoured}) or code + commits + cost > {code + commit})) as skip from f join rest r on r.n = f.n + 1)
+)
+select x.rank, vec_id, type, cost, cast(place as integer) as place from x left join (select rank, place from t union all select rank, place from s union all select rank, size - 1 from f where placed) p on p.rank = x.rank"""
+
+
+EXPANSION_SQL = f"""with recursive d as materialized (select file_path, doc_id as place, cast(length(content) as integer) as cost, row_number() over (order by doc_id, file_path) as n from {inputs.FILES_SQL}),
+f(n, used, kept) as (select 0::bigint, 0::bigint, false union all select d.n, used + case when used + cost + {budget.HEADER} <= {60_000 * budget.SHARE} then cost + {budget.HEADER} else 0 end, used + cost + {budget.HEADER} <= {60_000 * budget.SHARE} from f join d on d.n = f.n + 1)
+select file_path, place, cost, kept from d join f using (n)"""
+
+
 def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = inputs.table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
     return budget.history(m, 1500, by=["conv_id"]).select("conv_id", "turn", "role", "chars")
@@ -244,6 +267,9 @@ SQL = {
       every as (select * from top union all select * from (values ('src/z.ts', 1, 1), ('src/b.ts', 1, 2), ('src/y.ts', 1, 3), ('lib/z.ts', 2, 0), ('lib/q/w.go', 2, 1)) t(file_path, part, place)),
       once as (select file_path, min((part, place)) as p from every group by file_path)
       select file_path, cast(row_number() over (order by p, file_path) as integer) as place from once""",
+    "greedy_budget_fill": fill_sql(24_000, 16_000, False),
+    "greedy_commit_first": fill_sql(16_000, 12_000, True),
+    "expansion_budget": EXPANSION_SQL,
     "snippet_costs": SNIPPET_SQL,
     "history_trim": """with b as (select *, row_number() over (partition by conv_id order by turn desc, text desc) as n from conversations),
       c as (select *, sum(length(text)) over (partition by conv_id order by turn desc, text desc rows unbounded preceding) as chars from b where n <= 10)

@@ -22,6 +22,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.finish()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,6 +59,7 @@ class Store:
 
     def replace_files(self, paths: DataFrame, chunks: DataFrame | None = None) -> None:
         """Deletes the chunks of the files in ``paths`` (file_path) and adds the given ones, in the touched buckets only."""
+        self.finish()
         old = self.read("code_files")
         touched = paths.select(F.pmod(F.hash("file_path"), F.lit(self.buckets)).alias("bucket")).distinct()
         ids = sorted(r[0] for r in touched.collect())  # ``buckets`` numbers at most
@@ -65,22 +67,32 @@ class Store:
             return
         here = self._bucketed(old).where(F.col("bucket").isin(ids)).join(paths.select("file_path").distinct(), "file_path", "left_anti")
         new = here if chunks is None else here.unionByName(self._bucketed(chunks.select(*old.columns)))
-        staged = f"{self.root}/.staged"
-        new.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        ready = self.spark.read.schema(self._bucketed(old).schema).parquet(staged)
-        left = {r[0] for r in ready.select("bucket").distinct().collect()}
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path("code_files"))
-        fs, path = self._fs()
-        for gone in set(ids) - left:
-            fs.delete(path(f"{self.path('code_files')}/bucket={gone}"), True)
-        fs.delete(path(staged), True)
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/.chunks")
+        self.spark.createDataFrame([(i,) for i in ids], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/.touched")
+        self.finish()
 
     def upsert_pulls(self, new: DataFrame) -> None:
         """Adds pull requests; of several versions of one the new one stays."""
-        merged = latest_pulls(self.read("pr_data"), new)
-        staged = f"{self.root}/.pulls"
-        merged.write.mode("overwrite").parquet(staged)
-        self.create("pr_data", self.spark.read.schema(merged.schema).parquet(staged))
+        self.finish()
+        latest_pulls(self.read("pr_data"), new).write.mode("overwrite").parquet(f"{self.root}/.pulls")
+        self.finish()
+
+    def finish(self) -> None:
+        """Puts what is staged in place, as often as need be: a change counts once it is staged as a whole, so one that
+        was cut off after that is finished when the store is opened again, and one cut off before that leaves no trace."""
+        fs, path = self._fs()
+        staged = lambda name: fs.exists(path(f"{self.root}/{name}/_SUCCESS"))
+        if staged(".touched"):
+            touched = {r.bucket for r in self.spark.read.schema("bucket int").parquet(f"{self.root}/.touched").collect()}
+            ready = self.spark.read.schema(T.StructType([*schemas.CHUNKS.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/.chunks")
+            left = {r.bucket for r in ready.select("bucket").distinct().collect()}
+            ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path("code_files"))
+            for gone in touched - left:
+                fs.delete(path(f"{self.path('code_files')}/bucket={gone}"), True)
+        if staged(".pulls"):
+            self.create("pr_data", self.spark.read.schema(schemas.PULLS).parquet(f"{self.root}/.pulls"))
+        for name in (".touched", ".chunks", ".pulls"):
+            fs.delete(path(f"{self.root}/{name}"), True)
 
     def set_edges(self, edges: DataFrame) -> None:
         """Replaces the edges, unless there are none."""
@@ -89,7 +101,7 @@ class Store:
 
     def clear(self) -> None:
         fs, path = self._fs()
-        for name in (*TABLES, "state", "file_hashes"):
+        for name in (*TABLES, "state", "file_hashes", ".touched", ".chunks", ".pulls"):
             fs.delete(path(self.path(name)), True)
 
     def save_state(self, **values: object) -> None:

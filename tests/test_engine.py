@@ -8,10 +8,11 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from stratum import cli, config
+from stratum import cli, config, schemas
 from stratum.functions import intent
 from stratum.operators import search, symbols
 from stratum.plans.engine import Engine, triage_files
+from stratum.plans.store_queries import stored
 from stratum.sources import git
 from stratum.sources.store import Store
 from stratum.streaming import ingest
@@ -147,3 +148,41 @@ def test_imports_without_the_training_data_part():
     code = "import sys; sys.modules['stratum.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 60; print('fine')"
     out = subprocess.run(["python", "-c", code], cwd=__file__.rsplit("/", 2)[0], capture_output=True, text=True)
     assert "fine" in out.stdout, out.stderr[-500:]
+
+
+def test_a_change_that_was_cut_off_is_finished_or_undone(spark, tmp_path, monkeypatch):
+    rows = lambda *files: stored(spark.createDataFrame([(f, text) for f, text in files], "file_path string, content string"), schemas.CHUNKS)
+    pull = lambda n, title: stored(spark.createDataFrame([(n, title)], "pr_number int, title string"), schemas.PULLS)
+    st = Store(spark, f"{tmp_path}/s", buckets=4)
+    st.create("code_files", rows(*((f"f{i}", "old") for i in range(20))))
+    st.create("pr_data", pull(1, "old"))
+    content = lambda: {r.file_path: r.content for r in st.read("code_files").collect()}
+    paths = spark.createDataFrame([(f"f{i}",) for i in range(0, 20, 3)], "file_path string")
+    finish = Store.finish
+    calls = []
+
+    def stop_second(self):
+        calls.append(1)
+        if len(calls) % 2 == 0:
+            raise RuntimeError("lost")
+        finish(self)
+
+    monkeypatch.setattr(Store, "finish", stop_second)
+    with pytest.raises(RuntimeError):
+        st.replace_files(paths, rows(("f0", "new"), ("g", "new")))
+    assert set(content().values()) == {"old"}
+    monkeypatch.setattr(Store, "finish", finish)
+    st = Store(spark, f"{tmp_path}/s", buckets=4)
+    assert content() == {f"f{i}": "old" for i in range(20) if i % 3} | {"f0": "new", "g": "new"}
+    monkeypatch.setattr(Store, "finish", stop_second)
+    with pytest.raises(RuntimeError):
+        st.upsert_pulls(pull(1, "new"))
+    monkeypatch.setattr(Store, "finish", finish)
+    st = Store(spark, f"{tmp_path}/s", buckets=4)
+    assert [r.title for r in st.read("pr_data").collect()] == ["new"]
+    # staged but not as a whole: no trace
+    rows(("f1", "half")).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{tmp_path}/s/.chunks")
+    st = Store(spark, f"{tmp_path}/s", buckets=4)
+    assert content()["f1"] == "old" and not (tmp_path / "s" / ".chunks").exists()
+    st.replace_files(st.read("code_files").select("file_path"))
+    assert content() == {}
