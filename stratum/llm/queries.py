@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import backoff_lm, bbit, chaining, fertility, impact_index, mil, mixing, packing, pii, secrets
+from stratum.llm import backoff_lm, bbit, chaining, fertility, impact_index, mil, mixing, packing, partial_distance, pii, prefix_bpe, secrets, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,20 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_distance.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = prefix_bpe.decode(prefix_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 with whole as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
@@ -88,9 +102,9 @@ from sizes left join least on node = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fertility, op2_impact_topk, op3_backoff_lm, op4_collinear_chains, op5_bootstrapped_pii, op6_poisson_mix, op7_balanced_packing, op8_bbit_minhash, op9_secret_ownership, op10_attention_mil)
+    own = (op1_fertility, op2_impact_topk, op3_backoff_lm, op4_collinear_chains, op5_bootstrapped_pii, op6_poisson_mix, op7_balanced_packing, op8_bbit_minhash, op9_secret_ownership, op10_attention_mil, op11_partial_distance, op12_prefix_bpe, op13_tiled_whitening)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_impact_topk": OP2_SQL, "op6_poisson_mix": mixing.oracle(), "op8_bbit_minhash": OP8_SQL}
+    return {"op2_impact_topk": OP2_SQL, "op6_poisson_mix": mixing.oracle(), "op8_bbit_minhash": OP8_SQL, "op11_partial_distance": partial_distance.oracle()}
