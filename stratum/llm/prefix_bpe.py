@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from stratum.llm import vocab
@@ -27,12 +28,13 @@ NEVER = 1 << 60
 class Params:
     """bpe: a file of the tokenizers library with byte-level BPE and word ends. nodes, pieces: of the trie and of the
     table of strings between blanks; when a batch finds it larger, a worker starts anew with the trie, and keeps of the
-    strings those that it meets again. longest: bytes of a
-    word or string that is kept; a longer one is encoded on its own, in the same way."""
+    strings those that it meets again. slice: characters of texts that are
+    encoded at once, or one text. longest: bytes of a word or string that is kept; a longer one is encoded on its own, in the same way."""
 
     bpe: str = field(default_factory=lambda: vocab.default_path("word_bpe_49k.json"))
     nodes: int = 400_000
-    pieces: int = 200_000
+    pieces: int = 400_000
+    slice: int = 2_000_000
     longest: int = 256
 
 
@@ -159,17 +161,17 @@ class Trie:
         #: Whether two tokens stay side by side, for those met so far.
         self.pairs: dict[int, bool] = {}
 
-    def last(self, word: bytes, end: int, before: Callable[[int], int], ids: dict[bytes, int], by_tail: dict[bytes, tuple[int, ...]]) -> int:
+    def last(self, word: bytes, end: int, path: list[int] | None, ids: dict[bytes, int], by_tail: dict[bytes, tuple[int, ...]]) -> int:
         """The last token of the first ``end`` bytes: of all tokens that end there, the one that stays beside the last token of what
-        is before it, ``before`` of its start. There is exactly one."""
-        tail = word[max(0, end - 3) : end]
+        is before it, which the trie has, or ``path`` of a word that isn't kept. There is exactly one."""
+        tail = word[end - 3 : end] if end > 3 else word[:end]
         for size in by_tail.get(tail) or by_tail.get(tail[-2:]) or (1,):
             start = end - size
             if start < 0 or (i := ids.get(word[start:end])) is None:
                 continue
             if not start:
                 return i
-            pair = before(start) << 24 | i
+            pair = (path[start] if path else self.state[word[:start]]) << 24 | i
             if (fits := self.pairs.get(pair)) is None:
                 fits = self.pairs[pair] = self.merges.stays(pair >> 24, i)
             if fits:
@@ -180,31 +182,29 @@ class Trie:
         """The ids of each word, as 32-bit numbers. Words come in order, so the trie is gone through depth-first; a node that is there
         already has its state, and only those below the deepest one get theirs."""
         m, state = self.merges, self.state
+        lengths = m.lengths
         for name in sorted(words):
             word = name.encode("utf-8", "surrogateescape")
-            inner = len(word) - 1
+            inner, path = len(word) - 1, None
             if inner < longest:
                 at = inner
                 while at and word[:at] not in state:
                     at -= 1
-                before = lambda n, word=word: state[word[:n]]
                 while at < inner:
                     at += 1
-                    state[word[:at]] = self.last(word, at, before, m.inside, m.inside_sizes)
+                    state[word[:at]] = self.last(word, at, None, m.inside, m.inside_sizes)
             else:
                 path = [-1]
-                before = path.__getitem__
                 while len(path) <= inner:
-                    path.append(self.last(word, len(path), before, m.inside, m.inside_sizes))
-            i = self.last(word, inner + 1, before, m.at_end, m.end_sizes)
-            out = array("i", [i])
-            at = inner + 1 - m.lengths[i]
+                    path.append(self.last(word, len(path), path, m.inside, m.inside_sizes))
+            i = self.last(word, inner + 1, path, m.at_end, m.end_sizes)
+            out = [i]
+            at = inner + 1 - lengths[i]
             while at:
-                i = before(at)
+                i = path[at] if path else state[word[:at]]
                 out.append(i)
-                at -= m.lengths[i]
-            out.reverse()
-            yield name, out.tobytes()
+                at -= lengths[i]
+            yield name, array("i", out[::-1]).tobytes()
 
 
 class Encoder:
@@ -217,6 +217,19 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
 
     def batch(self, batch: list[str]) -> pa.ListArray:
+        """The ids of texts, some at a time, so that only their own strings are held at once."""
+        encoded, some, size = [], [], 0
+        for text in batch:
+            some.append(text)
+            size += len(text)
+            if size >= self.p.slice:
+                encoded += self.some(some)
+                some, size = [], 0
+        encoded += self.some(some)
+        places = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32), pa.int32()))
+
+    def some(self, batch: list[str]) -> list[bytes]:
         p, m = self.p, self.merges
         if len(self.trie.state) > p.nodes or len(self.trie.pairs) > p.nodes:
             self.trie = Trie(m)
@@ -235,8 +248,7 @@ class Encoder:
         for x in split:
             if len(x) > p.longest:
                 del known[x]
-        places = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32), pa.int32()))
+        return encoded
 
 
 @functools.lru_cache(maxsize=2)
@@ -244,10 +256,16 @@ def encoder(p: Params) -> Encoder:
     return Encoder(p)
 
 
-def decoded(ids: list[int], names: list[str]) -> str:
+def decoded(ids: pa.ListArray, of: pa.Array) -> pa.Array:
     """What the library's decode gives for a vocabulary without a decoder: the names of the tokens with a blank between.
-    Ids that the vocabulary hasn't got are left out."""
-    return " ".join([names[i] for i in ids if 0 <= i < len(names) and names[i]])
+    Ids that the vocabulary hasn't got are left out; null ids give a null text."""
+    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+    places = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+    known = (flat >= 0) & (flat < len(of))
+    known &= np.asarray(pc.not_equal(of, ""))[np.where(known, flat, 0)]
+    left = np.concatenate([[0], np.cumsum(known)])[places].astype(np.int32)
+    names = pa.ListArray.from_arrays(pa.array(left, pa.int32()), of.take(pa.array(flat[known])))
+    return pc.if_else(pc.is_valid(ids), pc.binary_join(names, " "), None)
 
 
 def encode(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -278,8 +296,8 @@ def decode(tokens: DataFrame, params: Params | None = None) -> DataFrame:
     small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = names(p.bpe)
+        of = pa.array(names(p.bpe), pa.string())
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if x is None else decoded(x, of) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), decoded(b.column(1), of)], ["doc_id", "ids", "text"])
 
     return pick(tokens, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, ids array<int>, text string")

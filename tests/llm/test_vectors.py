@@ -8,6 +8,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import DATA
 from tokenizers import Tokenizer
@@ -29,13 +30,13 @@ def test_ids_are_those_of_the_library_for_odd_and_long_texts():
     texts += ["a" * n for n in range(1, 70)] + ["ab" * 20_000, "ing" * 333, "é" * 999, "中" * 5000, "", " \n\t", "x<|endoftext|>Y<|startoftext|><|endoftext|> <|END", "don't 'S 'LL can'T"]
     tokenizer = library()
     expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for p in (prefix_bpe.Params(), prefix_bpe.Params(nodes=50, pieces=20, longest=4)):
+    for p in (prefix_bpe.Params(), prefix_bpe.Params(nodes=50, pieces=20, slice=900, longest=4)):
         e = prefix_bpe.Encoder(p)
         got = [x for at in range(0, len(texts), 700) for x in e.batch(texts[at : at + 700]).to_pylist()]
         assert got == expected
         assert len(e.known) < p.pieces + 20_000
-    names = prefix_bpe.names(prefix_bpe.Params().bpe)
-    assert [prefix_bpe.decoded(x, names) for x in expected] == [tokenizer.decode(x, skip_special_tokens=False) for x in expected]
+    names = pa.array(prefix_bpe.names(prefix_bpe.Params().bpe), pa.string())
+    assert prefix_bpe.decoded(pa.array(expected, pa.list_(pa.int32())), names).to_pylist() == [tokenizer.decode(x, skip_special_tokens=False) for x in expected]
 
 
 def test_shared_prefixes_are_encoded_once():
@@ -89,8 +90,8 @@ def test_encoding_of_whole_documents(spark):
     back = prefix_bpe.decode(prefix_bpe.encode(odd)).collect()
     assert sorted((r.doc_id or 0, len(r.ids), r.text[:9]) for r in back) == sorted([(1, 0, ""), (1, 0, ""), (0, 100_000, "ab</w> ab"), (2, 1, "same</w>"), (2, 1, "same</w>")])
     assert not prefix_bpe.encode(odd.where("false")).collect()
-    lost = spark.createDataFrame([(1, None), (2, [320, 10**6, -1])], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.text for r in prefix_bpe.decode(lost).collect()} == {1: None, 2: "a</w>"}
+    lost = spark.createDataFrame([(1, None), (2, [320, 10**6, -1]), (3, [None, 320]), (4, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in prefix_bpe.decode(lost).collect()} == {1: None, 2: "a</w>", 3: "a</w>", 4: ""}
 
 
 def plain_clusters(rows, p):
