@@ -33,7 +33,7 @@ class Params:
 
     bpe: str = field(default_factory=lambda: vocab.default_path("word_bpe_49k.json"))
     nodes: int = 400_000
-    pieces: int = 400_000
+    pieces: int = 250_000
     slice: int = 2_000_000
     longest: int = 256
 
@@ -268,8 +268,9 @@ def decoded(ids: pa.ListArray, of: pa.Array) -> pa.Array:
     return pc.if_else(pc.is_valid(ids), pc.binary_join(names, " "), None)
 
 
-def encode(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id and ids of every whole text, as the tokenizers library encodes it without adding special tokens.
+def encode(docs: DataFrame, params: Params | None = None, back: bool = False) -> DataFrame:
+    """doc_id and ids of every whole text, as the tokenizers library encodes it without adding special tokens; with ``back`` also
+    text, decoded from the ids at once.
 
     A task gathers the distinct words of a batch into a trie, which it keeps for the next batches, and goes through it
     depth-first: each node gets the last token of its prefix from the nodes above it, once for all words that share the prefix.
@@ -283,11 +284,12 @@ def encode(docs: DataFrame, params: Params | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(p)
+        e, of = encoder(p), pa.array(names(p.bpe), pa.string())
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), e.batch(b.column(1).to_pylist())], ["doc_id", "ids"])
+            ids = e.batch(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, *([decoded(ids, of)] if back else [])], ["doc_id", "ids", *(["text"] if back else [])])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * back)
 
 
 def decode(tokens: DataFrame, params: Params | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = prefix_bpe.decode(prefix_bpe.encode(table(spark, sf_dir, "documents")))
+    tokens = prefix_bpe.encode(table(spark, sf_dir, "documents"), back=True)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
