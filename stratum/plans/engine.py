@@ -66,60 +66,64 @@ class Engine:
 
     # Indexing
 
-    def _outdated(self, name: str) -> None:
-        """A table that changes is searched whole until its lists are built anew."""
-        if self.store.load_state().get(f"listed_{name}"):
-            self.store.save_state(**{f"listed_{name}": 0})
-
     def index_repository(self, repo: str) -> int:
-        """Commits into the store: all of them, or only those since the last run while its commit still exists."""
-        last = self.store.load_state().get("last_hash", "")
-        if last and not git.known(repo, last):
-            self.store.clear()
-            last = ""
-        new = bool(last) and self.store.exists("commits")
-        log = git.read_log(self.spark, repo, since=last if new else "", limit=self.config.commit_depth)
-        rows = git.commit_rows(log)
-        body = text.commit_text(F.col("hash"), F.col("author"), F.col("date").cast("string"), F.col("message"), F.col("file_path"), F.col("files_changed"), F.col("condensed_diff"))
-        vectors = embed.embedded(rows.withColumn("text", body), make=self.embedder).drop("text")
-        self._outdated("commits")
-        (self.store.append if new else self.store.create)("commits", vectors)
-        head = git.git(repo, "rev-parse", "HEAD").strip()
-        self.store.save_state(last_hash=head)
+        """Commits into the store: all of them, or only those since the last run while its commit still exists.
+
+        The commits and the hash up to which they are there become one version of the store, so a run that is cut off anywhere
+        leaves nothing, and the next one finds what it has to do from what is there.
+        """
+        with self.store.change() as change:
+            last = change.state.get("last_hash", "")
+            if last and not git.known(repo, last):  # history was rewritten
+                change.contents.update(tables={}, state={}, indexes={})
+                last = ""
+            new = bool(last) and "commits" in change.contents["tables"]
+            head = git.git(repo, "rev-parse", "HEAD").strip()
+            if not new or last != head:
+                log = git.read_log(self.spark, repo, since=last if new else "", until=head if new else "", limit=self.config.commit_depth)
+                (change.append if new else change.create)("commits", self.commit_vectors(log))
+                change.state["last_hash"] = head
         return self.store.read("commits").select("hash").distinct().count()
 
+    def commit_vectors(self, log: DataFrame) -> DataFrame:
+        """Rows of the table of commits of a log."""
+        body = text.commit_text(F.col("hash"), F.col("author"), F.col("date").cast("string"), F.col("message"), F.col("file_path"), F.col("files_changed"), F.col("condensed_diff"))
+        return embed.embedded(git.commit_rows(log).withColumn("text", body), make=self.embedder).drop("text")
+
     def index_code(self, repo: str, large: bool | None = None) -> dict[str, int]:
-        """Chunks of new and changed files replace the old ones; deleted files go; edges are made anew."""
+        """Chunks of new and changed files replace the old ones; deleted files go; edges are made anew. All of it is one version."""
         large = git.scale(git.count_commits(repo)) == "large" if large is None else large
         files = git.read_files(self.spark, repo).persist()
         try:
-            hashed = files.select("file_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-            change = changes(hashed, self.store.load_hashes()).persist()
-            counts = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
-            found = symbols.symbols(files)
-            chunks = chunk.windows(files.join(change.where("change <> 'deleted'").select("file_path"), "file_path", "left_semi"), summaries=large).drop("content_hash")
-            tagged = chunk.tagged(chunks, found)
-            body = text.code_text(*(F.col(c) for c in ("file_path", "language", "start_line", "end_line", "content", "functions", "classes", "imports", "exports", "is_summary")))
-            if not self.store.exists("code_files"):
-                self.store.create("code_files", self.store.read("code_files"))
-            if counts:
-                self.store.replace_files(change.select("file_path"), embed.embedded(tagged.withColumn("text", body), make=self.embedder).drop("text"))
-            co = graph.co_change_edges(graph.co_change(self.store.read("commits"), F.current_timestamp()))
-            self.store.set_edges(graph.call_edges(found).unionByName(co, allowMissingColumns=True))
-            self.store.save_hashes(hashed)
+            with self.store.change() as into:
+                hashed = files.select("file_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+                change = changes(hashed, into.read("file_hashes")).persist()
+                counts = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
+                found = symbols.symbols(files)
+                chunks = chunk.windows(files.join(change.where("change <> 'deleted'").select("file_path"), "file_path", "left_semi"), summaries=large).drop("content_hash")
+                tagged = chunk.tagged(chunks, found)
+                body = text.code_text(*(F.col(c) for c in ("file_path", "language", "start_line", "end_line", "content", "functions", "classes", "imports", "exports", "is_summary")))
+                if "code_files" not in into.contents["tables"]:
+                    into.create("code_files", into.read("code_files"))
+                if counts:
+                    into.replace_files(change.select("file_path"), embed.embedded(tagged.withColumn("text", body), make=self.embedder).drop("text"))
+                co = graph.co_change_edges(graph.co_change(into.read("commits"), F.current_timestamp()))
+                edges = graph.call_edges(found).unionByName(co, allowMissingColumns=True)
+                if not edges.isEmpty():
+                    into.create("call_graph", edges)
+                into.create("file_hashes", hashed)
             return counts
         finally:
             files.unpersist()
 
     def index_pulls(self, pages: str) -> int:
-        raw = pulls.read_pages(self.spark, pages, self.store.load_state().get("last_fetched"))
-        stored = pulls.normalised(raw)
-        vectors = embed.embedded(stored.withColumn("text", pulls.embedding_text(stored)), make=self.embedder).drop("text")
-        self._outdated("pr_data")
-        self.store.upsert_pulls(vectors)
-        latest = raw.agg(F.max("updated_at")).first()[0]
-        if latest:
-            self.store.save_state(last_fetched=str(latest))
+        with self.store.change() as change:
+            raw = pulls.read_pages(self.spark, pages, change.state.get("last_fetched"))
+            normal = pulls.normalised(raw)
+            change.upsert_pulls(embed.embedded(normal.withColumn("text", pulls.embedding_text(normal)), make=self.embedder).drop("text"))
+            latest = raw.agg(F.max("updated_at")).first()[0]
+            if latest:
+                change.state["last_fetched"] = str(latest)
         return self.store.read("pr_data").count()
 
     def index_vectors(self) -> list[str]:

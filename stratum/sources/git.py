@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from stratum.functions import paths
 from stratum.operators import diff
@@ -25,7 +25,7 @@ def git(repo: str, *args: str) -> str:
 
 
 class GitLog(DataSource):
-    """hash, author, date, message, diff. Options: path, since (a hash), limit (0: all), page. A page is a partition,
+    """hash, author, date, message, diff. Options: path, since and until (hashes), limit (0: all), page. A page is a partition,
     so executors read pages in parallel; each needs the repository at the same path."""
 
     @classmethod
@@ -38,32 +38,78 @@ class GitLog(DataSource):
     def reader(self, schema) -> "LogReader":
         return LogReader(self.options)
 
+    def streamReader(self, schema) -> "LogStream":
+        return LogStream(self.options)
+
+
+def pages(hashes: list[str], page: int) -> list[InputPartition]:
+    return [InputPartition(hashes[i : i + page]) for i in range(0, len(hashes), page)]
+
+
+def commits_of(repo: str, hashes: list[str]) -> Iterator[tuple]:
+    """hash, author, date, message and diff of each commit."""
+    command = ["git", "-C", repo, "log", "--no-walk=unsorted", "--stdin", "--patch", "--no-color", f"--format={RECORD}{FORMAT}{FIELD}"]
+    out = subprocess.run(command, input="\n".join(hashes), capture_output=True, text=True, errors="replace", check=True).stdout
+    for record in out.split(RECORD)[1:]:
+        hash_, author, date, message, body = record.split(FIELD, 4)
+        yield hash_, author, date, message, body.lstrip("\n")
+
+
+class LogStream(DataSourceStreamReader):
+    """The commits that land, in order. An offset is the hash of a head: a batch is what its end has and its start hasn't, so it is the
+    same however often it is asked for.
+    Options: path, since, page. A page is a partition, so a long history is as many tasks."""
 
-class LogReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.repo, self.since = options["path"], options.get("since", "")
+        self.page = int(options.get("page", PAGE))
+
+    def initialOffset(self) -> dict:
+        return {"hash": self.since}
+
+    def latestOffset(self) -> dict:
+        return {"hash": git(self.repo, "rev-parse", "HEAD").strip()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        since, until = start["hash"], end["hash"]
+        if since and not known(self.repo, since):
+            raise ValueError(f"commit {since} is gone: history was rewritten, so the stream has to begin anew")
+        return pages(git(self.repo, "rev-list", "--reverse", f"{since}..{until}" if since else until).split(), self.page)
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return commits_of(self.repo, partition.value)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is to be let go of: git keeps all commits."""
+
+
+class LogReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.repo, self.since, self.until = options["path"], options.get("since", ""), options.get("until", "")
         self.limit, self.page = int(options.get("limit", 0)), int(options.get("page", PAGE))
 
     def revisions(self) -> list[str]:
-        return [f"{self.since}..HEAD"] if self.since else ["--all"]
+        return [f"{self.since}..{self.until or 'HEAD'}"] if self.since else [self.until or "--all"]
 
     def partitions(self) -> list[InputPartition]:
         """The commits' hashes are listed once, so pages stay as they are while commits land, and git goes to each at once."""
         most = [f"--max-count={self.limit}"] if self.limit else []
         hashes = git(self.repo, "rev-list", *most, *self.revisions()).split()
-        return [InputPartition(hashes[i : i + self.page]) for i in range(0, len(hashes), self.page)]
+        return pages(hashes, self.page)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        command = ["git", "-C", self.repo, "log", "--no-walk=unsorted", "--stdin", "--patch", "--no-color", f"--format={RECORD}{FORMAT}{FIELD}"]
-        out = subprocess.run(command, input="\n".join(partition.value), capture_output=True, text=True, errors="replace", check=True).stdout
-        for record in out.split(RECORD)[1:]:
-            hash_, author, date, message, body = record.split(FIELD, 4)
-            yield hash_, author, date, message, body.lstrip("\n")
+        return commits_of(self.repo, partition.value)
+
+
+def follow_log(spark: SparkSession, repo: str, since: str = "", page: int = PAGE) -> DataFrame:
+    """The log as a stream of the commits after ``since``."""
+    spark.dataSource.register(GitLog)
+    return spark.readStream.format("git_log").option("path", str(Path(repo).resolve())).option("since", since).option("page", page).load().withColumn("date", F.to_timestamp("date"))
 
 
-def read_log(spark: SparkSession, repo: str, since: str = "", limit: int = 0, page: int = PAGE) -> DataFrame:
+def read_log(spark: SparkSession, repo: str, since: str = "", limit: int = 0, page: int = PAGE, until: str = "") -> DataFrame:
     spark.dataSource.register(GitLog)
-    log = spark.read.format("git_log").option("path", repo).option("since", since).option("limit", limit).option("page", page).load()
+    log = spark.read.format("git_log").option("path", repo).option("since", since).option("until", until).option("limit", limit).option("page", page).load()
     return log.withColumn("date", F.to_timestamp("date"))
 
 

@@ -1,134 +1,241 @@
-"""The store: Parquet tables of commits, chunks, pull requests and edges, with their maintenance.
+"""The store: versions of Parquet tables of commits, chunks, pull requests and edges, with their maintenance.
 
-Tables of files are bucketed by a hash of the path as a partition column, so an upsert rewrites only the
-partitions that its files fall into.
+Data folders are written once and never changed. A change writes new ones beside those in use, and then makes a version that
+names the folders of every table, so readers keep what they have opened, and data and state change together or not at all.
+Tables of files are bucketed by a hash of the path, so an upsert rewrites only the buckets that its files fall into.
 """
 
 from __future__ import annotations
 
-import json
+import time
+import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum import schemas
+from stratum.sources.versions import Conflict, Versions
 
-TABLES = {"commits": schemas.COMMITS, "code_files": schemas.CHUNKS, "pr_data": schemas.PULLS, "call_graph": schemas.EDGES}
+__all__ = ["Change", "Conflict", "Store", "changes"]
+
+HASHES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType())])
+TABLES = {"commits": schemas.COMMITS, "code_files": schemas.CHUNKS, "pr_data": schemas.PULLS, "call_graph": schemas.EDGES, "file_hashes": HASHES}
+#: Tables whose rows are dealt into buckets by file.
+BUCKETED = {"code_files"}
 
 
 class Store:
-    """Tables under a root folder of any file system that Spark reaches. Missing tables read as empty ones."""
+    """Tables under a root folder of any file system that Spark reaches and that renames folders atomically. Missing tables read as empty ones.
+
+    A store that is opened changes nothing, whoever else is at work on it. ``version`` pins it to an earlier state.
+    ``buckets`` is what a table of files starts with; it is doubled as often as need be for buckets of at most
+    ``bucket_bytes`` on average.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        self.finish()
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, version: int | None = None, bucket_bytes: int = 128 << 20) -> None:
+        self.spark, self.root, self.buckets, self.bucket_bytes = spark, root.rstrip("/"), buckets, bucket_bytes
+        self.versions, self.pinned = Versions(spark, root), version
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def version(self) -> int:
+        return self.versions.latest() if self.pinned is None else self.pinned
 
-    def _fs(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
-        return at.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+    def contents(self) -> dict:
+        return self.versions.contents(self.version())
 
     def exists(self, name: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(self.path(name)))
+        return name in self.contents()["tables"]
+
+    def parts(self, name: str) -> list[str]:
+        """The folders, below the root, that a table consists of."""
+        return folders(self.contents(), name)
 
     def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
+        """The table as it is now. The result stays as it is, whatever is written later, until ``vacuum`` takes its version away."""
+        return self.rows(name, self.parts(name))
+
+    def rows(self, name: str, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        schema = TABLES[name]
-        if name == "code_files":
-            return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path(name)).drop("bucket")
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in parts))
+
+    def change(self) -> Change:
+        """A context in which tables and state are changed together: they become a version on leaving, and leave no trace upon failure.
+        Raises Conflict there if another writer has made one in between."""
+        return Change(self)
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.hash("file_path"), F.lit(self.buckets)))
+    # Changes of one step
 
     def create(self, name: str, df: DataFrame) -> None:
         """Replaces the table."""
-        if name == "code_files":
-            self._bucketed(df).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self.path(name))
-        else:
-            df.write.mode("overwrite").parquet(self.path(name))
+        with self.change() as c:
+            c.create(name, df)
 
     def append(self, name: str, df: DataFrame) -> None:
-        (self._bucketed(df).write.mode("append").partitionBy("bucket") if name == "code_files" else df.write.mode("append")).parquet(self.path(name))
+        with self.change() as c:
+            c.append(name, df)
 
     def replace_files(self, paths: DataFrame, chunks: DataFrame | None = None) -> None:
         """Deletes the chunks of the files in ``paths`` (file_path) and adds the given ones, in the touched buckets only."""
-        self.finish()
-        old = self.read("code_files")
-        touched = paths.select(F.pmod(F.hash("file_path"), F.lit(self.buckets)).alias("bucket")).distinct()
-        ids = sorted(r[0] for r in touched.collect())  # ``buckets`` numbers at most
-        if not ids:
-            return
-        here = self._bucketed(old).where(F.col("bucket").isin(ids)).join(paths.select("file_path").distinct(), "file_path", "left_anti")
-        new = here if chunks is None else here.unionByName(self._bucketed(chunks.select(*old.columns)))
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/.chunks")
-        self.spark.createDataFrame([(i,) for i in ids], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/.touched")
-        self.finish()
+        with self.change() as c:
+            c.replace_files(paths, chunks)
 
     def upsert_pulls(self, new: DataFrame) -> None:
         """Adds pull requests; of several versions of one the new one stays."""
-        self.finish()
-        latest_pulls(self.read("pr_data"), new).write.mode("overwrite").parquet(f"{self.root}/.pulls")
-        self.finish()
-
-    def finish(self) -> None:
-        """Puts what is staged in place, as often as need be: a change counts once it is staged as a whole, so one that
-        was cut off after that is finished when the store is opened again, and one cut off before that leaves no trace."""
-        fs, path = self._fs()
-        staged = lambda name: fs.exists(path(f"{self.root}/{name}/_SUCCESS"))
-        if staged(".touched"):
-            touched = {r.bucket for r in self.spark.read.schema("bucket int").parquet(f"{self.root}/.touched").collect()}
-            ready = self.spark.read.schema(T.StructType([*schemas.CHUNKS.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/.chunks")
-            left = {r.bucket for r in ready.select("bucket").distinct().collect()}
-            ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path("code_files"))
-            for gone in touched - left:
-                fs.delete(path(f"{self.path('code_files')}/bucket={gone}"), True)
-        if staged(".pulls"):
-            self.create("pr_data", self.spark.read.schema(schemas.PULLS).parquet(f"{self.root}/.pulls"))
-        for name in (".touched", ".chunks", ".pulls"):
-            fs.delete(path(f"{self.root}/{name}"), True)
+        with self.change() as c:
+            c.upsert_pulls(new)
 
     def set_edges(self, edges: DataFrame) -> None:
         """Replaces the edges, unless there are none."""
         if not edges.isEmpty():
             self.create("call_graph", edges)
 
-    def clear(self) -> None:
-        fs, path = self._fs()
-        for name in (*TABLES, "state", "file_hashes", ".touched", ".chunks", ".pulls"):
-            fs.delete(path(self.path(name)), True)
+    def save_hashes(self, hashes: DataFrame) -> None:
+        """file_path, content_hash of the files as they were indexed; a table, however many files there are."""
+        self.create("file_hashes", hashes)
+
+    def load_hashes(self) -> DataFrame:
+        return self.read("file_hashes")
 
     def save_state(self, **values: object) -> None:
-        known = self.load_state() | values
-        self.spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(known.items())], "key string, value string").coalesce(1).write.mode("overwrite").parquet(self.path("state"))
+        with self.change() as c:
+            c.state.update(values)
 
     def load_state(self) -> dict:
-        """Small facts about the last run; nothing if they are missing or can't be read."""
-        if not self.exists("state"):
-            return {}
-        try:
-            return {r.key: json.loads(r.value) for r in self.spark.read.parquet(self.path("state")).collect()}
-        except (ValueError, TypeError):
-            return {}
+        """Small facts about the last run, of the same version as the tables."""
+        return self.contents()["state"]
 
-    def save_hashes(self, hashes: DataFrame) -> None:
-        """file_path, content_hash of the files as they were indexed; a table, however many files there are."""
-        hashes.select("file_path", "content_hash").write.mode("overwrite").parquet(self.path("file_hashes"))
-
-    def load_hashes(self) -> DataFrame:
-        schema = "file_path string, content_hash string"
-        return self.spark.read.schema(schema).parquet(self.path("file_hashes")) if self.exists("file_hashes") else self.spark.createDataFrame([], schema)
+    def clear(self) -> None:
+        """An empty version; everything else goes from the disk at once."""
+        with self.change() as c:
+            c.contents.update(tables={}, state={}, indexes={})
+            c.changed = True
+        self.vacuum(keep=1, grace=0)
+
+    def vacuum(self, keep: int = 3, grace: int = 86_400) -> None:
+        """Takes away all but the last ``keep`` versions, and folders that none of these names. A folder younger than ``grace`` seconds
+        may be one that a writer is about to name, and stays."""
+        v = self.versions
+        kept = v.all()[-keep:]
+        named = {p for i in kept for p in every_folder(v.contents(i))}
+        before = time.time() - grace
+        for number in v.all():
+            if number < kept[0]:
+                v.delete(f"versions/{number}")
+        for name, at in v.names("versions"):
+            if not name.isdigit() and at <= before:
+                v.delete(f"versions/{name}")
+        for name, at in v.names("data"):
+            whole = f"data/{name}"
+            if whole in named or at > before:
+                continue
+            inner = [f"{whole}/{x}" for x, _ in v.names(whole) if x.startswith("bucket=")]
+            if not any(x in named for x in inner):
+                v.delete(whole)
+                continue
+            for x in inner:
+                if x not in named:
+                    v.delete(x)
 
     def status(self) -> DataFrame:
         return status(self.read("commits"), self.read("code_files"), self.read("pr_data"))
 
 
+def folders(contents: dict, name: str) -> list[str]:
+    of = contents["tables"].get(name, {"parts": []})["parts"]
+    return list(of) if isinstance(of, list) else [p for bucket in sorted(of, key=int) for p in of[bucket]]
+
+
+def every_folder(contents: dict) -> list[str]:
+    out = [p for name in contents["tables"] for p in folders(contents, name)]
+    for index in contents["indexes"].values():
+        out += [index["centres"], *index["folders"]]
+    return out
+
+
+class Change:
+    """Tables and state on the way from one version to the next."""
+
+    def __init__(self, store: Store) -> None:
+        self.store, self.base = store, store.versions.latest()
+        self.contents = store.versions.contents(self.base)
+        self.changed = False
+
+    def __enter__(self) -> Change:
+        self.before = dict(self.state)
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        if kind is None and (self.changed or self.state != self.before):
+            self.version = self.store.versions.commit(self.base, self.contents)
+
+    @property
+    def state(self) -> dict:
+        return self.contents["state"]
+
+    def read(self, name: str) -> DataFrame:
+        """The table as this change has it so far."""
+        return self.store.rows(name, folders(self.contents, name))
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> str:
+        """A new data folder, which no version names yet."""
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.store.root}/{folder}")
+        self.changed = True
+        return folder
+
+    def _bucketed(self, df: DataFrame, buckets: int) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.hash("file_path"), F.lit(buckets)))
+
+    def _deal(self, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
+        """Rows written by bucket: the folder of each."""
+        folder = self.write(self._bucketed(df, buckets), name, "bucket")
+        inner = [x for x, _ in self.store.versions.names(folder) if x.startswith("bucket=")]
+        return {x.removeprefix("bucket="): [f"{folder}/{x}"] for x in inner}
+
+    def create(self, name: str, df: DataFrame) -> None:
+        df = df.select(*TABLES[name].fieldNames())
+        if name in BUCKETED:
+            self.contents["tables"][name] = {"buckets": self.store.buckets, "parts": self._deal(name, df, self.store.buckets)}
+        else:
+            self.contents["tables"][name] = {"parts": [self.write(df, name)]}
+
+    def append(self, name: str, df: DataFrame) -> None:
+        if name not in self.contents["tables"]:
+            return self.create(name, df)
+        table = self.contents["tables"][name]
+        df = df.select(*TABLES[name].fieldNames())
+        if name in BUCKETED:
+            for bucket, parts in self._deal(name, df, table["buckets"]).items():
+                table["parts"][bucket] = table["parts"].get(bucket, []) + parts
+        else:
+            table["parts"].append(self.write(df, name))
+
+    def replace_files(self, paths: DataFrame, chunks: DataFrame | None = None) -> None:
+        name = "code_files"
+        table = self.contents["tables"].setdefault(name, {"buckets": self.store.buckets, "parts": {}})
+        n = table["buckets"]
+        while n * self.store.bucket_bytes < sum(map(self.store.versions.size, folders(self.contents, name))):
+            n *= 2
+        if n > table["buckets"]:  # so seldom that what is rewritten in all stays in proportion to the table
+            touched = {*table["parts"], *map(str, range(n))}
+        else:
+            touched = {str(r[0]) for r in paths.select(F.pmod(F.hash("file_path"), F.lit(n))).distinct().collect()}  # ``buckets`` numbers at most
+        if not touched:
+            return
+        old = self.store.rows(name, [p for bucket in table["parts"] if bucket in touched for p in table["parts"][bucket]])
+        new = old.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*TABLES[name].fieldNames())
+        if chunks is not None:
+            new = new.unionByName(chunks.select(*TABLES[name].fieldNames()))
+        parts = {b: p for b, p in table["parts"].items() if b not in touched}
+        self.contents["tables"][name] = {"buckets": n, "parts": parts | self._deal(name, new, n)}
+
+    def upsert_pulls(self, new: DataFrame) -> None:
+        self.create("pr_data", latest_pulls(self.read("pr_data"), new))
+
+
 def latest_pulls(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("pr_number").distinct(), "pr_number", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 

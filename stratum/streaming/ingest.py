@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratum.operators import chunk, embed
+from stratum.operators import chunk, embed, symbols
+from stratum.sources import git
 from stratum.sources.store import Store
 
 FILES = "file_path string, content string, version long"
@@ -18,15 +21,14 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 def upsert(store: Store, make_embedder=embed.HashedWords):
-    """A function for foreachBatch that replaces the chunks of the files of a batch. Repeating a batch changes nothing."""
+    """A function for foreachBatch that replaces the chunks of the files of a batch, with the symbols they hold. Repeating a batch
+    changes nothing."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         files = latest(batch).persist()
         try:
-            none = F.array().cast("array<string>")
-            chunks = chunk.windows(files.where("content is not null")).drop("content_hash").withColumns(dict.fromkeys(("functions", "classes", "imports", "exports"), none))
-            if not store.exists("code_files"):
-                store.create("code_files", store.read("code_files"))
+            there = files.where("content is not null")
+            chunks = chunk.tagged(chunk.windows(there).drop("content_hash"), symbols.symbols(there))
             store.replace_files(files.select("file_path"), embed.embedded(chunks, "content", make=make_embedder))
         finally:
             files.unpersist()
@@ -34,6 +36,33 @@ def upsert(store: Store, make_embedder=embed.HashedWords):
     return run
 
 
+def once(store: Store, table: str, rows: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that appends each batch to a table exactly once.
+
+    The number of the batch goes into the same version of the store as its rows. A batch that comes again, as the stream was cut
+    off after that version and before its own checkpoint, is found there and left out; one that was cut off before left
+    no version. Numbers are kept by the id that a stream has from its checkpoint, so a stream that begins anew counts anew.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        with store.change() as change:
+            done = dict(change.state.get("batches", {}))
+            if done.get(f"{table}:{stream}", -1) >= epoch:
+                return
+            change.append(table, rows(batch))
+            change.state["batches"] = done | {f"{table}:{stream}": epoch}
+
+    return run
+
+
+def follow_commits(spark: SparkSession, repo: str, store: Store, checkpoint: str, rows: Callable[[DataFrame], DataFrame], page: int = git.PAGE) -> StreamingQuery:
+    """Takes the commits that have landed since the last run, or all, into the store, and ends. ``rows`` makes rows of the table of commits
+    of a log."""
+    log = git.follow_log(spark, repo, page=page)
+    return log.writeStream.foreachBatch(once(store, "commits", rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def follow_files(spark: SparkSession, path: str, store: Store, checkpoint: str, per_trigger: int = 100) -> StreamingQuery:
     """Takes JSON lines of files (file_path, content, version) as they appear in a folder, and ends when none are left."""
     stream = spark.readStream.schema(FILES).option("maxFilesPerTrigger", per_trigger).json(path)
