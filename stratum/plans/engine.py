@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from stratum.config import Config
 from stratum.functions import intent, paths, text
 from stratum.operators import budget, chunk, diagram, embed, expand, graph, prompt, rerank, search, symbols
-from stratum.sources import git, pulls
+from stratum.sources import git, lists, pulls
 from stratum.sources.store import Store, changes
 
 SYSTEM = "You answer questions about a software project from the snippets of its code and history given to you, and say so if they don't hold the answer."
@@ -126,25 +127,28 @@ class Engine:
                 change.state["last_fetched"] = str(latest)
         return self.store.read("pr_data").count()
 
-    def index_vectors(self) -> list[str]:
-        """Builds lists of near vectors for the tables that are large enough; others, and those that have changed since, are searched whole."""
-        built = []
-        for name in ("commits", "code_files", "pr_data"):
-            rows = self.store.read(name)
-            if (n := rows.count()) >= search.INDEXED:
-                search.ListIndex.build(rows, f"{self.store.root}/lists/{name}")
-                self.store.save_state(**{f"listed_{name}": n})
-                built.append(name)
-        return built
+    def index_vectors(self, least: int = search.INDEXED) -> list[str]:
+        """Indexes the vectors of the tables that are large enough, or what has been added to them since."""
+        return [name for name in ("commits", "code_files", "pr_data") if self.store.read(name).count() >= least and lists.CodeIndex(self.store, name).update()]
 
     def nearest(self, name: str, vector: list[float], k: int, key: list[str]) -> DataFrame:
-        """The k nearest rows of a table, by a quarter of its lists where they are up to date."""
-        rows = self.store.read(name)
-        listed = self.store.load_state().get(f"listed_{name}")
-        if listed and listed == rows.count():
-            index = search.ListIndex(self.spark, f"{self.store.root}/lists/{name}")
-            return index.search(vector, k, key, max(1, len(index.centres) // 4))
-        return search.knn(rows, vector, k, key)
+        """The k nearest rows of a table, by its index where there is one."""
+        if name in self.store.contents()["indexes"]:
+            return lists.CodeIndex(self.store, name).search(vector, k, key)
+        return search.knn(self.store.read(name), vector, k, key)
+
+    def nearest_code(self, vector: list[float], k: int, folder: str | None) -> DataFrame:
+        """Chunks from a folder, which are few enough to be searched whole, and from everywhere, by the index where there is one."""
+        key = ["file_path", "start_line"]
+        code = self.store.read("code_files")
+        if not folder or "code_files" not in self.store.contents()["indexes"]:
+            return search.scoped_and_global(code, vector, k, folder, key) if folder else self.nearest("code_files", vector, k, key)
+        share = math.ceil(0.6 * k)
+        for prefix in (folder, folder.rstrip("/").rpartition("/")[0]):
+            inside = F.col("file_path").startswith(prefix)
+            if prefix and not code.where(inside).isEmpty():
+                return search.knn(code, vector, share, key, inside).unionByName(self.nearest("code_files", vector, k - share, key))
+        return self.nearest("code_files", vector, k, key)
 
     def status(self) -> DataFrame:
         return self.store.status()
@@ -162,7 +166,7 @@ class Engine:
         k = intent.budgets(self.config.top_k, weights["intent"], large, top_k)
         code = self.store.read("code_files")
         commits, prs = self.store.read("commits"), self.store.read("pr_data")
-        near = search.scoped_and_global(code, vector, k["code"], folder if large else None, ["file_path", "start_line"]).dropDuplicates(["file_path", "start_line"])
+        near = self.nearest_code(vector, k["code"], folder if large else None).dropDuplicates(["file_path", "start_line"])
         if weights["p_implementation"] > 0.4:
             tagged = search.knn(code, vector, k["code"], ["file_path", "start_line"], search.with_symbols(code)).withColumn("score", F.col("score") * rerank.BOOSTS["symbols"])
             near = rerank.not_yet(tagged, near, ["file_path", "start_line"])

@@ -13,6 +13,7 @@ from stratum.operators import chunk, graph, rerank, search, symbols
 from stratum.plans import engine, inputs
 from stratum.plans.file_queries import windows_sql
 from stratum.plans.inputs import CHUNKS_SQL, EDGES_SQL, FILES_SQL, Values, distance_sql
+from stratum.sources import lists
 from stratum.sources.store import Store, changes, co_changed_with, edges_from, edges_to
 from stratum.streaming import ingest
 
@@ -25,7 +26,7 @@ def new_store(spark: SparkSession) -> Store:
 
 def stored(df: DataFrame, schema) -> DataFrame:
     """Columns of a stored table, null where the rows lack one."""
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in schema.fields))
 
 
 def store_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,17 @@ def store_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("pr_data").select("pr_number", "title", "state")
 
 
+def ann_some_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by two fifths of the lists of an index, half of which was made before the other half was added."""
+    rows = inputs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("hash"), F.lit("").alias("file_path"), F.col("embedding").alias("vector"))
+    store = new_store(spark)
+    index = lists.CodeIndex(store, "commits")
+    for part in (0, 1):
+        store.append("commits", stored(rows.where(F.col("hash").cast("long") % 2 == part), schemas.COMMITS))
+        index.update()
+    return index.search(inputs.question(spark, sf_dir), K, ["hash", "file_path"]).select(F.col("hash").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def store_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and state of a filled store, and of the same one after it was cleared."""
     store = new_store(spark)
@@ -234,7 +246,7 @@ p as (select id, i, trim(substr(line, 6)) as path from l where starts_with(line,
 select id, place, path from r where place <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    store_upserts, store_edges, store_pulls, store_cleared, code_symbols, code_call_edges, knn_with_symbols, symbol_candidates, window_sizes, activity_windows, result_dates, neighbour_budgets, triage_paths,
+    store_upserts, store_edges, store_pulls, store_cleared, ann_some_lists, code_symbols, code_call_edges, knn_with_symbols, symbol_candidates, window_sizes, activity_windows, result_dates, neighbour_budgets, triage_paths,
 )}
 SQL = {
     "store_upserts": f"select file_path, start_line, end_line, content_md5 from ({windows_sql(8, 2)}) where file_path in (select file_path from {FILES_SQL} where doc_id % 11 <> 0)",

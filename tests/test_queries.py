@@ -18,8 +18,12 @@ def test_query_matches_sql(spark, name):
     assert same(QUERIES[name](spark, DATA), SQL[name]) > 0
 
 
+#: Answers that depend on trained centres; test_lists.py measures them against exact ones.
+TRAINED = {"ann_some_lists"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - TRAINED == set(SQL)
 
 
 def filled(rows, code_budget, commit_budget, commit_first, used=0):
