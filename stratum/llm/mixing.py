@@ -16,8 +16,8 @@ DIGITS = 13
 @dataclass(frozen=True)
 class Params:
     """weights: target share of each source, any positive scale; sources without one share ``other`` by their
-    rows. total: rows wanted for each row there is. most: mean repetition up to which counts are Poisson quantiles;
-    of a higher mean, what is over half of it is whole copies. seed: of all draws. broadcast_rows: sources
+    rows. total: rows wanted for each row there is. most: mean repetition of one Poisson quantile, as
+    a double can't hold the weights of much higher ones; a higher mean is drawn in parts, whose sum is Poisson too. seed: of all draws. broadcast_rows: sources
     that a broadcast may hold. salts: parts into which each source is dealt if there are more."""
 
     weights: dict[str, float] = field(default_factory=lambda: {"src0": 0.2, "src1": 0.1, "src2": 0.05})
@@ -46,9 +46,12 @@ def furthest(rate: Column) -> Column:
     return F.ceil(rate + 12.0 * F.sqrt(rate) + 30.0).cast("int")
 
 
-def whole(rate: Column, most: float) -> Column:
-    """Copies that every document gets before the draw."""
-    return F.when(rate > most, F.floor(rate - most / 2)).otherwise(F.lit(0)).cast("int")
+def drawn(key: Column, rate: Column, p: Params) -> Column:
+    """A Poisson count of any rate: the sum of independent ones of equal parts of it, none above ``most``, each of a hash of its own.
+    The first part's hash is of the key alone."""
+    parts = F.greatest(F.lit(1), F.ceil(rate / p.most)).cast("int")
+    own = lambda j: uniform(F.when(j == 1, key).otherwise(F.concat(j.cast("string"), F.lit(":"), key)), f"{p.seed}:n:")
+    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + poisson(own(j), rate / parts))
 
 
 def rates(docs: DataFrame, p: Params) -> tuple[DataFrame, int]:
@@ -68,8 +71,8 @@ def mix(docs: DataFrame, params: Params | None = None, columns: list[str] | None
     """The documents, each as often as drawn, in a global random order: all or the given columns, then, with ``marks``,
     rate, copy and place.
 
-    A document's count is the Poisson quantile, at its source's rate, of a number hashed from seed and doc_id;
-    so a rerun draws the same, and rows that repeat a doc_id are drawn alike. The one exchange of documents deals
+    A document's count is the Poisson quantile, at its source's rate, of a number hashed from seed and doc_id, or the sum of
+    several at equal parts of the rate; so a rerun draws the same, and rows that repeat a doc_id are drawn alike. The one exchange of documents deals
     them out by equal ranges of ``place``, a hash of doc_id and copy, and each part is sorted by it. A source is
     never a key of it: sources are counted with partial sums, and their rates are broadcast while there are at
     most ``broadcast_rows`` of them; beyond that each is dealt into ``salts`` parts and joined by both.
@@ -93,9 +96,7 @@ def mix(docs: DataFrame, params: Params | None = None, columns: list[str] | None
         dealt = docs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(p.salts)))
         spread = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long"))))
         rated = dealt.join(spread, same & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")
-    fixed = whole(F.col("_rate"), p.most)
-    count = fixed + poisson(uniform(key, f"{p.seed}:n:"), F.col("_rate") - fixed)
-    copies = rated.withColumn("_count", count).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    copies = rated.withColumn("_count", drawn(key, F.col("_rate"), p)).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     place = uniform(F.concat(key, F.lit(":"), F.col("_copy").cast("string")), f"{p.seed}:o:")
     n = parts(docs.sparkSession)
     out = copies.withColumn("_place", place).repartitionById(n, F.floor(F.col("_place") * n).cast("int")).sortWithinPartitions("_place", "doc_id", "_copy")
@@ -114,14 +115,15 @@ sizes as (select source, count(*) as n from documents group by source),
 weighed as (select sizes.*, weight from sizes left join weights on name = coalesce(source, '')),
 whole as (select sum(n) as rows_, sum(case when weight is null then n end) as rest, coalesce(sum(weight), 0) + case when bool_or(weight is null) then {p.other!r}::double else 0::double end as scale from weighed),
 rated as (select source, coalesce(weight, {p.other!r}::double * n::double / rest::double) / scale * rows_::double * {p.total!r}::double / n::double as rate from weighed, whole),
-rates as (select source, rate, case when rate > {p.most!r}::double then floor(rate - {p.most / 2!r}::double)::int else 0 end as fixed, rate - fixed as lam from rated),
+rates as (select source, rate, greatest(1, ceil(rate / {p.most!r}::double))::int as parts, rate / parts as lam from rated),
 steps(source, lam, k, p, c) as (
   select source, lam, 0, exp(-lam), exp(-lam) from rates
   union all select source, lam, k + 1, p * lam / (k + 1), c + p * lam / (k + 1) from steps where k < ceil(lam + 12.0::double * sqrt(lam) + 30.0::double)),
-drawn as (
-  select d.doc_id, d.lang, d.source, d.n_chars, md5(d.text) as text_md5, r.rate, r.fixed, r.lam, {number(f"'{p.seed}:n:' || coalesce(d.doc_id::varchar, '')")} as u
-  from documents d join rates r on d.source is not distinct from r.source),
-counted as (select drawn.*, fixed + (select count(*) from steps s where s.source is not distinct from drawn.source and s.c <= drawn.u and s.k < ceil(lam + 12.0::double * sqrt(lam) + 30.0::double)) as n from drawn),
+numbered as (select row_number() over () as row, d.doc_id, d.lang, d.source, d.n_chars, md5(d.text) as text_md5, r.rate, r.parts, r.lam from documents d join rates r on d.source is not distinct from r.source),
+drawn as (select *, unnest(range(1, parts + 1)) as j from numbered),
+hashed as (select *, {number(f"'{p.seed}:n:' || case when j = 1 then '' else j::varchar || ':' end || coalesce(doc_id::varchar, '')")} as u from drawn),
+part as (select row, (select count(*) from steps s where s.source is not distinct from hashed.source and s.c <= hashed.u and s.k < ceil(lam + 12.0::double * sqrt(lam) + 30.0::double)) as n from hashed),
+counted as (select numbered.*, t.n from numbered join (select row, sum(n)::bigint as n from part group by row) t using (row)),
 copies as (select counted.*, unnest(range(1, n + 1))::int as copy from counted)
 select doc_id, source, lang, n_chars, copy, text_md5, round(rate, 9) as rate, {number(f"'{p.seed}:o:' || coalesce(doc_id::varchar, '') || ':' || copy::varchar")} as place from copies"""
 
