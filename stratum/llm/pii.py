@@ -86,6 +86,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def refused(value: str) -> bool:
+    """Whether a value has the form of a fixed kind and not what that kind asks for besides: a card's number without its check digit, an
+    address with a part over 255, a phone number too short or long. No context makes an identifier of it."""
+    digits = sum(c in "0123456789" for c in value)
+    if CARD.fullmatch(value) and 14 <= digits <= 19:
+        return not luhn(value.replace(" ", "").replace("-", ""))
+    return bool((IP.fullmatch(value) and not base_spans(value)) or (PHONE.fullmatch(value) and not 10 <= digits <= 15))
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: two words before, one word before, and the words on both sides."""
     reach = REACH
@@ -135,7 +144,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for r in [m] if free(m.start(), m.end()) else SHAPED.finditer(text, m.start(), m.end()):
                         v = r[0].rstrip("./#-")
                         a, e = r.start(), r.start() + len(v)
-                        if len(v) >= 6 and any(c in v for c in "0123456789@") and free(a, e):
+                        if len(v) >= 6 and any(c in v for c in "0123456789@") and free(a, e) and not refused(v):
                             found.append({"kind": None, "start": a, "end": e, "value": known_as(v), "patterns": contexts(text, a, e)})
             rows.append((row, doc_id, xxhash.xxh3_128_hexdigest(text), counts[0], counts[1], counts[2], counts[3], digest, found))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(FOUND)]
@@ -174,8 +183,10 @@ def find(docs: DataFrame, p: Params, cut: Cut) -> DataFrame:
     edges = with_patterns.select("pattern", "value").distinct()
     known = one.where("kind is not null").select("value").distinct()
     strong, instances = bootstrap(edges, known, p, cut)
-    # A span is added where a strong pattern stands around an instance of high confidence.
-    more = with_patterns.where("kind is null").join(instances.select("value"), "value", "left_semi").join(strong.select("pattern"), "pattern", "left_semi").select("row", "start").distinct()
+    # A span is added where a strong pattern stands around an instance of high confidence. A single word, which may be one that stands
+    # before anything, such as "of", only speaks for an instance beside a pattern of two.
+    lexical = strong.where(F.size(F.split("pattern", " ")) == 3)
+    more = with_patterns.where("kind is null").join(instances.select("value"), "value", "left_semi").join(lexical.select("pattern"), "pattern", "left_semi").select("row", "start").distinct()
     added = more.groupBy("row").agg(F.collect_set("start").alias("added"))
     both = scanned.join(added, "row", "left")
     kept = F.filter("found", lambda x: x.kind.isNotNull() | F.coalesce(F.array_contains("added", x.start), F.lit(False)))
