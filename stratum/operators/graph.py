@@ -23,16 +23,20 @@ def enclosing(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return calls.join(spans, "file_path", "left").withColumn("caller_name", F.coalesce(F.get(found, F.lit(0))["name"], F.lit("<module>"))).drop("spans")
 
 
+def tries(suffixes: list[str]) -> Column:
+    """What a relative import (file_path, source) may mean, in order; null for any other."""
+    folder = F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1)
+    stem = paths.normalized(F.concat(folder, F.col("source")))
+    return F.when(F.col("source").startswith("."), F.transform(F.array(*map(F.lit, [*suffixes, *("/" + x for x in INDEX_FILES)])), lambda x: F.concat(stem, x)))
+
+
 def import_targets(imports: DataFrame, files: DataFrame, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """imports (file_path, source, ...) with ``target``, the file that a relative source means, or null.
 
     Each import is exploded to its few candidates, and the first that is a file counts.
     """
-    folder = F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1)
-    stem = paths.normalized(F.concat(folder, F.col("source")))
-    tries = F.when(F.col("source").startswith("."), F.transform(F.array(*map(F.lit, [*suffixes, *("/" + x for x in INDEX_FILES)])), lambda x: F.concat(stem, x)))
     keyed = imports.withColumn("import_id", F.struct("file_path", "source"))
-    options = keyed.select("import_id", F.posexplode(tries).alias("place", "candidate")).distinct()
+    options = keyed.select("import_id", F.posexplode(tries(suffixes)).alias("place", "candidate")).distinct()
     known = files.select(F.col("file_path").alias("candidate")).distinct()
     best = options.join(known, "candidate").groupBy("import_id").agg(F.min_by("candidate", "place").alias("target"))
     return keyed.join(best, "import_id", "left").drop("import_id")
@@ -56,14 +60,51 @@ def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> Data
     return joined.withColumn("callee_file", F.coalesce(F.when(F.col("own"), F.col("caller_file")), "imported", "beside", "anywhere", F.lit(EXTERNAL))).drop("own", "imported", "anywhere", "beside", "folder")
 
 
-def call_edges(symbols: DataFrame) -> DataFrame:
-    """An edge for each call site, of symbols (file_path, kind, name, owner, start_line, end_line, ord)."""
+def call_edges(symbols: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """An edge for each call site, of symbols (file_path, kind, name, owner, start_line, end_line, ord), or for those of ``only`` (distinct
+    file_path, name)."""
     functions = symbols.where("kind in ('function', 'method')")
+    sites = symbols.where("kind = 'call'").select("file_path", "name", "start_line", "ord")
     imports = symbols.where("kind = 'import_name'").select("file_path", "name", F.col("owner").alias("source"), "ord")
+    defined, around = functions, functions
+    if only is not None:
+        sites = sites.join(only, ["file_path", "name"], "left_semi")
+        imports = imports.join(only, ["file_path", "name"], "left_semi")
+        defined = functions.join(only.select("name").distinct(), "name", "left_semi")
+        around = functions.join(only.select("file_path").distinct(), "file_path", "left_semi")
     targets = import_targets(imports, symbols.select("file_path"))
-    calls = symbols.where("kind = 'call'").select("file_path", F.col("name").alias("callee_name"), F.col("start_line").alias("line"), F.col("ord").alias("call_ord"))
-    callers = enclosing(calls, functions.select("file_path", "name", "start_line", "end_line", "ord")).withColumnRenamed("file_path", "caller_file")
-    return resolved(callers, functions, targets).select("caller_file", "caller_name", "callee_file", "callee_name", "line").withColumn("edge_type", F.lit("call"))
+    calls = sites.select("file_path", F.col("name").alias("callee_name"), F.col("start_line").alias("line"), F.col("ord").alias("call_ord"))
+    callers = enclosing(calls, around.select("file_path", "name", "start_line", "end_line", "ord")).withColumnRenamed("file_path", "caller_file")
+    return resolved(callers, defined, targets).select("caller_file", "caller_name", "callee_file", "callee_name", "line").withColumn("edge_type", F.lit("call"))
+
+
+def stale_calls(before: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
+    """file_path, name: the calls, there before or now, that a change of the files ``changed`` (file_path) may resolve anew.
+
+    Where a call leads depends on its own file, on the files that define its name, and on what its file's import of the name means. So
+    these are the calls of changed files; those of names that a changed file defines or did; and those of names that are imported
+    from a source one of whose meanings is a file that has come or gone.
+    """
+    changed = changed.select("file_path").distinct()
+    both = before.unionByName(now)
+    calls = both.where("kind = 'call'").select("file_path", "name").distinct()
+    own = calls.join(changed, "file_path", "left_semi")
+    names = both.where("kind in ('function', 'method')").join(changed, "file_path", "left_semi").select("name").distinct()
+    named = calls.join(names, "name", "left_semi").select("file_path", "name")
+    here = lambda df: df.join(changed, "file_path", "left_semi").select("file_path").distinct()
+    moved = here(before).exceptAll(here(now)).unionByName(here(now).exceptAll(here(before))).withColumnRenamed("file_path", "candidate")
+    imports = now.where("kind = 'import_name'").select("file_path", "name", F.col("owner").alias("source"))
+    meant = imports.select("file_path", "name", F.explode(tries(SUFFIXES)).alias("candidate")).join(moved, "candidate", "left_semi").select("file_path", "name")
+    return own.unionByName(named).unionByName(meant.join(calls, ["file_path", "name"], "left_semi")).distinct()
+
+
+def updated_edges(edges: DataFrame, before: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
+    """The call edges of symbols ``now``, from those of symbols ``before`` which differ in the files ``changed`` only: edges that may
+    be stale are resolved anew, the others stay. Equal to ``call_edges(now)``."""
+    stale = stale_calls(before, now, changed)
+    at = stale.select(F.col("file_path").alias("caller_file"), F.col("name").alias("callee_name"))
+    kept = edges.where("edge_type = 'call'").join(at, ["caller_file", "callee_name"], "left_anti").select("caller_file", "caller_name", "callee_file", "callee_name", "line", "edge_type")
+    return kept.unionByName(call_edges(now, stale))
 
 
 def degrees(edges: DataFrame, external: bool = False) -> DataFrame:

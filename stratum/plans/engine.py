@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from stratum.config import Config
 from stratum.functions import intent, paths, text
-from stratum.operators import budget, chunk, diagram, embed, expand, graph, prompt, rerank, search, symbols
+from stratum.operators import budget, diagram, embed, expand, graph, prompt, rerank, search, symbols
 from stratum.sources import git, lists, pulls
+from stratum.sources.code import update_code
 from stratum.sources.store import Store, changes
 
 SYSTEM = "You answer questions about a software project from the snippets of its code and history given to you, and say so if they don't hold the answer."
@@ -52,9 +53,9 @@ class Answer:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Callable[[], embed.Embedder] = embed.HashedWords, model: LanguageModel | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Callable[[], embed.Embedder] = embed.HashedWords, model: LanguageModel | None = None, extractor: symbols.Extractor = symbols.extract) -> None:
         self.spark, self.store, self.config = spark, Store(spark, root), config or Config()
-        self.embedder, self.model = embedder, model or Stub()
+        self.embedder, self.model, self.extractor = embedder, model or Stub(), extractor
         self.listeners: list[Callable[[Config], None]] = []
 
     def update_config(self, **values: object) -> None:
@@ -92,7 +93,8 @@ class Engine:
         return embed.embedded(git.commit_rows(log).withColumn("text", body), make=self.embedder).drop("text")
 
     def index_code(self, repo: str, large: bool | None = None) -> dict[str, int]:
-        """Chunks of new and changed files replace the old ones; deleted files go; edges are made anew. All of it is one version."""
+        """Chunks of new and changed files replace the old ones; deleted files go, and only what they change
+        of the call edges is resolved anew. All of it is one version."""
         large = git.scale(git.count_commits(repo)) == "large" if large is None else large
         files = git.read_files(self.spark, repo).persist()
         try:
@@ -100,16 +102,14 @@ class Engine:
                 hashed = files.select("file_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
                 change = changes(hashed, into.read("file_hashes")).persist()
                 counts = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
-                found = symbols.symbols(files)
-                chunks = chunk.windows(files.join(change.where("change <> 'deleted'").select("file_path"), "file_path", "left_semi"), summaries=large).drop("content_hash")
-                tagged = chunk.tagged(chunks, found)
-                body = text.code_text(*(F.col(c) for c in ("file_path", "language", "start_line", "end_line", "content", "functions", "classes", "imports", "exports", "is_summary")))
-                if "code_files" not in into.contents["tables"]:
-                    into.create("code_files", into.read("code_files"))
-                if counts:
-                    into.replace_files(change.select("file_path"), embed.embedded(tagged.withColumn("text", body), make=self.embedder).drop("text"))
+                if "symbols" not in into.contents["tables"]:  # all files are new to it
+                    anew = hashed.select("file_path").unionByName(into.read("file_hashes").select("file_path")).distinct()
+                    update_code(into, anew, files.select("file_path", "content"), self.embedder, large, self.extractor)
+                elif counts:
+                    there = files.join(change.where("change <> 'deleted'").select("file_path"), "file_path", "left_semi")
+                    update_code(into, change.select("file_path"), there.select("file_path", "content"), self.embedder, large, self.extractor)
                 co = graph.co_change_edges(graph.co_change(into.read("commits"), F.current_timestamp()))
-                edges = graph.call_edges(found).unionByName(co, allowMissingColumns=True)
+                edges = into.read("call_graph").where("edge_type = 'call'").unionByName(co, allowMissingColumns=True)
                 if not edges.isEmpty():
                     into.create("call_graph", edges)
                 into.create("file_hashes", hashed)

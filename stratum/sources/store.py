@@ -21,9 +21,9 @@ from stratum.sources.versions import Conflict, Versions
 __all__ = ["Change", "Conflict", "Store", "changes"]
 
 HASHES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType())])
-TABLES = {"commits": schemas.COMMITS, "code_files": schemas.CHUNKS, "pr_data": schemas.PULLS, "call_graph": schemas.EDGES, "file_hashes": HASHES}
+TABLES = {"commits": schemas.COMMITS, "code_files": schemas.CHUNKS, "pr_data": schemas.PULLS, "call_graph": schemas.EDGES, "file_hashes": HASHES, "symbols": schemas.SYMBOLS}
 #: Tables whose rows are dealt into buckets by file.
-BUCKETED = {"code_files"}
+BUCKETED = {"code_files", "symbols"}
 
 
 class Store:
@@ -213,8 +213,8 @@ class Change:
         else:
             table["parts"].append(self.write(df, name))
 
-    def replace_files(self, paths: DataFrame, chunks: DataFrame | None = None) -> None:
-        name = "code_files"
+    def replace_files(self, paths: DataFrame, chunks: DataFrame | None = None, name: str = "code_files") -> None:
+        """Deletes the rows of the files in ``paths`` (file_path) and adds the given ones, in the touched buckets only."""
         table = self.contents["tables"].setdefault(name, {"buckets": self.store.buckets, "parts": {}})
         n = table["buckets"]
         while n * self.store.bucket_bytes < sum(map(self.store.versions.size, folders(self.contents, name))):

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratum.operators import chunk, embed, symbols
+from stratum.operators import embed
 from stratum.sources import git
+from stratum.sources.code import update_code
 from stratum.sources.store import Store
 
 FILES = "file_path string, content string, version long"
@@ -21,15 +22,14 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 def upsert(store: Store, make_embedder=embed.HashedWords):
-    """A function for foreachBatch that replaces the chunks of the files of a batch, with the symbols they hold. Repeating a batch
-    changes nothing."""
+    """A function for foreachBatch that replaces the chunks, symbols and call edges of the files of a batch. Repeating a batch changes
+    nothing, and batches in order leave what one run over the last state of all files does."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         files = latest(batch).persist()
         try:
-            there = files.where("content is not null")
-            chunks = chunk.tagged(chunk.windows(there).drop("content_hash"), symbols.symbols(there))
-            store.replace_files(files.select("file_path"), embed.embedded(chunks, "content", make=make_embedder))
+            with store.change() as change:
+                update_code(change, files.select("file_path"), files.where("content is not null"), make_embedder)
         finally:
             files.unpersist()
 
