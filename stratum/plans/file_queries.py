@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from stratum.functions import paths, text
 from stratum.operators import chunk, diff
 from stratum.plans import inputs
-from stratum.plans.inputs import FILES_SQL, Values
+from stratum.plans.inputs import FILES_SQL, Spread, Values
 from stratum.sources import git, pulls, store
 
-PATHS = Values("path string", tuple((p,) for p in (
+NAMED = Values("named string", tuple((p,) for p in (
     "a.png", "yarn.lock", ".env.local", "src/dist/x.ts", "src/app.ts", "dist/x.ts", "lib/router/../x/./y.JS", "README.md", "docs/Contributing.rst", "deep.dir/file", "Cargo.toml", "k/id_rsa.pub",
     "a/b.secret.json", "x.tsx", "q.graphql", "/etc/passwd", "../up.py", "node_modules/m/index.js", "web/node_modules/m/i.js", "s.PEM", "Makefile", "a/../../b//c.go", "build", "x/build/y.c", "l.sql", "license", "w.ex",
 )))
-BODIES = Values("id int, body string", (
+CASES = Values("number int, said string", (
     (1, "Fixes #12, closes #7 resolved #12 fix #9"), (2, ""), (3, "nothing here #5"), (4, "FIXED   #100 and Close #3, fixes#4, resolve #100"), (5, "closes #1 closed #2 close #3 fixed #4 fixes #5 fix #6 resolve #7 resolved #8 resolves #9"),
 ))
 
@@ -29,23 +29,28 @@ EXCLUDED_SQL = f"({EXT_OF} in ({quoted(paths.BINARY_EXTENSIONS)}) or string_spli
 DIRS_SQL = " or ".join(f"starts_with(path, '{d}') or contains(path, '/{d}')" for d in [paths.STORE_DIR, *paths.GENERATED_DIRS])
 
 
+#: All documents as files, below their sources or not, and as bodies that mention issues.
+PATHS = Spread(NAMED, "documents", "doc_id", f"case when doc_id < {len(NAMED.rows)} then named when doc_id % 9 = 0 then concat('/', doc_id, '/', named) when doc_id % 9 = 1 then concat('../', doc_id, '/', named) else concat(source, '/d', doc_id, '/', named) end as path")
+BODIES = Spread(CASES, "documents", "doc_id", "doc_id as id; concat(said, ' ', text) as body")
+
+
 def path_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return PATHS.df(spark).select("path", paths.excluded(p).alias("in_diff"), paths.excluded(p, sources=True).alias("in_sources"), paths.is_safe(p).alias("safe"))
+    return PATHS.df(spark, sf_dir).select("path", paths.excluded(p).alias("in_diff"), paths.excluded(p, sources=True).alias("in_sources"), paths.is_safe(p).alias("safe"))
 
 
 def diff_budget_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return PATHS.df(spark).select("path", paths.extension(p).alias("ext"), paths.diff_budget(p).alias("budget"), paths.language(p).alias("language"), paths.is_document(p).alias("document"))
+    return PATHS.df(spark, sf_dir).select("path", paths.extension(p).alias("ext"), paths.diff_budget(p).alias("budget"), paths.language(p).alias("language"), paths.is_document(p).alias("document"))
 
 
 def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return PATHS.df(spark).select("path", paths.normalized(p).alias("normal"), paths.directory(p).alias("folder"))
+    return PATHS.df(spark, sf_dir).select("path", paths.normalized(p).alias("normal"), paths.directory(p).alias("folder"))
 
 
 def linked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BODIES.df(spark).select("id", F.array_join(F.transform(text.linked_issues(F.col("body")), lambda x: x.cast("string")), ",").alias("issues"))
+    return BODIES.df(spark, sf_dir).select("id", F.array_join(F.transform(text.linked_issues(F.col("body")), lambda x: x.cast("string")), ",").alias("issues"))
 
 
 PULLS = Values("number int, title string, body string, state string, merged_at timestamp, merged_by string, user string, created_at timestamp, merge_commit_sha string, updated_at timestamp", tuple(

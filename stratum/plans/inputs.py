@@ -42,6 +42,27 @@ class Values:
         return f"(select {columns} from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in self.rows)}) t({', '.join(n for n, _ in kinds)}))"
 
 
+@dataclass(frozen=True)
+class Spread:
+    """Literal cases dealt over all rows of a given table: each row gets the case of its key, modulo their number, and ``columns``
+    are made of both, as expressions that mean the same in Spark's SQL and DuckDB's."""
+
+    cases: Values
+    table: str
+    key: str
+    columns: str
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = len(self.cases.rows)
+        numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(self.cases.rows)], "case_ int, " + self.cases.schema)
+        return table(spark, sf_dir, self.table).join(F.broadcast(numbered), F.expr(f"({self.key}) % {n} = case_")).selectExpr(*self.columns.split("; "))
+
+    def sql(self) -> str:
+        n = len(self.cases.rows)
+        numbered = Values("case_ int, " + self.cases.schema, tuple((i, *r) for i, r in enumerate(self.cases.rows)))
+        return f"(select {self.columns.replace('; ', ', ')} from {self.table} join {numbered.sql()} on ({self.key}) % {n} = case_)"
+
+
 EXT = {"en": ".ts", "de": ".py", "fr": ".md"}
 EXT_SQL = "case lang when 'en' then '.ts' when 'de' then '.py' when 'fr' then '.md' else '.sql' end"
 FILES_SQL = f"(select concat(source, '/d', doc_id % 10, '/f', doc_id, {EXT_SQL}) as file_path, text as content, doc_id, lang, source from documents)"
@@ -115,8 +136,8 @@ def distance_sql(vector: str = "vector", vec_id: int = 0) -> str:
     return f"list_sum(list_transform(list_zip({vector}, (select embedding from embeddings where vec_id = {vec_id})), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))"
 
 
-QUESTIONS = Values(
-    "id int, question string",
+ASKED = Values(
+    "ask int, question string",
     (
         (1, "hello world"),
         (2, "how does next() dispatch work in lib/router/index.js"),
@@ -133,3 +154,6 @@ QUESTIONS = Values(
         (13, "5 days ago timeout; 2 weeks ago leak"),
     ),
 )
+
+#: All turns of all conversations as questions, each after one of the cases.
+QUESTIONS = Spread(ASKED, "conversations", "conv_id + turn", "conv_id * 1000 + turn as id; concat(question, ' ', coalesce(text, '')) as question")

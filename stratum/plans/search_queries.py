@@ -106,7 +106,7 @@ def pr_commit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = intent.classify(QUESTIONS.df(spark))
+    df = intent.classify(QUESTIONS.df(spark, sf_dir))
     return df.select("id", "intent", *(f"n_{i}" for i in intent.INTENTS[:4]), *(F.round(f"p_{i}", 6).alias(f"p_{i}") for i in intent.INTENTS), *(F.round(c, 6).alias(c) for c in intent.BLENDED))
 
 
@@ -124,7 +124,7 @@ select id, case {pick} end as intent, {', '.join('n_' + i for i in names[:4])},
 
 
 def temporal_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUESTIONS.df(spark).select("id", intent.anchor(F.col("question"), inputs.now().cast("date")).alias("anchor"))
+    return QUESTIONS.df(spark, sf_dir).select("id", intent.anchor(F.col("question"), inputs.now().cast("date")).alias("anchor"))
 
 
 ANCHOR_SQL = f"""with q as (select id, question, date '2024-02-01' as now_,
@@ -142,7 +142,7 @@ select id, cast(case
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    return QUESTIONS.df(spark).select("id", F.array_join(F.array_distinct(intent.symbols(q)), ",").alias("symbols"), F.array_join(intent.mentioned_files(q), ",").alias("files"), intent.wants_synthesis(q).alias("synthesis"))
+    return QUESTIONS.df(spark, sf_dir).select("id", F.array_join(F.array_distinct(intent.symbols(q)), ",").alias("symbols"), F.array_join(intent.mentioned_files(q), ",").alias("files"), intent.wants_synthesis(q).alias("synthesis"))
 
 
 TERMS_SQL = f"""with q as (select id, question, list_transform(regexp_extract_all(question, '\\b([a-zA-Z_$][\\w$]*)\\s*\\(', 1), lambda x: lower(x)) as called,
