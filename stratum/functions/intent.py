@@ -118,3 +118,10 @@ def budgets(base: int, intent: str, large: bool = False, override: int | None =
     b = override or (10 if large else base)
     h = 2 if intent in ("historical", "debugging") else 1
     return {"code": max(4 * b, 20), "commit": max(2 * b * h, 10), "pr": max(b * h, 5)}
+
+
+def neighbours(base: Column, intent: Column, large: Column, override: Column) -> dict[str, Column]:
+    """``budgets`` of many questions; an override of 0 or null is none."""
+    b = F.when(F.coalesce(override, F.lit(0)) != 0, override).otherwise(F.when(large, F.lit(10)).otherwise(base))
+    h = F.when(intent.isin("historical", "debugging"), F.lit(2)).otherwise(F.lit(1))
+    return {"code": F.greatest(4 * b, F.lit(20)), "commit": F.greatest(2 * b * h, F.lit(10)), "pr": F.greatest(b * h, F.lit(5))}

@@ -285,8 +285,11 @@ class Engine:
         raise ValueError(f"no diagram {kind!r}; there are architecture, callgraph, commits and prs")
 
 
+def triaged(answer: Column, most: int = 5) -> Column:
+    """Safe relative paths that an answer names, the first ones."""
+    named = F.transform(F.regexp_extract_all(answer, F.lit(r"(?m)^file:\s*(.+)$"), F.lit(1)), lambda p: F.trim(p))
+    return F.slice(F.filter(named, lambda p: paths.is_safe(p)), 1, most)
+
+
 def triage_files(spark: SparkSession, answer: str, most: int = 5) -> list[str]:
-    """Safe relative paths that an answer names."""
-    named = F.transform(F.regexp_extract_all(F.col("a"), F.lit(r"(?m)^file:\s*(.+)$"), F.lit(1)), lambda p: F.trim(p))
-    safe = F.filter(named, lambda p: paths.is_safe(p))
-    return spark.createDataFrame([(answer,)], "a string").select(F.slice(safe, 1, most).alias("p")).first().p
+    return spark.createDataFrame([(answer,)], "a string").select(triaged(F.col("a"), most).alias("p")).first().p

@@ -12,7 +12,7 @@ from stratum.functions import intent
 from stratum.operators import chunk, graph, rerank, search, symbols
 from stratum.plans import engine, inputs
 from stratum.plans.file_queries import windows_sql
-from stratum.plans.inputs import CHUNKS_SQL, EDGES_SQL, FILES_SQL, Values, distance_sql
+from stratum.plans.inputs import CHUNKS_SQL, EDGES_SQL, FILES_SQL, Spread, Values, distance_sql
 from stratum.sources import lists
 from stratum.sources.store import Store, changes, co_changed_with, edges_from, edges_to
 from stratum.streaming import ingest
@@ -223,25 +223,32 @@ DATES_SQL = """select o_orderkey, case o_orderstatus when 'O' then 'commit' when
 BASES = Values("base int, intent string, large boolean, override int", tuple((b, i, large, o) for b in (1, 5, 10) for i in ("general", "historical", "debugging") for large in (False, True) for o in (None, 30)))
 
 
+#: A base for each turn of all conversations.
+ASKED = Spread(BASES, "conversations", "conv_id + turn", "conv_id; turn; base; intent; large; override")
+
+
 def neighbour_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(*r, *(intent.budgets(*r)[x] for x in ("code", "commit", "pr"))) for r in BASES.rows]
-    return spark.createDataFrame(rows, BASES.schema + ", code int, commits int, pulls int")
+    of = intent.neighbours(*(F.col(c) for c in ("base", "intent", "large", "override")))
+    return ASKED.df(spark, sf_dir).select("conv_id", "turn", "base", "intent", "large", "override", of["code"].alias("code"), of["commit"].alias("commits"), of["pr"].alias("pulls"))
 
 
-BUDGETS_SQL = f"""with b as (select *, coalesce(override, case when large then 10 else base end) as n, case when intent in ('historical', 'debugging') then 2 else 1 end as h from {BASES.sql()})
-select base, intent, large, override, greatest(4 * n, 20)::integer as code, greatest(2 * n * h, 10)::integer as commits, greatest(n * h, 5)::integer as pulls from b"""
+BUDGETS_SQL = f"""with b as (select *, coalesce(override, case when large then 10 else base end) as n, case when intent in ('historical', 'debugging') then 2 else 1 end as h from {ASKED.sql()})
+select conv_id, turn, base, intent, large, override, greatest(4 * n, 20)::integer as code, greatest(2 * n * h, 10)::integer as commits, greatest(n * h, 5)::integer as pulls from b"""
 
-ANSWERS = Values("id int, answer string", (
+ANSWERS = Values("number int, answer string", (
     (1, "file: src/a.ts\nnot a line\nFILE: src/b.ts  \nfile:lib/c.py"), (2, "file: /etc/passwd\nfile: ../up.py\nfile: ok.go"), (3, "nothing"), (4, "".join(f"file: f{i}.ts\n" for i in range(8))), (5, " file: indented.ts\nfile:   spaced.ts"),
 ))
 
 
+#: Every document with an answer below it, which names a file of its own too.
+REPLIES = Spread(ANSWERS, "documents", "doc_id", "doc_id as id; concat(coalesce(text, ''), chr(10), answer, chr(10), 'file: ', source, '/f', doc_id, '.ts') as answer")
+
+
 def triage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, n + 1, path) for i, answer in ANSWERS.rows for n, path in enumerate(engine.triage_files(spark, answer))]
-    return spark.createDataFrame(rows, "id int, place int, path string")
+    return REPLIES.df(spark, sf_dir).select("id", F.posexplode(engine.triaged(F.col("answer"))).alias("place", "path")).withColumn("place", F.col("place") + 1)
 
 
-TRIAGE_SQL = f"""with l as (select id, unnest(string_split(answer, chr(10))) as line, generate_subscripts(string_split(answer, chr(10)), 1) as i from {ANSWERS.sql()}),
+TRIAGE_SQL = f"""with l as (select id, unnest(string_split(answer, chr(10))) as line, generate_subscripts(string_split(answer, chr(10)), 1) as i from {REPLIES.sql()}),
 p as (select id, i, trim(substr(line, 6)) as path from l where starts_with(line, 'file:')), r as (select *, cast(row_number() over (partition by id order by i) as integer) as place from p where not starts_with(path, '/') and not contains(path, '..'))
 select id, place, path from r where place <= 5"""
 

@@ -147,3 +147,10 @@ def test_imports_without_the_training_data_part():
     code = "import sys; sys.modules['stratum.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 60; print('fine')"
     out = subprocess.run(["python", "-c", code], cwd=__file__.rsplit("/", 2)[0], capture_output=True, text=True)
     assert "fine" in out.stdout, out.stderr[-500:]
+
+
+def test_budgets_of_many_questions_are_those_of_each(spark):
+    rows = [(b, i, large, o) for b in (1, 5, 30) for i in ("general", "historical", "debugging") for large in (False, True) for o in (None, 0, 30)]
+    df = spark.createDataFrame(rows, "base int, intent string, large boolean, override int")
+    for r in df.withColumns(intent.neighbours(*(F.col(c) for c in df.columns))).collect():
+        assert {k: r[k] for k in ("code", "commit", "pr")} == intent.budgets(r.base, r.intent, r.large, r.override)
