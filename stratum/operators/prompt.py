@@ -37,7 +37,9 @@ def structure(files: DataFrame, edges: DataFrame, now: Column, calls: int = 15,
     def names(end: str, other: str) -> DataFrame:
         label = F.concat(F.col(f"{other}_name"), F.lit(" ("), F.col(f"{other}_file"), F.lit(")"))
         met = static.join(own, F.col(f"{end}_file") == F.col("file_path")).groupBy("file_path", label.alias("label")).agg(F.min("ord").alias("ord"))
-        return met.groupBy("file_path").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x.label), 1, calls), ", ").alias(f"{end}_list"))
+        # only so many labels of a file are ever gathered, however many it has
+        first = met.withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("ord", "label"))).where(F.col("n") <= calls)
+        return first.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x.label), ", ").alias(f"{end}_list"))
 
     co = edges.where("edge_type = 'co-change'")
     cols = ["weight", "raw_count", "latest_hash", "latest_date", "earliest_hash", "earliest_date"]

@@ -34,3 +34,15 @@ def test_windows_need_no_shuffle(spark):
 def test_degrees_are_summed_partially(spark):
     p = plan(graph.degrees(inputs.edges(spark, DATA)))
     assert p.count("HashAggregate") >= 2 and p.count("Exchange") == 1
+
+
+def test_labels_of_a_file_are_ranked_before_they_are_gathered(spark):
+    from pyspark.sql import functions as F
+
+    from stratum.operators import prompt
+    from stratum.plans.store_queries import stored
+    from stratum.schemas import EDGES
+
+    e = stored(inputs.edges(spark, DATA).withColumn("edge_type", F.lit("call")), EDGES).withColumn("ord", F.struct("caller_file", "line", "callee_name"))
+    p = plan(prompt.structure(e.select(F.col("caller_file").alias("file_path")).distinct(), e, inputs.now()))
+    assert p.count("WindowGroupLimit") >= 2 and "NestedLoop" not in p
