@@ -85,6 +85,7 @@ class Engine:
                 log = git.read_log(self.spark, repo, since=last if new else "", until=head if new else "", limit=self.config.commit_depth)
                 (change.append if new else change.create)("commits", self.commit_vectors(log))
                 change.state["last_hash"] = head
+        self.store.vacuum()
         return self.store.read("commits").select("hash").distinct().count()
 
     def commit_vectors(self, log: DataFrame) -> DataFrame:
@@ -113,6 +114,7 @@ class Engine:
                 if not edges.isEmpty():
                     into.create("call_graph", edges)
                 into.create("file_hashes", hashed)
+            self.store.vacuum()
             return counts
         finally:
             files.unpersist()
