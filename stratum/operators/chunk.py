@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import paths
+from stratum.operators.graph import bins
 
 CODE, DOCUMENT = (256, 50), (1024, 100)
 HEAD, TAIL, LEAST = 80, 40, 20
@@ -50,18 +51,25 @@ def summary() -> Column:
     return F.concat_ws("\n", head, F.lit("--- HEAD ---"), F.array_join(first, "\n"), F.lit("--- TAIL ---"), F.array_join(last, "\n"))
 
 
-def tagged(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds functions, classes, imports and exports: names whose lines overlap the window, in order of occurrence.
+#: What a window is tagged with, by kinds of symbols.
+TAGS = {"functions": ("function", "method"), "classes": ("class",), "imports": ("import",), "exports": ("export",)}
 
-    Symbols are gathered by file and joined once by file; the overlap is a filter within the row.
-    """
-    entry = F.struct("ord", "kind", "name", "start_line", "end_line")
-    by_file = symbols.groupBy("file_path").agg(F.array_sort(F.collect_list(entry)).alias("symbols"))
-    joined = chunks.join(by_file, "file_path", "left")
 
-    def names(*kinds: str) -> Column:
-        meets = lambda s: s.kind.isin(*kinds) & (s.start_line <= F.col("end_line")) & (s.end_line >= F.col("start_line")) & ~F.col("is_summary")
-        return F.coalesce(F.transform(F.filter("symbols", meets), lambda s: s["name"]), F.array().cast("array<string>"))
+def tagged(chunks: DataFrame, symbols: DataFrame, size: int = 256) -> DataFrame:
+    """Adds functions, classes, imports and exports: names whose lines overlap the window, in order of occurrence.
 
-    tags = {"functions": names("function", "method"), "classes": names("class"), "imports": names("import"), "exports": names("export")}
-    return joined.withColumns(tags).drop("symbols")
+    Windows and symbols are dealt into bins of lines, and a pair meets in the first bin that both have. So a file of any
+    length is many keys, and no row holds more symbols than its window shows. Texts aren't dealt; tags come to them by place.
+    """
+    place = ["file_path", "start_line", "end_line"]
+    windows = chunks.where(~F.col("is_summary")).select(*place).distinct()
+    dealt = windows.select(*place, bins(F.col("start_line"), F.col("end_line"), size).alias("bin"))
+    wanted = symbols.where(F.col("kind").isin([k for kinds in TAGS.values() for k in kinds]))
+    ranged = wanted.select("file_path", "ord", "kind", "name", F.col("start_line").alias("first"), F.col("end_line").alias("last"), bins(F.col("start_line"), F.col("end_line"), size).alias("bin"))
+    overlap = (F.col("first") <= F.col("end_line")) & (F.col("last") >= F.col("start_line"))
+    once = F.col("bin") == F.floor(F.greatest("first", "start_line") / size)
+    met = dealt.join(ranged, ["file_path", "bin"]).where(overlap & once)
+    by_window = met.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "name", "first", "last"))).alias("symbols"))
+    joined = chunks.join(by_window.withColumn("is_summary", F.lit(False)), [*place, "is_summary"], "left")
+    names = lambda kinds: F.coalesce(F.transform(F.filter("symbols", lambda s: s.kind.isin(*kinds)), lambda s: s["name"]), F.array().cast("array<string>"))
+    return joined.withColumns({tag: names(kinds) for tag, kinds in TAGS.items()}).select(*chunks.columns, *TAGS)

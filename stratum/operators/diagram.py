@@ -1,13 +1,17 @@
 """Diagrams as text: files and their calls, functions, commits over time, pull requests and issues.
 
-Each diagram is lines with an order, made in parallel; ``text_of`` joins them into one row.
+Each diagram is lines with an order, made in parallel; ``text_of`` joins them into one row. ``fitted`` folds what is too
+large for one first.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum import scratch
 from stratum.functions import paths
 from stratum.functions.text import diagram_id, diagram_label
 from stratum.schemas import EXTERNAL
@@ -76,6 +80,81 @@ def call_graph(edges: DataFrame) -> DataFrame:
     return text_of(boxes.unionByName(ext).unionByName(arrows), "graph TD")
 
 
+#: Lines that a diagram has at most.
+LINES = 2000
+OTHERS = "(others)"
+
+
+def sized(pairs: DataFrame) -> int:
+    """Lines of a drawing of pairs (a, b, n): one for each node, and for each pair of two."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+    return nodes + pairs.where("a <> b").count()
+
+
+def within(path: Column, depth: int) -> Column:
+    """The folder of a path, or of a folder, that is ``depth`` steps from the top at most."""
+    return F.when(path == EXTERNAL, path).otherwise(F.substring_index(path, "/", depth))
+
+
+def folded(edges: DataFrame, lines: int = LINES) -> DataFrame:
+    """a, b, n: calls summed between files, or between folders as deep as they can be if a drawing is to have ``lines`` lines at most.
+
+    Each step sums up what the one before has written, so it reads less and less; steps are as many as folders are deep. Where the
+    topmost folders are too many themselves, those with the fewest calls become one node, so the result is always within bounds.
+    """
+    spark = edges.sparkSession
+
+    def written(pairs: DataFrame) -> DataFrame:
+        at = scratch.folder(spark, "fold")
+        pairs.write.parquet(at)
+        return spark.read.schema("a string, b string, n long").parquet(at)
+
+    summed = lambda pairs, of: written(pairs.groupBy(of("a").alias("a"), of("b").alias("b")).agg(F.sum("n").alias("n")))
+    pairs = written(edges.groupBy(F.col("caller_file").alias("a"), F.col("callee_file").alias("b")).agg(F.count("*").alias("n")))
+    if sized(pairs) <= lines:
+        return pairs
+    deep = lambda c: F.size(F.split(c, "/"))
+    top = lambda c: F.when(F.col(c) == EXTERNAL, F.col(c)).otherwise(paths.directory(F.col(c)))
+    pairs = summed(pairs, top)
+    depth = pairs.agg(F.max(F.greatest(deep("a"), deep("b")))).first()[0]
+    while sized(pairs) > lines and depth > 1:
+        depth -= 1
+        pairs = summed(pairs, lambda c, d=depth: within(F.col(c), d))
+    if sized(pairs) <= lines:
+        return pairs
+    calls = pairs.select(F.explode(F.array("a", "b")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))
+    kept = F.broadcast(calls.orderBy(F.desc("n"), "node").limit(max(isqrt(lines) - 1, 1)).select("node"))
+    known = pairs.join(kept.withColumnRenamed("node", "a").withColumn("a_in", F.lit(True)), "a", "left").join(kept.withColumnRenamed("node", "b").withColumn("b_in", F.lit(True)), "b", "left")
+    return summed(known.select(F.when(F.col("a_in"), F.col("a")).otherwise(OTHERS).alias("a"), F.when(F.col("b_in"), F.col("b")).otherwise(OTHERS).alias("b"), "n"), F.col)
+
+
+def overview(pairs: DataFrame) -> DataFrame:
+    """A diagram of pairs (a, b, n): arrows with numbers of calls; calls within a file or folder have none."""
+    ids = lambda c: diagram_id(F.when(F.col(c) == EXTERNAL, "ext").otherwise(F.when(F.col(c) == ".", "root").otherwise(F.col(c))))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = F.when(F.col("node") == EXTERNAL, "External").when(F.col("node") == ".", "root").otherwise(F.col("node"))
+    boxes = rows(nodes, 0, F.col("node"), F.lit(""), indented("  ", ids("node"), '["', diagram_label(label), '"]'))
+    arrows = rows(pairs.where("a <> b"), 1, F.col("a"), F.col("b"), indented("  ", ids("a"), " -->|", F.col("n").cast("string"), "| ", ids("b")))
+    return text_of(boxes.unionByName(arrows), "graph TD")
+
+
+def fitted(edges: DataFrame, lines: int = LINES) -> DataFrame:
+    """Functions and their calls while they fit into ``lines`` arrows, else files or folders and theirs."""
+    if edges.limit(lines + 1).count() <= lines:
+        return call_graph(edges)
+    return overview(folded(edges, lines))
+
+
+def fitted_architecture(files: DataFrame, edges: DataFrame, imports: DataFrame, lines: int = LINES) -> DataFrame:
+    """Files, calls and imports while they fit into ``lines`` boxes and arrows, else folders, with numbers of both; files without any
+    count for their folder."""
+    more = imports.where("target is not null").select(F.col("file_path").alias("caller_file"), F.col("target").alias("callee_file"))
+    inside = edges.where(F.col("callee_file") != EXTERNAL).select("caller_file", "callee_file")
+    if files.limit(lines + 1).count() + inside.unionByName(more).distinct().limit(lines + 1).count() <= lines:
+        return architecture(files, edges, imports)
+    return overview(folded(inside.unionByName(more).unionByName(files.select(F.col("file_path").alias("caller_file"), F.col("file_path").alias("callee_file"))), lines))
+
+
 def timeline(commits: DataFrame, limit: int = 30) -> DataFrame:
     """The latest distinct commits, in order of time."""
     once = commits.groupBy("hash").agg(F.max("date").alias("date"), F.min("message").alias("message")).orderBy(F.desc("date"), "hash").limit(limit)

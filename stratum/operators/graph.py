@@ -15,12 +15,42 @@ DIAGRAM_SUFFIXES = SUFFIXES[:9]
 INDEX_FILES = ["index.ts", "index.js", "index.tsx"]
 
 
-def enclosing(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Adds caller_name to calls (file_path, line): the first function, by start and order, whose lines hold the line."""
-    spans = functions.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "ord", "end_line", "name"))).alias("spans"))
-    around = lambda s: (s.start_line <= F.col("line")) & (s.end_line >= F.col("line"))
-    found = F.filter("spans", around)
-    return calls.join(spans, "file_path", "left").withColumn("caller_name", F.coalesce(F.get(found, F.lit(0))["name"], F.lit("<module>"))).drop("spans")
+#: Lines of a bin of the joins of lines with ranges of lines.
+BIN = 512
+
+
+def bins(first: Column, last: Column, size: int = BIN) -> Column:
+    """A row for each bin that the lines meet; none for a range that ends before it begins."""
+    low, high = F.floor(first / size).cast("int"), F.floor(last / size).cast("int")
+    return F.explode(F.when(first <= last, F.sequence(low, high)))
+
+
+def enclosing(calls: DataFrame, functions: DataFrame, size: int = BIN) -> DataFrame:
+    """Adds caller_name to calls (file_path, line): the first function, by start and order, whose lines hold the line.
+
+    Functions are dealt into bins of lines and cut to them. Of those that are cut to the same lines only the first can be
+    an answer, so a bin holds a bounded list whatever is in a file, and a file of any length is many keys.
+    """
+    dealt = functions.select("file_path", "name", "start_line", "ord", "end_line", bins(F.col("start_line"), F.col("end_line"), size).alias("bin"))
+    low, high = F.greatest("start_line", F.col("bin") * size), F.least("end_line", F.col("bin") * size + size - 1)
+    first = dealt.groupBy("file_path", "bin", low.alias("low"), high.alias("high")).agg(F.min(F.struct("start_line", "ord", "end_line", "name")).alias("first"))
+    spans = first.groupBy("file_path", "bin").agg(F.collect_list(F.struct("first", "low", "high")).alias("spans"))
+    found = F.filter("spans", lambda s: (s.low <= F.col("line")) & (s.high >= F.col("line")))
+    joined = calls.withColumn("bin", F.floor(F.col("line") / size).cast("int")).join(spans, ["file_path", "bin"], "left")
+    return joined.withColumn("caller_name", F.coalesce(F.array_min(F.transform(found, lambda s: s.first))["name"], F.lit("<module>"))).drop("spans", "bin")
+
+
+def frequent(rows: DataFrame, keys: list[str], total: int, share: int = 1000, least: int = 500) -> DataFrame:
+    """Keys that a ``share``-th of the ``total`` rows have, and ``least`` rows at any rate; so there are ``share`` of them at most."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max(least, -(-total // share))).select(*keys)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` left joined with ``table``, which has a row a key. Rows of the ``hot`` keys stay where they are and get theirs by a
+    broadcast; the others are shuffled by key, of which none has many rows then."""
+    few = F.broadcast(hot.join(table, keys, "left"))
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
+    return rows.join(few, keys).unionByName(rest)
 
 
 def tries(suffixes: list[str]) -> Column:
@@ -42,21 +72,29 @@ def import_targets(imports: DataFrame, files: DataFrame, suffixes: list[str] = S
     return keyed.join(best, "import_id", "left").drop("import_id")
 
 
-def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame, share: int = 1000, least: int = 500) -> DataFrame:
     """Adds callee_file to calls (caller_file, callee_name, ...): the caller's own file if it defines the name, else
     the file that the name is imported from, else a file that defines it, one in the caller's folder first, else
     external. ``imports`` is (file_path, name, target); the last import of a name counts.
 
     A name defined in very many files is reduced to the first file of each folder and the first of all before
-    any join, so no call meets more than one row of each.
+    any join, so no call meets more than one row of each. Calls are written and counted: names that very many of them
+    have are looked up by a broadcast of as few rows as there can be such names, ``share`` at most, so no task gets all calls of one.
     """
+    spark = calls.sparkSession
     folder = lambda c: F.regexp_extract(c, r"^(.*/)[^/]*$", 1)
+    at, kept = scratch.folder(spark, "calls"), calls.withColumn("folder", folder(F.col("caller_file")))
+    kept.write.parquet(at)
+    kept = spark.read.schema(kept.schema).parquet(at)
+    total = kept.count()
     own = functions.select(F.col("file_path").alias("caller_file"), F.col("name").alias("callee_name")).distinct().withColumn("own", F.lit(True))
     imported = imports.where("target is not null").groupBy(F.col("file_path").alias("caller_file"), F.col("name").alias("callee_name")).agg(F.max_by("target", "ord").alias("imported"))
     first = functions.groupBy("name", "file_path").agg(F.min("ord").alias("ord"))
     anywhere = first.groupBy(F.col("name").alias("callee_name")).agg(F.min(F.struct("ord", "file_path"))["file_path"].alias("anywhere"))
     beside = first.groupBy(F.col("name").alias("callee_name"), folder(F.col("file_path")).alias("folder")).agg(F.min(F.struct("ord", "file_path"))["file_path"].alias("beside"))
-    joined = calls.withColumn("folder", folder(F.col("caller_file"))).join(own, ["caller_file", "callee_name"], "left").join(imported, ["caller_file", "callee_name"], "left").join(anywhere, "callee_name", "left").join(beside, ["callee_name", "folder"], "left")
+    joined = kept.join(own, ["caller_file", "callee_name"], "left").join(imported, ["caller_file", "callee_name"], "left")
+    for table, keys in ((anywhere, ["callee_name"]), (beside, ["callee_name", "folder"])):
+        joined = looked_up(joined, table, keys, frequent(kept, keys, total, share, least))
     return joined.withColumn("callee_file", F.coalesce(F.when(F.col("own"), F.col("caller_file")), "imported", "beside", "anywhere", F.lit(EXTERNAL))).drop("own", "imported", "anywhere", "beside", "folder")
 
 

@@ -274,12 +274,12 @@ class Engine:
             files = self.store.read("code_files").select("file_path").distinct()
             found = symbols.symbols(git.read_files(self.spark, repo)) if repo else self.spark.createDataFrame([], symbols.SCHEMA)
             imports = graph.import_targets(found.where("kind = 'import'").select("file_path", F.col("name").alias("source")), files, graph.DIAGRAM_SUFFIXES)
-            return diagram.architecture(files, edges, imports).first().diagram
+            return diagram.fitted_architecture(files, edges, imports).first().diagram
         if kind == "callgraph":
             static = edges.where("edge_type = 'call'")
             if start:
                 static = graph.touching(static, graph.closure(static, self.spark.createDataFrame([start], "file string, name string")))
-            return diagram.call_graph(static).first().diagram
+            return diagram.fitted(static).first().diagram
         if kind == "commits":
             return diagram.timeline(self.store.read("commits"), limit).first().diagram
         if kind == "prs":

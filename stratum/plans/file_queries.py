@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratum.functions import paths, text
 from stratum.operators import chunk, diff
 from stratum.plans import inputs
-from stratum.plans.inputs import FILES_SQL, Spread, Values
+from stratum.plans.inputs import FILES_SQL, Grouped, Spread, Values
 from stratum.sources import git, pulls, store
 
 NAMED = Values("named string", tuple((p,) for p in (
@@ -133,15 +133,15 @@ def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_SQL = f"""with l as (select file_path, string_split(content, chr(10)) as l, {' '.join(['case', EXT_OF.replace('path', 'file_path'), *(f"when '{k}' then '{v}'" for k, v in paths.LANGUAGES.items() if k in ('.ts', '.py', '.md', '.sql'))])} end as g from {FILES_SQL})
 select file_path, cast(len(l) as integer) as end_line, md5(concat_ws(chr(10), '[SUMMARY] File: ' || file_path || ' | Language: ' || g || ' | ' || len(l) || ' lines', '--- HEAD ---', array_to_string(l[1:80], chr(10)), '--- TAIL ---', array_to_string(l[greatest(len(l) - 39, 1):], chr(10)))) as content_md5 from l where len(l) > 8"""
 
-SYMBOLS = Values("file_path string, kind string, name string, owner string, start_line int, end_line int, ord int", (
+SYMBOLS = Grouped(Values("file_path string, kind string, name string, owner string, start_line int, end_line int, ord int", (
     ("a.ts", "class", "Box", "", 1, 30, 0), ("a.ts", "function", "open", "Box", 2, 9, 1), ("a.ts", "method", "close", "Box", 10, 28, 2), ("a.ts", "import", "./b", "", 1, 1, 3), ("a.ts", "export", "Box", "", 30, 30, 4),
     ("a.ts", "function", "late", "", 31, 45, 5), ("b.ts", "function", "one", "", 1, 3, 0), ("b.ts", "import", "../c", "", 12, 12, 1),
-))
-SPANS = Values("file_path string, start_line int, end_line int, is_summary boolean", (("a.ts", 1, 10, False), ("a.ts", 9, 18, False), ("a.ts", 17, 26, False), ("a.ts", 25, 34, False), ("a.ts", 1, 45, True), ("b.ts", 1, 10, False), ("b.ts", 9, 18, False), ("c.ts", 1, 5, False)))
+)), "part", "p_partkey")
+SPANS = Grouped(Values("file_path string, start_line int, end_line int, is_summary boolean", (("a.ts", 1, 10, False), ("a.ts", 9, 18, False), ("a.ts", 17, 26, False), ("a.ts", 25, 34, False), ("a.ts", 1, 45, True), ("b.ts", 1, 10, False), ("b.ts", 9, 18, False), ("c.ts", 1, 5, False))), "part", "p_partkey")
 
 
 def range_overlap_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunk.tagged(SPANS.df(spark), SYMBOLS.df(spark))
+    out = chunk.tagged(SPANS.df(spark, sf_dir), SYMBOLS.df(spark, sf_dir))
     return out.select("file_path", "start_line", "end_line", *(F.array_join(c, ",").alias(c) for c in ("functions", "classes", "imports", "exports")))
 
 

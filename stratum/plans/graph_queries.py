@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import chunk, diagram, expand, graph, prompt, rerank
 from stratum.plans import inputs
 from stratum.plans.file_queries import windows_sql
-from stratum.plans.inputs import COMMITS_SQL, EDGES_SQL, FILES_SQL, NOW_SQL, Values, visits_sql
+from stratum.plans.inputs import COMMITS_SQL, EDGES_SQL, FILES_SQL, NOW_SQL, Grouped, Values, visits_sql
+
+
+def every_part(cases: Values, path: str = "file_path") -> Grouped:
+    """The cases in a folder for each part, so that their names are defined and called all over."""
+    return Grouped(cases, "part", "p_partkey", (path,))
+
 
-FUNCTIONS = Values("file_path string, name string, start_line int, end_line int, ord int", (
+FUNCTIONS = every_part(Values("file_path string, name string, start_line int, end_line int, ord int", (
     ("lib/a.ts", "run", 1, 20, 1), ("lib/a.ts", "inner", 5, 9, 2), ("lib/b.ts", "help", 1, 4, 3), ("app/help.ts", "help", 1, 4, 4), ("app/c.ts", "boot", 2, 30, 5), ("lib/c.ts", "far", 1, 2, 6), ("app/d.ts", "far", 1, 2, 7), ("zoo/e.ts", "run", 1, 9, 8),
-))
-CALLS = Values("caller_file string, callee_name string, line int", (
+)))
+CALLS = every_part(Values("caller_file string, callee_name string, line int", (
     ("lib/a.ts", "inner", 12), ("lib/a.ts", "help", 6), ("app/c.ts", "help", 3), ("app/c.ts", "far", 31), ("app/c.ts", "print", 8), ("zoo/e.ts", "far", 2), ("zoo/e.ts", "help", 40), ("lib/b.ts", "run", 2), ("lib/b.ts", "run", 3),
-))
-IMPORTS = Values("file_path string, source string, name string, ord int", (
+)), "caller_file")
+IMPORTS = every_part(Values("file_path string, source string, name string, ord int", (
     ("zoo/e.ts", "../lib/b", "help", 1), ("app/c.ts", "./help", "help", 2), ("app/c.ts", "react", "print", 3), ("lib/a.ts", "../app", "boot", 4), ("lib/b.ts", "./missing", "run", 5), ("lib/a.ts", "./c.ts", "far", 6),
-))
-KNOWN = Values("file_path string", tuple((p,) for p in ("lib/a.ts", "lib/b.ts", "app/help.ts", "app/c.ts", "lib/c.ts", "app/d.ts", "zoo/e.ts", "app/index.js", "lib/b.js", "main.py")))
+)))
+KNOWN = every_part(Values("file_path string", tuple((p,) for p in ("lib/a.ts", "lib/b.ts", "app/help.ts", "app/c.ts", "lib/c.ts", "app/d.ts", "zoo/e.ts", "app/index.js", "lib/b.js", "main.py"))))
 
 
+def of_suppliers(x: Grouped) -> Grouped:
+    return replace(x, table="supplier", key="s_suppkey")
+
+
+def suppliers_sql(sql: str) -> str:
+    return sql.replace("from part ", "from supplier ").replace("p_partkey", "s_suppkey")
+
 
 def commit_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph.commit_groups(inputs.commits(spark, sf_dir))
@@ -75,7 +90,7 @@ def anchor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.import_targets(IMPORTS.df(spark), KNOWN.df(spark)).select("file_path", "source", "target")
+    return graph.import_targets(IMPORTS.df(spark, sf_dir), KNOWN.df(spark, sf_dir)).select("file_path", "source", "target")
 
 
 #: The stem of each relative import: the folder and the source taken together, step by step.
@@ -88,20 +103,19 @@ select i.file_path, i.source, best.target from {IMPORTS.sql()} i left join best
 
 
 def callee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = graph.import_targets(IMPORTS.df(spark), KNOWN.df(spark))
-    return graph.resolved(CALLS.df(spark), FUNCTIONS.df(spark), targets).select("caller_file", "callee_name", "line", "callee_file")
+    targets = graph.import_targets(IMPORTS.df(spark, sf_dir), KNOWN.df(spark, sf_dir))
+    return graph.resolved(CALLS.df(spark, sf_dir), FUNCTIONS.df(spark, sf_dir), targets).select("caller_file", "callee_name", "line", "callee_file")
 
 
-RESOLVE_SQL = f"""with t as ({IMPORT_SQL}), i as (select t.file_path, m.name, t.target, m.ord from t join {IMPORTS.sql()} m on m.file_path = t.file_path and m.source = t.source)
-select caller_file, callee_name, line, coalesce(
-  (select caller_file from {FUNCTIONS.sql()} f where f.file_path = caller_file and f.name = callee_name limit 1),
-  (select max_by(target, ord) from i where i.file_path = caller_file and i.name = callee_name and target is not null),
-  (select min_by(f.file_path, ord) from {FUNCTIONS.sql()} f where f.name = callee_name and regexp_extract(f.file_path, '^(.*/)[^/]*$', 1) = regexp_extract(caller_file, '^(.*/)[^/]*$', 1)),
-  (select min_by(f.file_path, ord) from {FUNCTIONS.sql()} f where f.name = callee_name), '<external>') as callee_file from {CALLS.sql()}"""
+RESOLVE_SQL = f"""with t as ({IMPORT_SQL}), c as (select *, regexp_extract(caller_file, '^(.*/)[^/]*$', 1) as folder from {CALLS.sql()}), f as (select *, regexp_extract(file_path, '^(.*/)[^/]*$', 1) as folder from {FUNCTIONS.sql()}),
+i as (select t.file_path, m.name, max_by(t.target, m.ord) as target from t join {IMPORTS.sql()} m on m.file_path = t.file_path and m.source = t.source where t.target is not null group by all),
+own as (select distinct file_path, name from f), beside as (select folder, name, min_by(file_path, (ord, file_path)) as file_path from f group by all), anywhere as (select name, min_by(file_path, (ord, file_path)) as file_path from f group by name)
+select c.caller_file, c.callee_name, c.line, coalesce(o.file_path, i.target, b.file_path, a.file_path, '<external>') as callee_file from c left join own o on o.file_path = c.caller_file and o.name = c.callee_name
+left join i on i.file_path = c.caller_file and i.name = c.callee_name left join beside b on b.folder = c.folder and b.name = c.callee_name left join anywhere a on a.name = c.callee_name"""
 
 
 def enclosing_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.enclosing(CALLS.df(spark).withColumnRenamed("caller_file", "file_path"), FUNCTIONS.df(spark)).select("file_path", "callee_name", "line", "caller_name")
+    return graph.enclosing(CALLS.df(spark, sf_dir).withColumnRenamed("caller_file", "file_path"), FUNCTIONS.df(spark, sf_dir)).select("file_path", "callee_name", "line", "caller_name")
 
 
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,15 +260,31 @@ def some_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagram_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = graph.import_targets(IMPORTS.df(spark), KNOWN.df(spark), graph.DIAGRAM_SUFFIXES)
-    calls = graph.resolved(CALLS.df(spark), FUNCTIONS.df(spark), targets)
-    return diagram.architecture(KNOWN.df(spark), calls.select("caller_file", "callee_file"), targets)
+    imports, known, calls, functions = (of_suppliers(x).df(spark, sf_dir) for x in (IMPORTS, KNOWN, CALLS, FUNCTIONS))
+    targets = graph.import_targets(imports, known, graph.DIAGRAM_SUFFIXES)
+    calls = graph.resolved(calls, functions, targets)
+    return diagram.architecture(known, calls.select("caller_file", "callee_file"), targets)
 
 
 def diagram_callgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.call_graph(some_edges(spark, sf_dir))
 
 
+FOLDED = 60
+
+
+def foldable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as calls between files in nested folders."""
+    li = inputs.table(spark, sf_dir, "lineitem")
+    f = lambda k: F.concat(F.lit("lib/m"), (k % 5).cast("string"), F.lit("/k"), (k % 9).cast("string"), F.lit("/s"), k.cast("string"), F.lit(".ts"))
+    return li.select(f(F.col("l_suppkey")).alias("caller_file"), F.lit("f").alias("caller_name"), F.when(F.col("l_partkey") % 11 == 0, "<external>").otherwise(f(F.col("l_partkey"))).alias("callee_file"), F.lit("g").alias("callee_name"), F.col("l_linenumber").cast("int").alias("line"))
+
+
+def diagram_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between folders, as deep as a drawing of 60 lines allows."""
+    return diagram.fitted(foldable(spark, sf_dir), FOLDED)
+
+
 def diagram_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.timeline(inputs.commits(spark, sf_dir))
 
@@ -295,22 +325,29 @@ def boxes_sql(nodes: str) -> str:
 
 
 DRAW = "select concat_ws(chr(10), '{head}', string_agg(line, chr(10) order by part, major, minor, line)) as diagram from l"
-ARCH_SQL = f"""with k as (select *, coalesce(nullif(regexp_extract(file_path, '^(.*)/[^/]*$', 1), ''), 'root') as g from {KNOWN.sql()}), nodes as (select g, g as t, file_path as node, string_split(file_path, '/')[-1] as label from k),
+ARCH_SQL = suppliers_sql(f"""with k as (select *, coalesce(nullif(regexp_extract(file_path, '^(.*)/[^/]*$', 1), ''), 'root') as g from {KNOWN.sql()}), nodes as (select g, g as t, file_path as node, string_split(file_path, '/')[-1] as label from k),
 c as (select distinct caller_file as a, callee_file as b from ({RESOLVE_SQL}) where callee_file <> '<external>' and callee_file <> caller_file), i as (select distinct file_path as a, target as b from ({IMPORT_SQL}) where target is not null and target <> file_path),
 l as ({boxes_sql('nodes')} union all select 1, a, b, '  ' || {ident('a')} || ' --> ' || {ident('b')} from c union all select 2, a, b, '  ' || {ident('a')} || ' -.-> ' || {ident('b')} from i where (a, b) not in (select a, b from c))
-{DRAW.format(head='graph TD')}"""
+{DRAW.format(head='graph TD')}""")
 CALLGRAPH_SQL = f"""with e as (select distinct * from {EDGES_SQL}), x as (select *, callee_file <> '<external>' as inside from e),
 nodes as (select f as g, string_split(f, '/')[-1] as t, f || '::' || n as node, n as label from (select caller_file as f, caller_name as n from x union select callee_file, callee_name from x where inside)),
 l as ({boxes_sql('nodes')} union all (select 1, '0', '0', '  subgraph ext_fns["External"]' from x where not inside limit 1) union all select distinct 1, '1', callee_name, '    ' || {ident("'ext::' || callee_name")} || '["' || callee_name || '"]' from x where not inside
   union all (select 1, '2', '0', '  end' from x where not inside limit 1)
   union all select 2, lpad((row_number() over (order by caller_file, caller_name, callee_file, callee_name, line))::varchar, 12, '0'), '', '  ' || {ident("caller_file || '::' || caller_name")} || ' --> ' || {ident("case when inside then callee_file else 'ext' end || '::' || callee_name")} from x)
 {DRAW.format(head='graph TD')}"""
+FOLDED_SQL = f"""with e as (select concat('lib/m', l_suppkey % 5, '/k', l_suppkey % 9, '/s', l_suppkey, '.ts') as a, case when l_partkey % 11 = 0 then '<external>' else concat('lib/m', l_partkey % 5, '/k', l_partkey % 9, '/s', l_partkey, '.ts') end as b from lineitem),
+p as (select d, case when a = '<external>' then a else array_to_string(string_split(a, '/')[:d], '/') end as a, case when b = '<external>' then b else array_to_string(string_split(b, '/')[:d], '/') end as b, count(*) as n from e, (values (1), (2), (3), (4)) t(d) group by all),
+s as (select d, (select count(distinct x) from (select a as x from p where p.d = t.d union all select b from p where p.d = t.d)) + (select count(*) from p where p.d = t.d and a <> b) as lines from (values (1), (2), (3), (4)) t(d)),
+q as (select a, b, n from p where d = (select max(d) from s where lines <= {FOLDED})), v as (select a as x from q union select b from q),
+l as (select 0 as part, x as major, '' as minor, '  ' || {ident("case when x = '<external>' then 'ext' else x end")} || '["' || case when x = '<external>' then 'External' else x end || '"]' as line from v
+  union all select 1, a, b, '  ' || {ident('a')} || ' -->|' || n || '| ' || {ident("case when b = '<external>' then 'ext' else b end")} from q where a <> b)
+{DRAW.format(head='graph TD')}"""
 TIMELINE_SQL = f"""with o as (select hash, max(date) as date, min(message) as message from {COMMITS_SQL} group by hash order by date desc, hash limit 30)
 select concat_ws(chr(10), 'gitGraph', string_agg('  commit id: "' || substr(hash, 1, 7) || '" tag: "' || substr(message, 1, 50) || '"', chr(10) order by date, hash)) as diagram from o"""
 
 QUERIES = {f.__name__: f for f in (
     commit_file_groups, file_commit_counts, cochange_pairs, cochange_hourly, cochange_top_per_file, file_degree, anchor_files, import_resolution, callee_resolution, enclosing_function, transitive_closure, closure_edges, callers_and_callees,
-    context_walk_islands, hit_or_skeleton_render, render_documents, file_tree, structure_block, standup_top4, standup_digest, diagram_architecture, diagram_callgraph, diagram_commits, diagram_prs,
+    context_walk_islands, hit_or_skeleton_render, render_documents, file_tree, structure_block, standup_top4, standup_digest, diagram_architecture, diagram_callgraph, diagram_folded, diagram_commits, diagram_prs,
 )}
 SQL = {
     "commit_file_groups": f"select hash, min(date) as date, string_agg(distinct file_path, ',' order by file_path) as files from {COMMITS_SQL} group by hash",
@@ -322,7 +359,7 @@ SQL = {
     "anchor_files": f"{DEGREE_SQL} order by degree desc, file_path limit 3",
     "import_resolution": IMPORT_SQL,
     "callee_resolution": RESOLVE_SQL,
-    "enclosing_function": f"""select caller_file as file_path, callee_name, line, coalesce((select min_by(name, (start_line, ord)) from {FUNCTIONS.sql()} f where f.file_path = caller_file and line between start_line and end_line), '<module>') as caller_name from {CALLS.sql()}""",
+    "enclosing_function": f"""select caller_file as file_path, callee_name, line, coalesce(min_by(name, (start_line, ord)), '<module>') as caller_name from {CALLS.sql()} c left join {FUNCTIONS.sql()} f on f.file_path = caller_file and line between start_line and end_line group by all""",
     "transitive_closure": CLOSURE_SQL,
     "closure_edges": f"with c as ({CLOSURE_SQL}) select h.* from {NIGHTLY_SQL} h where (caller_file, caller_name) in (select file, name from c) or (callee_file, callee_name) in (select file, name from c)",
     "callers_and_callees": f"""select 'caller' as side, caller_file as file, caller_name as name, line from {EDGES_SQL} where callee_file = 'lib/s3.ts' and callee_name = 'f3'
@@ -337,6 +374,7 @@ SQL = {
     "standup_digest": DIGEST_SQL,
     "diagram_architecture": ARCH_SQL,
     "diagram_callgraph": CALLGRAPH_SQL,
+    "diagram_folded": FOLDED_SQL,
     "diagram_commits": TIMELINE_SQL,
     "diagram_prs": PRS_SQL,
 }

@@ -63,6 +63,27 @@ class Spread:
         return f"(select {self.columns.replace('; ', ', ')} from {self.table} join {numbered.sql()} on ({self.key}) % {n} = case_)"
 
 
+@dataclass(frozen=True)
+class Grouped:
+    """Literal rows for each row of a given table, whose key is the folder that the paths among them are in."""
+
+    cases: Values
+    table: str
+    key: str
+    paths: tuple[str, ...] = ("file_path",)
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        kinds = [x.split(" ", 1) for x in self.cases.schema.split(", ")]
+        rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, kinds))) for r in self.cases.rows))
+        folder = F.concat(F.lit("g"), F.col(self.key).cast("string"), F.lit("/"))
+        each = table(spark, sf_dir, self.table).select(folder.alias("folder_"), F.explode(rows).alias("r"))
+        return each.select(*(F.concat("folder_", f"r.{n}").alias(n) if n in self.paths else F.col(f"r.{n}") for n, _ in kinds))
+
+    def sql(self) -> str:
+        names = [x.split(" ", 1)[0] for x in self.cases.schema.split(", ")]
+        return f"(select {', '.join(f'concat(chr(103), {self.key}, chr(47), {n}) as {n}' if n in self.paths else n for n in names)} from {self.table} cross join {self.cases.sql()})"
+
+
 EXT = {"en": ".ts", "de": ".py", "fr": ".md"}
 EXT_SQL = "case lang when 'en' then '.ts' when 'de' then '.py' when 'fr' then '.md' else '.sql' end"
 FILES_SQL = f"(select concat(source, '/d', doc_id % 10, '/f', doc_id, {EXT_SQL}) as file_path, text as content, doc_id, lang, source from documents)"

@@ -116,7 +116,6 @@ EXPECTED = {
     ".py": [("class", "Box{k}", "", 2, 4), ("method", "open", "Box{k}", 3, 4), ("function", "{f}", "", 6, 7), ("import", ".p{n}", "", 1, 1), ("import_name", "{g}", ".p{n}", 1, 1), ("call", "{g}", "", 4, 4), ("call", "{f}", "", 7, 7)],
     ".go": [("class", "Box{k}", "", 2, 3), ("method", "Open", "Box{k}", 4, 6), ("function", "{f}", "", 7, 9), ("import", "p{n}", "", 1, 1), ("call", "{g}", "", 5, 5), ("call", "{f}", "", 8, 8)],
 }
-EXTENSIONS = list(SOURCES)
 
 
 def filled(text: Column) -> Column:
@@ -128,12 +127,12 @@ def filled(text: Column) -> Column:
     return text
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as source files of four languages, each of which calls the next one's function and its own."""
+def sources(spark: SparkSession, sf_dir: str, of: dict[str, str] = SOURCES) -> DataFrame:
+    """Parts as source files of some languages, each of which calls the next one's function, and some their own."""
     k = F.col("p_partkey")
     pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
-    path = F.concat(F.lit("gen/d"), (k % 10).cast("string"), F.lit("/p"), k.cast("string"), pick(EXTENSIONS))
-    return inputs.table(spark, sf_dir, "part").select(path.alias("file_path"), filled(pick(SOURCES.values())).alias("content"))
+    path = F.concat(F.lit("gen/d"), (k % 10).cast("string"), F.lit("/p"), k.cast("string"), pick(of))
+    return inputs.table(spark, sf_dir, "part").select(path.alias("file_path"), filled(pick(of.values())).alias("content"))
 
 
 def filled_sql(x: str) -> str:
@@ -142,13 +141,61 @@ def filled_sql(x: str) -> str:
     return x
 
 
-PARTS_SQL = f"(select p_partkey as k, e.ext, concat('gen/d', p_partkey % 10, '/p', p_partkey, e.ext) as file_path from part join (values {', '.join(f'''({i}, '{x}')''' for i, x in enumerate(EXTENSIONS))}) e(i, ext) on p_partkey % {len(EXTENSIONS)} = e.i)"
-SYMBOLS_SQL = f"""select file_path, kind, {filled_sql('name')} as name, {filled_sql('owner')} as owner, start_line, end_line, ord from {PARTS_SQL}
-join (values {', '.join(f"('{x}', '{kind}', '{name}', '{owner}', {a}, {b}, {i})" for x, found in EXPECTED.items() for i, (kind, name, owner, a, b) in enumerate(found))}) s(of, kind, name, owner, start_line, end_line, ord) on of = ext"""
+def parts_sql(of: dict[str, str]) -> str:
+    return f"(select p_partkey as k, e.ext, concat('gen/d', p_partkey % 10, '/p', p_partkey, e.ext) as file_path from part join (values {', '.join(f"({i}, '{x}')" for i, x in enumerate(of))}) e(i, ext) on p_partkey % {len(of)} = e.i)"
+
+
+def symbols_sql(of: dict[str, str], expected: dict[str, list]) -> str:
+    return f"""select file_path, kind, {filled_sql('name')} as name, {filled_sql('owner')} as owner, start_line, end_line, ord from {parts_sql(of)}
+join (values {', '.join(f"('{x}', '{kind}', '{name}', '{owner}', {a}, {b}, {i})" for x, found in expected.items() for i, (kind, name, owner, a, b) in enumerate(found))}) s(of, kind, name, owner, start_line, end_line, ord) on of = ext"""
+
+
+PARTS_SQL, SYMBOLS_SQL = parts_sql(SOURCES), symbols_sql(SOURCES, EXPECTED)
 
 
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.symbols(sources(spark, sf_dir))
+    return symbols.symbols(sources(spark, sf_dir)).where("kind <> 'param'")
+
+
+#: Source files whose strings and comments hold brackets and declarations: none of these counts.
+LEXED = {
+    ".tsx": "import {\n  {g}, // } no\n} from './p{n}';\nclass Box{k} {\n  s = \"}{\";\n  open(x) {\n    return /[}]/.test(x) ? `}${ {g}(`${x}`) }` : 0;\n  }\n}\nexport const {f} = async (a, { p, q }, b = 1) => {\n  {g}(a);\n};\n",
+    ".js": "/* function no() { */\nfunction {f}(\n  a,\n  b,\n) {\n  if (a) { {g}('}'); }\n}\nexports.{f} = {f};\n",
+    ".py": 'from .p{n} import (\n    {g},\n)\ndef {f}(a: dict[str, int], *rest, k=")"):\n    """doc\nclass No:\n"""\n    return {g}(a)\n',
+    ".rs": "use p{n}::{{g}};\n/* a /* b } */ { */\nstruct Box{k}(u8);\nimpl Box{k} {\n    fn {f}(&self, x: &'static str) -> [u8; 2] {\n        let c = '}';\n        {g}(r#\"} \"{\"#)\n    }\n}\n",
+    ".java": "import p{n}.{g};\nclass Box{k} {\n  String s = \"}\"; // }\n  public int {f}(Map<String, Integer> a, int b) {\n    return {g}('{');\n  }\n}\n",
+    ".c": "#include \"p{n}.h\"\n// int no() {\nstruct Box{k} { int a; };\nstatic int {f}(int a, char *b) {\n  char c = '}';\n  return {g}(\"}{\");\n}\n",
+    ".go": "import (\n\t\"p{n}\"\n)\nfunc {f}(a, b int) {\n\ts := `}\n}`\n\t{g}(s)\n}\n",
+}
+FOUND = {
+    ".tsx": [("class", "Box{k}", "", 4, 9), ("method", "open", "Box{k}", 6, 8), ("function", "{f}", "", 10, 12), ("import", "./p{n}", "", 1, 1), ("import_name", "{g}", "./p{n}", 1, 1), ("call", "test", "", 7, 7), ("call", "{g}", "", 7, 7), ("export", "{f}", "", 10, 10), ("call", "{g}", "", 11, 11), ("param", "a", "{f}", 10, 10), ("param", "{ p, q }", "{f}", 10, 10), ("param", "b", "{f}", 10, 10)],
+    ".js": [("function", "{f}", "", 2, 7), ("call", "{g}", "", 6, 6), ("export", "{f}", "", 8, 8), ("param", "a", "{f}", 2, 2), ("param", "b", "{f}", 2, 2)],
+    ".py": [("function", "{f}", "", 4, 8), ("import", ".p{n}", "", 1, 1), ("import_name", "{g}", ".p{n}", 1, 1), ("call", "{g}", "", 8, 8), ("param", "a", "{f}", 4, 4), ("param", "*rest", "{f}", 4, 4), ("param", "k", "{f}", 4, 4)],
+    ".rs": [("class", "Box{k}", "", 3, 3), ("method", "{f}", "Box{k}", 5, 8), ("import", "p{n}", "", 1, 1), ("import_name", "{g}", "p{n}", 1, 1), ("call", "{g}", "", 7, 7), ("param", "&self", "{f}", 5, 5), ("param", "x", "{f}", 5, 5)],
+    ".java": [("class", "Box{k}", "", 2, 7), ("method", "{f}", "Box{k}", 4, 6), ("import", "p{n}.{g}", "", 1, 1), ("call", "{g}", "", 5, 5), ("param", "Map", "{f}", 4, 4), ("param", "int", "{f}", 4, 4)],
+    ".c": [("class", "Box{k}", "", 3, 3), ("function", "{f}", "", 4, 7), ("import", "p{n}.h", "", 1, 1), ("call", "{g}", "", 6, 6), ("param", "int", "{f}", 4, 4), ("param", "char", "{f}", 4, 4)],
+    ".go": [("function", "{f}", "", 4, 8), ("import", "p{n}", "", 2, 2), ("call", "{g}", "", 7, 7), ("param", "a", "{f}", 4, 4), ("param", "b", "{f}", 4, 4)],
+}
+
+
+def lexed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and parameters of parts as source files of seven languages."""
+    return symbols.symbols(sources(spark, sf_dir, LEXED))
+
+
+LEXED_SQL = symbols_sql(LEXED, FOUND)
+
+
+def code_windows_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of four lines of all source files, with the names that each meets."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    cut = sources(spark, sf_dir).select("file_path", n.alias("i")).select("file_path", (F.col("i") * 3 + 1).alias("start_line"), (F.col("i") * 3 + 4).alias("end_line"), (F.col("i") == 3).alias("is_summary"))
+    return chunk.tagged(cut, code_symbols(spark, sf_dir), 4).select("file_path", "start_line", *(F.array_join(c, ",").alias(c) for c in chunk.TAGS))
+
+
+TAGGED_SQL = f"""with s as ({SYMBOLS_SQL}), c as (select file_path, i * 3 + 1 as a, i * 3 + 4 as b, i = 3 as whole from {PARTS_SQL} cross join (values (0), (1), (2), (3)) t(i))
+select c.file_path, a as start_line, {', '.join(f"coalesce(string_agg(name, ',' order by ord) filter (kind in ({', '.join(repr(k) for k in kinds)})), '') as {tag}" for tag, kinds in chunk.TAGS.items())}
+from c left join s on s.file_path = c.file_path and s.start_line <= b and s.end_line >= a and not whole group by c.file_path, a"""
 
 
 def code_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +300,7 @@ p as (select id, i, trim(substr(line, 6)) as path from l where starts_with(line,
 select id, place, path from r where place <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    store_upserts, store_edges, store_pulls, store_cleared, ann_some_lists, code_symbols, code_call_edges, knn_with_symbols, symbol_candidates, window_sizes, activity_windows, result_dates, neighbour_budgets, triage_paths,
+    store_upserts, store_edges, store_pulls, store_cleared, ann_some_lists, code_symbols, lexed_symbols, code_windows_tagged, code_call_edges, knn_with_symbols, symbol_candidates, window_sizes, activity_windows, result_dates, neighbour_budgets, triage_paths,
 )}
 SQL = {
     "store_upserts": f"select file_path, start_line, end_line, content_md5 from ({windows_sql(8, 2)}) where file_path in (select file_path from {FILES_SQL} where doc_id % 11 <> 0)",
@@ -261,6 +308,8 @@ SQL = {
     "store_pulls": "select page_id::integer as pr_number, url as title, case when ends_with(url, '7') or ends_with(url, '3') then 'merged' end as state from pages",
     "store_cleared": CLEARED_SQL,
     "code_symbols": SYMBOLS_SQL,
+    "lexed_symbols": LEXED_SQL,
+    "code_windows_tagged": TAGGED_SQL,
     "code_call_edges": CALLS_SQL,
     "knn_with_symbols": f"select vec_id, round(score, 6) as score from ({NEAR_SQL.format(where=DEFINING)})",
     "symbol_candidates": MORE_SQL,
