@@ -94,7 +94,8 @@ def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame, share:
     beside = first.groupBy(F.col("name").alias("callee_name"), folder(F.col("file_path")).alias("folder")).agg(F.min(F.struct("ord", "file_path"))["file_path"].alias("beside"))
     joined = kept.join(own, ["caller_file", "callee_name"], "left").join(imported, ["caller_file", "callee_name"], "left")
     for table, keys in ((anywhere, ["callee_name"]), (beside, ["callee_name", "folder"])):
-        joined = looked_up(joined, table, keys, frequent(kept, keys, total, share, least))
+        # of fewer calls than ``least`` in all, none can have that many
+        joined = joined.join(table, keys, "left") if total < least else looked_up(joined, table, keys, frequent(kept, keys, total, share, least))
     return joined.withColumn("callee_file", F.coalesce(F.when(F.col("own"), F.col("caller_file")), "imported", "beside", "anywhere", F.lit(EXTERNAL))).drop("own", "imported", "anywhere", "beside", "folder")
 
 
