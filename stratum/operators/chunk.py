@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import paths
-from stratum.operators.graph import bins
+from stratum.operators.graph import bins, shuffled
 
 CODE, DOCUMENT = (256, 50), (1024, 100)
 HEAD, TAIL, LEAST = 80, 40, 20
@@ -68,8 +68,8 @@ def tagged(chunks: DataFrame, symbols: DataFrame, size: int = 256) -> DataFrame:
     ranged = wanted.select("file_path", "ord", "kind", "name", F.col("start_line").alias("first"), F.col("end_line").alias("last"), bins(F.col("start_line"), F.col("end_line"), size).alias("bin"))
     overlap = (F.col("first") <= F.col("end_line")) & (F.col("last") >= F.col("start_line"))
     once = F.col("bin") == F.floor(F.greatest("first", "start_line") / size)
-    met = dealt.join(ranged, ["file_path", "bin"]).where(overlap & once)
+    met = dealt.join(shuffled(ranged), ["file_path", "bin"]).where(overlap & once)
     by_window = met.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "name", "first", "last"))).alias("symbols"))
-    joined = chunks.join(by_window.withColumn("is_summary", F.lit(False)), [*place, "is_summary"], "left")
+    joined = chunks.join(shuffled(by_window.withColumn("is_summary", F.lit(False))), [*place, "is_summary"], "left")
     names = lambda kinds: F.coalesce(F.transform(F.filter("symbols", lambda s: s.kind.isin(*kinds)), lambda s: s["name"]), F.array().cast("array<string>"))
     return joined.withColumns({tag: names(kinds) for tag, kinds in TAGS.items()}).select(*chunks.columns, *TAGS)

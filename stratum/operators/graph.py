@@ -19,6 +19,12 @@ INDEX_FILES = ["index.ts", "index.js", "index.tsx"]
 BIN = 512
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """The table as a side of a join that is shuffled and merged. Spark guesses a table's size by that of its files, so one that grows
+    out of a few short rows passes for small, is broadcast, and takes all of the driver's memory."""
+    return table.hint("merge")
+
+
 def bins(first: Column, last: Column, size: int = BIN) -> Column:
     """A row for each bin that the lines meet; none for a range that ends before it begins."""
     low, high = F.floor(first / size).cast("int"), F.floor(last / size).cast("int")
@@ -36,7 +42,7 @@ def enclosing(calls: DataFrame, functions: DataFrame, size: int = BIN) -> DataFr
     first = dealt.groupBy("file_path", "bin", low.alias("low"), high.alias("high")).agg(F.min(F.struct("start_line", "ord", "end_line", "name")).alias("first"))
     spans = first.groupBy("file_path", "bin").agg(F.collect_list(F.struct("first", "low", "high")).alias("spans"))
     found = F.filter("spans", lambda s: (s.low <= F.col("line")) & (s.high >= F.col("line")))
-    joined = calls.withColumn("bin", F.floor(F.col("line") / size).cast("int")).join(spans, ["file_path", "bin"], "left")
+    joined = calls.withColumn("bin", F.floor(F.col("line") / size).cast("int")).join(shuffled(spans), ["file_path", "bin"], "left")
     return joined.withColumn("caller_name", F.coalesce(F.array_min(F.transform(found, lambda s: s.first))["name"], F.lit("<module>"))).drop("spans", "bin")
 
 
@@ -48,28 +54,38 @@ def frequent(rows: DataFrame, keys: list[str], total: int, share: int = 1000, le
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """``rows`` left joined with ``table``, which has a row a key. Rows of the ``hot`` keys stay where they are and get theirs by a
     broadcast; the others are shuffled by key, of which none has many rows then."""
-    few = F.broadcast(hot.join(table, keys, "left"))
-    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
+    few = F.broadcast(hot.join(table.join(F.broadcast(hot), keys, "left_semi"), keys, "left"))
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(shuffled(table), keys, "left")
     return rows.join(few, keys).unionByName(rest)
 
 
+def stem() -> Column:
+    """What a relative import (file_path, source) means up to its suffix; null for any other."""
+    folder = F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1)
+    return F.when(F.col("source").startswith("."), paths.normalized(F.concat(folder, F.col("source"))))
+
+
+def endings(suffixes: list[str]) -> list[str]:
+    """What may follow the stem of an import, in order."""
+    return [*suffixes, *("/" + x for x in INDEX_FILES)]
+
+
 def tries(suffixes: list[str]) -> Column:
     """What a relative import (file_path, source) may mean, in order; null for any other."""
-    folder = F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1)
-    stem = paths.normalized(F.concat(folder, F.col("source")))
-    return F.when(F.col("source").startswith("."), F.transform(F.array(*map(F.lit, [*suffixes, *("/" + x for x in INDEX_FILES)])), lambda x: F.concat(stem, x)))
+    return F.transform(F.when(stem().isNotNull(), F.array(*map(F.lit, endings(suffixes)))), lambda x: F.concat(stem(), x))
 
 
 def import_targets(imports: DataFrame, files: DataFrame, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """imports (file_path, source, ...) with ``target``, the file that a relative source means, or null.
 
-    Each import is exploded to its few candidates, and the first that is a file counts.
+    Each file says for which stems it stands, two or three, and in which place; of a stem's files the first counts. So an import is a
+    row of one join, however many suffixes there are.
     """
-    keyed = imports.withColumn("import_id", F.struct("file_path", "source"))
-    options = keyed.select("import_id", F.posexplode(tries(suffixes)).alias("place", "candidate")).distinct()
-    known = files.select(F.col("file_path").alias("candidate")).distinct()
-    best = options.join(known, "candidate").groupBy("import_id").agg(F.min_by("candidate", "place").alias("target"))
-    return keyed.join(best, "import_id", "left").drop("import_id")
+    path = F.col("file_path")
+    stands = F.array(*(F.when(path.endswith(x), F.struct(F.substr(path, F.lit(1), F.length(path) - len(x)).alias("_stem"), F.lit(i).alias("place"))) for i, x in enumerate(endings(suffixes))))
+    known = files.select(path.alias("target"), F.explode(F.filter(stands, lambda x: x.isNotNull())).alias("s")).select("target", "s.*")
+    best = known.groupBy("_stem").agg(F.min_by("target", "place").alias("target"))
+    return imports.withColumn("_stem", stem()).join(shuffled(best), "_stem", "left").drop("_stem")
 
 
 def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame, share: int = 1000, least: int = 500) -> DataFrame:
@@ -92,10 +108,10 @@ def resolved(calls: DataFrame, functions: DataFrame, imports: DataFrame, share:
     first = functions.groupBy("name", "file_path").agg(F.min("ord").alias("ord"))
     anywhere = first.groupBy(F.col("name").alias("callee_name")).agg(F.min(F.struct("ord", "file_path"))["file_path"].alias("anywhere"))
     beside = first.groupBy(F.col("name").alias("callee_name"), folder(F.col("file_path")).alias("folder")).agg(F.min(F.struct("ord", "file_path"))["file_path"].alias("beside"))
-    joined = kept.join(own, ["caller_file", "callee_name"], "left").join(imported, ["caller_file", "callee_name"], "left")
+    joined = kept.join(shuffled(own), ["caller_file", "callee_name"], "left").join(shuffled(imported), ["caller_file", "callee_name"], "left")
     for table, keys in ((anywhere, ["callee_name"]), (beside, ["callee_name", "folder"])):
         # of fewer calls than ``least`` in all, none can have that many
-        joined = joined.join(table, keys, "left") if total < least else looked_up(joined, table, keys, frequent(kept, keys, total, share, least))
+        joined = joined.join(shuffled(table), keys, "left") if total < least else looked_up(joined, table, keys, frequent(kept, keys, total, share, least))
     return joined.withColumn("callee_file", F.coalesce(F.when(F.col("own"), F.col("caller_file")), "imported", "beside", "anywhere", F.lit(EXTERNAL))).drop("own", "imported", "anywhere", "beside", "folder")
 
 

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table of which much is made that a task gets, about.
+DEALT = 20_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as their number asks for: files of short rows are a task or two, whatever is made of each row."""
+    n = -(-rows.count() // DEALT)
+    return rows.repartition(n, key) if n > 1 else rows
+
+
 @dataclass(frozen=True)
 class Values:
     """A small literal table: "name type, ..." and rows; the same in Spark and in SQL."""
@@ -76,7 +86,7 @@ class Grouped:
         kinds = [x.split(" ", 1) for x in self.cases.schema.split(", ")]
         rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, kinds))) for r in self.cases.rows))
         folder = F.concat(F.lit("g"), F.col(self.key).cast("string"), F.lit("/"))
-        each = table(spark, sf_dir, self.table).select(folder.alias("folder_"), F.explode(rows).alias("r"))
+        each = dealt(table(spark, sf_dir, self.table).select(self.key), self.key).select(folder.alias("folder_"), F.explode(rows).alias("r"))
         return each.select(*(F.concat("folder_", f"r.{n}").alias(n) if n in self.paths else F.col(f"r.{n}") for n, _ in kinds))
 
     def sql(self) -> str:
