@@ -132,7 +132,7 @@ def sources(spark: SparkSession, sf_dir: str, of: dict[str, str] = SOURCES) -> D
     k = F.col("p_partkey")
     pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
     path = F.concat(F.lit("gen/d"), (k % 10).cast("string"), F.lit("/p"), k.cast("string"), pick(of))
-    return inputs.table(spark, sf_dir, "part").select(path.alias("file_path"), filled(pick(of.values())).alias("content"))
+    return inputs.dealt(inputs.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(path.alias("file_path"), filled(pick(of.values())).alias("content"))
 
 
 def filled_sql(x: str) -> str:
@@ -200,7 +200,10 @@ from c left join s on s.file_path = c.file_path and s.start_line <= b and s.end_
 
 def code_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From source files to calls by caller, callee and the file that the callee is in."""
-    return graph.call_edges(code_symbols(spark, sf_dir))
+    found = code_symbols(spark, sf_dir)
+    at = scratch.folder(spark, "symbols")  # read many times, so parsed once
+    found.write.parquet(at)
+    return graph.call_edges(spark.read.schema(found.schema).parquet(at))
 
 
 CALLS_SQL = f"""with s as ({SYMBOLS_SQL}), f as (select *, regexp_extract(file_path, '^(.*/)', 1) as folder from s where kind in ('function', 'method')),
