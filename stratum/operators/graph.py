@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum import scratch
 from stratum.functions import paths, text
+from stratum.operators import shared
 from stratum.schemas import EXTERNAL
 
 # What an import without a suffix may mean, in order.
@@ -211,45 +212,92 @@ def commit_groups(commits: DataFrame) -> DataFrame:
     return commits.where("file_path <> ''").groupBy("hash").agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.min("date").alias("date"))
 
 
-#: Files of a commit that one task pairs with all of its files.
-DEALT = 256
+#: Classes of files of a block, and commits in all of them, about.
+BLOCK, BLOCK_COMMITS = 2048, 2_000_000
 
 
-def co_change(commits: DataFrame, now: Column, half_life: float = 365.0, min_commits: int = 3, min_shared: int = 3, min_rate: float = 0.5, top: int | None = 500) -> DataFrame:
+def histories(commits: DataFrame, now: Column, half_life: float, min_commits: int) -> DataFrame:
+    """file_path, own: its commits as numbers with the decay of each, and key: a hash of the numbers; of files of ``min_commits`` at least. Written."""
+    spark = commits.sparkSession
+    rows = commits.where("file_path <> ''").groupBy("hash", "file_path").agg(F.min("date").alias("date"))
+    dates, at = scratch.folder(spark, "dates"), scratch.folder(spark, "histories")
+    # commits by number, written so that the numbers stay
+    rows.groupBy("hash").agg(F.min("date").alias("date")).select("hash", F.monotonically_increasing_id().alias("c"), text.decay(F.col("date"), now, half_life).alias("w")).write.parquet(dates)
+    numbered = rows.select("hash", "file_path").join(spark.read.schema("hash string, c long, w double").parquet(dates), "hash")
+    own = numbered.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("own")).where(F.size("own") >= min_commits)
+    out = own.withColumn("key", F.sha2(F.array_join(F.transform("own.c", lambda c: c.cast("string")), ",").cast("binary"), 256))
+    out.write.parquet(at)
+    return spark.read.schema(out.schema).parquet(at)
+
+
+def classes_of(files: DataFrame, keep: int) -> DataFrame:
+    """Files of the very same commits as a class: id, key, the first ``keep`` members by name, n commits, and these with their weights, dealt
+    into blocks by the first of them, so that what lies far apart in time doesn't meet. Written."""
+    spark = files.sparkSession
+    first = F.row_number().over(Window.partitionBy("key").orderBy("file_path"))
+    same = files.withColumn("r", first).where(F.col("r") <= keep).groupBy("key").agg(F.array_sort(F.collect_list("file_path")).alias("members"), F.min_by("own", "r").alias("own"))
+    found = same.select(F.monotonically_increasing_id().alias("id"), "key", "members", F.size("own").alias("n"), F.col("own.c").alias("commits"), F.col("own.w").alias("weights"))
+    at, dealt = scratch.folder(spark, "classes"), scratch.folder(spark, "blocks")
+    found.write.parquet(at)
+    known = spark.read.schema(found.schema).parquet(at)
+    size = known.agg(F.count("*").alias("n"), F.sum("n").alias("commits")).first()
+    n = max(1, -(-size.n // BLOCK), -(-(size.commits or 0) // BLOCK_COMMITS))
+    blocks = known.repartitionByRange(n, F.array_min("commits"), F.xxhash64("key")).withColumn("block", F.spark_partition_id())
+    blocks.write.parquet(dealt)
+    return spark.read.schema(blocks.schema).parquet(dealt)
+
+
+def cells(classes: DataFrame) -> DataFrame:
+    """The classes of each pair of blocks (i, j) that have a commit in common, i no greater than j; side says of which block they are."""
+    spark = classes.sparkSession
+    of = classes.select("block", F.explode("commits").alias("c")).distinct()
+    meet = of.withColumnRenamed("block", "i").join(of.withColumnRenamed("block", "j"), "c").where("i <= j").select("i", "j").distinct()
+    columns = ["i", "j", "side", "id", "members", "n", "commits", "weights"]
+    one = classes.join(meet, F.col("block") == F.col("i")).withColumn("side", F.lit(0)).select(*columns)
+    two = classes.join(meet.where("i < j"), F.col("block") == F.col("j")).withColumn("side", F.lit(1)).select(*columns)
+    # a fixed number of parts, as work isn't told by bytes here
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return one.unionByName(two).repartition(n, "i", "j")
+
+
+def co_change(commits: DataFrame, now: Column, half_life: float = 365.0, min_commits: int = 3, min_shared: int = 3, min_rate: float = 0.5, top: int = 500) -> DataFrame:
     """Pairs of files that often change in the same commits, the heaviest ``top`` of them.
 
-    Files of too few commits go before the join of a commit's files with each other, as in a large history most
-    do. A commit of many files is dealt into parts, of which each meets all of its files. Pairs are first summed into a weight
-    and a count, which hash aggregation does in place; the commits they share first and last are looked up for those
-    that are frequent enough and among the heaviest. weight is the sum of decayed commits, in two decimals; the rate is
-    of the file with fewer commits.
+    Files of too few commits go first. Those of the very same commits are a class, of which ``top`` + 1 members are enough, as a pair with a
+    later one comes after as many of the same weight. Classes meet by blocks: a task sums up what those of two blocks share, and
+    lets go of all but the heaviest. So pairs are never shuffled and memory is bounded; time grows with the pairs of unlike
+    files in blocks that have a commit in common. The commits that a pair shares first and last are looked up for the
+    heaviest only. weight is the sum of decayed commits, in two decimals; the rate is of the file with fewer commits.
     """
     spark = commits.sparkSession
+    met = cells(classes_of(histories(commits, now, half_life, min_commits), top + 1))
+    at = scratch.folder(spark, "pairs")
+    met.groupBy("i", "j").applyInPandas(lambda pdf: shared.heaviest_pairs(pdf, top, min_shared, min_rate), shared.PAIRS).write.parquet(at)
+    order = [F.desc("weight"), "file_a", "file_b"]
+    best = spark.read.schema(shared.PAIRS).parquet(at).orderBy(*order).limit(top)
     rows = commits.where("file_path <> ''").groupBy("hash", "file_path").agg(F.min("date").alias("date"))
-    counts = rows.groupBy("file_path").agg(F.count("*").alias("n")).where(F.col("n") >= min_commits)
-    # files by number, written so that the numbers stay; pairs of numbers are summed several times as fast as pairs of paths
-    at = scratch.folder(spark, "files")
-    counts.withColumn("id", F.monotonically_increasing_id()).write.parquet(at)
-    counts = spark.read.schema("file_path string, n long, id long").parquet(at)
-    dates = rows.groupBy("hash").agg(F.min("date").alias("date"), F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / DEALT).cast("long")
-    kept = rows.drop("date").join(counts, "file_path").join(dates, "hash")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    a = kept.select("hash", F.pmod(F.xxhash64("id"), parts).alias("part"), text.decay(F.col("date"), now, half_life).alias("decayed"), F.col("id").alias("a"))
-    b = kept.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("b"))
-    # a fixed number of parts, as the pairs are many more than what they are made of
-    met = a.repartition(n, "hash", "part").join(b.repartition(n, "hash", "part"), ["hash", "part"]).where("a < b")
-    pairs = met.groupBy("a", "b").agg(F.sum("decayed").alias("weight"), F.count("*").alias("raw_count")).where(F.col("raw_count") >= min_shared)
-    named = lambda k: counts.select(F.col("id").alias(k), F.col("file_path").alias(f"file_{k}"), F.col("n").alias(f"n_{k}"))
-    rated = pairs.join(named("a"), "a").join(named("b"), "b").where(F.col("raw_count") / F.least("n_a", "n_b") >= min_rate)
-    often = rated.select(F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b"), F.round("weight", 2).alias("weight"), "raw_count")
-    best = often if top is None else often.orderBy(F.desc("weight"), "file_a", "file_b").limit(top)
-    files = rows.select("hash", "file_path").join(dates.drop("size"), "hash")
-    one, two = files.withColumnRenamed("file_path", "file_a"), rows.select("hash", F.col("file_path").alias("file_b"))
+    dates = rows.groupBy("hash").agg(F.min("date").alias("date"))
+    named = best.select(F.explode(F.array("file_a", "file_b")).alias("file_path")).distinct()
+    files = rows.select("hash", "file_path").join(F.broadcast(named), "file_path", "left_semi").join(dates, "hash")
+    one, two = files.withColumnRenamed("file_path", "file_a"), files.select("hash", F.col("file_path").alias("file_b"))
     when = F.struct("date", "hash")
-    ends = best.select("file_a", "file_b").join(one, "file_a").join(two, ["file_b", "hash"]).groupBy("file_a", "file_b").agg(F.max(when).alias("latest"), F.min(when).alias("earliest"))
+    ends = one.join(F.broadcast(best.select("file_a", "file_b")), "file_a").join(two, ["file_b", "hash"]).groupBy("file_a", "file_b").agg(F.max(when).alias("latest"), F.min(when).alias("earliest"))
     found = best.join(ends, ["file_a", "file_b"]).select("file_a", "file_b", "weight", "raw_count", *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("latest", "earliest") for c in ("hash", "date")))
-    return found if top is None else found.orderBy(F.desc("weight"), "file_a", "file_b")
+    return found.orderBy(*order)
+
+
+def heaviest(commits: DataFrame, now: Column, per_file: int = 5, half_life: float = 365.0, min_commits: int = 3, min_shared: int = 3, min_rate: float = 0.5) -> DataFrame:
+    """file_path, other, weight, rank: the heaviest co-changes of each file, of all of its pairs, which are summed up as in ``co_change``.
+
+    A class needs one more than that many others, as a file is no other of its own.
+    """
+    files = histories(commits, now, half_life, min_commits)
+    classes = classes_of(files, per_file + 1)
+    of_cells = cells(classes).groupBy("i", "j").applyInPandas(lambda pdf: shared.heaviest_others(pdf, per_file + 1, min_shared, min_rate), shared.OTHERS)
+    place = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "other"))
+    best = of_cells.withColumn("rank", place("id")).where(F.col("rank") <= per_file + 1).drop("rank").join(classes.select("id", "key"), "id")
+    others = files.select("file_path", "key").join(shuffled(best), "key").where("file_path <> other").select("file_path", "other", "weight")
+    return others.withColumn("rank", place("file_path")).where(F.col("rank") <= per_file)
 
 
 def co_change_edges(pairs: DataFrame) -> DataFrame:
@@ -259,9 +307,3 @@ def co_change_edges(pairs: DataFrame) -> DataFrame:
         F.col("file_a").alias("caller_file"), label.alias("caller_name"), F.col("file_b").alias("callee_file"), label.alias("callee_name"), F.lit(0).alias("line"),
         F.lit("co-change").alias("edge_type"), "weight", "raw_count", "latest_hash", "latest_date", "earliest_hash", "earliest_date",
     )
-
-
-def heaviest(edges: DataFrame, per_file: int = 5) -> DataFrame:
-    """file_path, other, weight, rank: the heaviest co-change edges of each file, from either end."""
-    both = edges.select(F.explode(F.array(F.struct(F.col("caller_file").alias("file_path"), F.col("callee_file").alias("other")), F.struct(F.col("callee_file").alias("file_path"), F.col("caller_file").alias("other")))).alias("e"), "weight").select("e.*", "weight")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("weight"), "other"))).where(F.col("rank") <= per_file)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from stratum.operators import chunk, graph
+from stratum.operators import chunk, graph, shared
 from stratum.plans import inputs
 from stratum.plans.file_queries import SPANS, SYMBOLS
 from stratum.plans.graph_queries import CALLS, FUNCTIONS, IMPORTS, KNOWN
@@ -38,3 +44,50 @@ def test_imports_mean_the_first_file_of_their_stem(spark):
     got = graph.import_targets(spark.createDataFrame(asked, "file_path string, source string"), files).collect()
     want = ["a/b", "a/b.ts", "a/c/index.ts", "a/d.ts", "a/d.ts", None, None, None, None, "a/b"]
     assert sorted(map(str, got)) == sorted(f"Row(file_path={f!r}, source={s!r}, target={t!r})" for (f, s), t in zip(asked, want))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_co_changes_match_a_plain_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    rng = random.Random(seed)
+    of = {f"f{i:02}": {h for h in range(30) if rng.random() < 0.4} for i in range(25)}
+    of |= {f"g{i:02}": of[rng.choice(["f01", "f02", "f03"])] for i in range(20)} | {f"h{i}": set(range(100 * i + 100, 100 * i + 104)) for i in range(2)}
+    rows = [(f"c{h:03}", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=h), f) for f, own in of.items() for h in own for _ in range(rng.choice((1, 1, 2)))]
+    commits = spark.createDataFrame([*rows, ("c000", rows[0][1], "")], "hash string, date timestamp, file_path string")
+    now = F.lit("2024-12-31 00:00:00").cast("timestamp")
+    pairs = []
+    for a in sorted(of):
+        for b in sorted(of):
+            both = of[a] & of[b]
+            if a < b and len(both) >= 3 and len(both) / min(len(of[a]), len(of[b])) >= 0.5:
+                pairs.append((-round(sum(2 ** (-(365 - h) / 365) for h in both), 2), a, b, len(both), f"c{max(both):03}", f"c{min(both):03}"))
+    pairs.sort()
+    for top in (7, 60, 5000):
+        got = [(-r.weight, r.file_a, r.file_b, r.raw_count, r.latest_hash, r.earliest_hash) for r in graph.co_change(commits, now, top=top).collect()]
+        assert got == pairs[:top]
+    of_file = {f: sorted((w, b if a == f else a) for w, a, b, *_ in pairs if f in (a, b))[:5] for f in of}
+    want = sorted((f, o, -w, i + 1) for f, found in of_file.items() for i, (w, o) in enumerate(found))
+    assert sorted(tuple(r) for r in graph.heaviest(commits, now).collect()) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("commits", [12, 40_000])
+def test_shared_commits_of_few_and_of_many_classes(commits):
+    rng = np.random.default_rng(5)
+    table = lambda n: pd.DataFrame({"commits": (own := [np.sort(rng.choice(commits, 9, replace=False)) for _ in range(n)]), "weights": [1 / (2.0 + x) for x in own], "n": 9})
+    one, two = table(40), table(30)
+    weight, count = shared.sums(one, two, most=50)
+    for i, a in enumerate(one.commits):
+        for j, b in enumerate(two.commits):
+            both = np.intersect1d(a, b)
+            assert count[i, j] == len(both) and abs(weight[i, j] - (1 / (2.0 + both)).sum()) < 1e-9
+
+
+def test_co_changes_of_files_in_the_same_commits_are_never_all_paired(spark):
+    files = 30_000  # of the same 30 commits: 450 million pairs
+    commits = spark.range(files * 30).select(F.concat(F.lit("c"), F.col("id") % 30).alias("hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("date"), F.format_string("f%06d", F.floor(F.col("id") / 30)).alias("file_path"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = graph.co_change(commits, now).collect()
+    assert [(r.file_a, r.file_b, r.weight) for r in got] == [("f000000", f"f{i:06}", 30.0) for i in range(1, 501)]
+    best = graph.heaviest(commits, now)
+    assert best.count() == files * 5
+    assert [r.other for r in best.where("file_path = 'f000002'").orderBy("rank").collect()] == ["f000000", "f000001", "f000003", "f000004", "f000005"]
