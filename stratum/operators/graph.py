@@ -180,19 +180,23 @@ def callees_of(edges: DataFrame, file: str, name: str) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes (file, name) that can be reached along edges from the start nodes, these included.
 
-    A breadth-first search: each round joins the frontier with the edges and leaves out what is known. Rounds are
+    A breadth-first search: each round joins the frontier with the edges and leaves out what is known. Edges are reduced to what they
+    join and written once, in a part for each task, so a round is a scan of these; a hop that several edges make is one again where its round's nodes are. Rounds are
     written to the shared folder, so a lost executor costs one round and plans stay small.
     """
     spark = edges.sparkSession
-    at, level = scratch.folder(spark, "graph"), 0
-    hops = edges.where(F.col("callee_file") != EXTERNAL).select(F.col("caller_file").alias("file"), F.col("caller_name").alias("name"), F.col("callee_file").alias("to_file"), F.col("callee_name").alias("to_name")).distinct()
+    at, to, level = scratch.folder(spark, "graph"), scratch.folder(spark, "hops"), 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    hops = edges.where(F.col("callee_file") != EXTERNAL).select(F.col("caller_file").alias("file"), F.col("caller_name").alias("name"), F.col("callee_file").alias("to_file"), F.col("callee_name").alias("to_name"))
+    hops.repartition(n, *hops.columns).write.parquet(to)
+    hops = spark.read.schema(hops.schema).parquet(to)
     start.select("file", "name").distinct().write.parquet(f"{at}/level={level}")
     schema = "file string, name string, level int"
     while True:
         seen = spark.read.schema(schema).parquet(at)
         frontier = seen.where(F.col("level") == level).drop("level")
-        new = frontier.join(hops, ["file", "name"]).select(F.col("to_file").alias("file"), F.col("to_name").alias("name")).distinct().join(seen.drop("level"), ["file", "name"], "left_anti")
-        new.write.parquet(f"{at}/level={level + 1}")
+        met = hops.join(frontier, ["file", "name"]).select(F.col("to_file").alias("file"), F.col("to_name").alias("name")).distinct()
+        met.join(seen.drop("level"), ["file", "name"], "left_anti").write.parquet(f"{at}/level={level + 1}")
         if spark.read.schema("file string, name string").parquet(f"{at}/level={level + 1}").isEmpty():
             return seen.drop("level")
         level += 1

@@ -91,3 +91,16 @@ def test_co_changes_of_files_in_the_same_commits_are_never_all_paired(spark):
     best = graph.heaviest(commits, now)
     assert best.count() == files * 5
     assert [r.other for r in best.where("file_path = 'f000002'").orderBy("rank").collect()] == ["f000000", "f000001", "f000003", "f000004", "f000005"]
+
+
+def test_a_closure_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    edges = spark.range(40).select(F.lit("a.ts").alias("caller_file"), F.concat(F.lit("n"), "id").alias("caller_name"), F.lit("a.ts").alias("callee_file"), F.concat(F.lit("n"), F.col("id") + 10).alias("callee_name"))
+    found = graph.closure(edges.mapInPandas(count, edges.schema), spark.createDataFrame([("a.ts", "n3")], "file string, name string"))
+    assert sorted(r.name for r in found.collect()) == ["n13", "n23", "n3", "n33", "n43"] and read.value == 40
