@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of a table of which much is made that a task gets, about.
 DEALT = 20_000
+#: Line items of a task that joins them.
+ITEMS = 500_000
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
+def dealt(rows: DataFrame, key: str, each: int = DEALT) -> DataFrame:
     """The rows over as many tasks as their number asks for: files of short rows are a task or two, whatever is made of each row."""
-    n = -(-rows.count() // DEALT)
+    n = -(-rows.count() // each)
     return rows.repartition(n, key) if n > 1 else rows
 
 
@@ -107,9 +109,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as commits of the suppliers' files: hash, date, author, message, file_path."""
+    """Orders as commits of the suppliers' files: hash, date, author, message, file_path.
+
+    Line items are dealt by their orders, so they are shuffled once, and a task sorts and sums up as many of them however large the table.
+    """
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    joined = li.select("l_orderkey", "l_suppkey").distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = dealt(li.select("l_orderkey", "l_suppkey"), "l_orderkey", ITEMS).distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"), F.col("o_orderdate").alias("date"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("author"),
         F.concat("o_orderpriority", F.lit(" work on "), F.col("o_orderkey").cast("string")).alias("message"), F.concat(F.lit("lib/m"), (F.col("l_suppkey") % 7).cast("string"), F.lit("/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file_path"),

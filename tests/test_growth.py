@@ -104,3 +104,15 @@ def test_a_closure_reads_its_edges_once(spark):
     edges = spark.range(40).select(F.lit("a.ts").alias("caller_file"), F.concat(F.lit("n"), "id").alias("caller_name"), F.lit("a.ts").alias("callee_file"), F.concat(F.lit("n"), F.col("id") + 10).alias("callee_name"))
     found = graph.closure(edges.mapInPandas(count, edges.schema), spark.createDataFrame([("a.ts", "n3")], "file string, name string"))
     assert sorted(r.name for r in found.collect()) == ["n13", "n23", "n3", "n33", "n43"] and read.value == 40
+
+
+def test_commits_are_shuffled_once_by_orders_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "ITEMS", 1000)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        commits = inputs.commits(spark, DATA)
+        assert plan(commits).count("Exchange") == 2  # one of line items, one of orders
+        assert commits.rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
