@@ -291,7 +291,7 @@ def components_of(base: DataFrame, p: Params, cut: Cut) -> DataFrame:
 
 
 def sets_of(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """id, signature, keys and the whole set, as bytes, of classes."""
+    """id, signature, keys and the whole set, as bytes, of classes. Sets are dealt by id, so they aren't shuffled again to be joined by it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +301,10 @@ def sets_of(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
     # no semi-join, which Spark would move below the sifting
     wanted = sifted(base, ids, "doc_id").join(ids, "doc_id").select("doc_id", "text")
-    return wanted.mapInArrow(sets, "rep long, whole binary, hashes binary").dropDuplicates(["rep", "whole"]).join(classes, ["rep", "whole"]).select("id", "signature", "keys", "hashes")
+    # rows of one id have the same set, whichever row of a repeated doc_id it was made of
+    made = wanted.mapInArrow(sets, "rep long, whole binary, hashes binary").select(F.xxhash64("whole").alias("id"), "hashes")
+    once = made.repartition(parts(base.sparkSession), "id").dropDuplicates(["id"])
+    return once.join(classes.select("id", "signature", "keys"), "id")
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
