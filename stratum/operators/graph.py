@@ -216,8 +216,8 @@ def commit_groups(commits: DataFrame) -> DataFrame:
     return commits.where("file_path <> ''").groupBy("hash").agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.min("date").alias("date"))
 
 
-#: Classes of files of a block, and commits in all of them, about.
-BLOCK, BLOCK_COMMITS = 2048, 2_000_000
+#: Classes of files of a block, and commits in all of them, about; and how many times as many classes a packed block has.
+BLOCK, BLOCK_COMMITS, WIDE = 2048, 2_000_000, 4
 
 
 def histories(commits: DataFrame, now: Column, half_life: float, min_commits: int) -> DataFrame:
@@ -234,7 +234,7 @@ def histories(commits: DataFrame, now: Column, half_life: float, min_commits: in
     return spark.read.schema(out.schema).parquet(at)
 
 
-def classes_of(files: DataFrame, keep: int) -> DataFrame:
+def classes_of(files: DataFrame, keep: int, wide: int = 1) -> DataFrame:
     """Files of the very same commits as a class: id, key, the first ``keep`` members by name, n commits, and these with their weights, dealt
     into blocks by the first of them, so that what lies far apart in time doesn't meet. Written."""
     spark = files.sparkSession
@@ -245,7 +245,7 @@ def classes_of(files: DataFrame, keep: int) -> DataFrame:
     found.write.parquet(at)
     known = spark.read.schema(found.schema).parquet(at)
     size = known.agg(F.count("*").alias("n"), F.sum("n").alias("commits")).first()
-    n = max(1, -(-size.n // BLOCK), -(-(size.commits or 0) // BLOCK_COMMITS))
+    n = max(1, -(-size.n // (BLOCK * wide)), -(-(size.commits or 0) // BLOCK_COMMITS))
     blocks = known.repartitionByRange(n, F.array_min("commits"), F.xxhash64("key")).withColumn("block", F.spark_partition_id())
     blocks.write.parquet(dealt)
     return spark.read.schema(blocks.schema).parquet(dealt)
@@ -264,20 +264,53 @@ def cells(classes: DataFrame) -> DataFrame:
     return one.unionByName(two).repartition(n, "i", "j")
 
 
+def packed_blocks(classes: DataFrame) -> DataFrame:
+    """Each block of classes packed into a row, so that little is shuffled of the many cells that a block is in. Written."""
+    rows = classes.select("block", "id", F.col("members")[0].alias("first"), F.get("members", F.lit(1)).alias("second"), F.col("n").cast("long").alias("n"), "commits", "weights")
+    at = scratch.folder(classes.sparkSession, "packed")
+    rows.groupBy("block").applyInPandas(shared.packed, shared.BLOCKS).write.parquet(at)
+    return classes.sparkSession.read.schema(shared.BLOCKS).parquet(at)
+
+
+def heaviest_classes(blocks: DataFrame, top: int, min_shared: int, min_rate: float) -> DataFrame:
+    """The heaviest ``top`` pairs of classes: of each block first, and then, of no less than these weigh, of each two that have a commit in common."""
+    spark = blocks.sparkSession
+    meet, found = scratch.folder(spark, "cells"), scratch.folder(spark, "found")
+    best = lambda: spark.read.schema(shared.CLASS_PAIRS).parquet(found).orderBy(F.desc("weight"), "file_a", "file_b").limit(top)
+    n = blocks.count()
+    blocks.repartition(max(1, n), "block").groupBy("block").applyInPandas(lambda pdf: shared.heaviest_pairs(pdf, top, min_shared, min_rate), shared.CLASS_PAIRS).write.parquet(found)
+    if n > 1:
+        known = best().agg(F.count("*").alias("n"), F.min("weight").alias("least")).first()
+        floor = round(known.least * 100) if known.n == top else 0
+        of = blocks.select("block", F.explode("commits").alias("c"))
+        of.withColumnRenamed("block", "i").join(of.withColumnRenamed("block", "j"), "c").where("i < j").select("i", "j").distinct().write.parquet(meet)
+        cell = spark.read.schema("i int, j int").parquet(meet)
+        # a part for each cell, about, as each is much work and few bytes
+        both = blocks.join(cell.select("i", "j", F.explode(F.array("i", "j")).alias("block")), "block")
+        parts = both.repartition(max(1, min(cell.count(), 20_000)), "i", "j")
+        parts.groupBy("i", "j").applyInPandas(lambda pdf: shared.heaviest_pairs(pdf, top, min_shared, min_rate, floor), shared.CLASS_PAIRS).write.mode("append").parquet(found)
+    return best()
+
+
 def co_change(commits: DataFrame, now: Column, half_life: float = 365.0, min_commits: int = 3, min_shared: int = 3, min_rate: float = 0.5, top: int = 500) -> DataFrame:
     """Pairs of files that often change in the same commits, the heaviest ``top`` of them.
 
     Files of too few commits go first. Those of the very same commits are a class, of which ``top`` + 1 members are enough, as a pair with a
-    later one comes after as many of the same weight. Classes meet by blocks: a task sums up what those of two blocks share, and
-    lets go of all but the heaviest. So pairs are never shuffled and memory is bounded; time grows with the pairs of unlike
-    files in blocks that have a commit in common. The commits that a pair shares first and last are looked up for the
+    later one comes after as many of the same weight. Classes meet by blocks: a task bounds what those of two blocks share, sums up
+    those that may be the heaviest, and lets go of all others. So pairs are never shuffled and memory is bounded; time grows with the
+    pairs of unlike files in blocks that have a commit in common. A pair of classes counts by its first pair of files, so ``top`` of them are
+    enough, and members are looked up for these only. The commits that a pair shares first and last are looked up for the
     heaviest only. weight is the sum of decayed commits, in two decimals; the rate is of the file with fewer commits.
     """
     spark = commits.sparkSession
-    met = cells(classes_of(histories(commits, now, half_life, min_commits), top + 1))
-    at = scratch.folder(spark, "pairs")
-    met.groupBy("i", "j").applyInPandas(lambda pdf: shared.heaviest_pairs(pdf, top, min_shared, min_rate), shared.PAIRS).write.parquet(at)
-    order = [F.desc("weight"), "file_a", "file_b"]
+    classes = classes_of(histories(commits, now, half_life, min_commits), top + 1, WIDE)
+    at, order = scratch.folder(spark, "pairs"), [F.desc("weight"), "file_a", "file_b"]
+    firsts = heaviest_classes(packed_blocks(classes), top, min_shared, min_rate)
+    sides = firsts.select(F.explode(F.array("one", "two")).alias("id")).distinct()
+    members = classes.select("id", "members").join(F.broadcast(sides), "id", "left_semi")
+    both = firsts.join(members.withColumnRenamed("id", "one"), "one").join(members.select(F.col("id").alias("two"), F.col("members").alias("others")), "two")
+    named = both.select("members", F.when(F.col("one") != F.col("two"), F.col("others")).alias("others"), "weight", "raw_count")
+    named.mapInPandas(lambda batches: shared.members_pairs(batches, top), shared.PAIRS).write.parquet(at)
     best = spark.read.schema(shared.PAIRS).parquet(at).orderBy(*order).limit(top)
     rows = commits.where("file_path <> ''").groupBy("hash", "file_path").agg(F.min("date").alias("date"))
     dates = rows.groupBy("hash").agg(F.min("date").alias("date"))

@@ -82,6 +82,71 @@ def test_shared_commits_of_few_and_of_many_classes(commits):
             assert count[i, j] == len(both) and abs(weight[i, j] - (1 / (2.0 + both)).sum()) < 1e-9
 
 
+def packed_block(block: int, own: list, weights: np.ndarray, twins: int = 0) -> pd.DataFrame:
+    """Classes of commits ``own``, every ``twins``-th of two members."""
+    ids = np.arange(len(own)) + 10_000 * block
+    names = [f"u{i * 7919 % 100_003}" for i in ids]
+    second = [n + "b" if twins and i % twins == 0 else None for n, i in zip(names, ids)]
+    return shared.packed(pd.DataFrame({"block": block, "id": ids, "first": names, "second": second, "n": [len(x) for x in own], "commits": own, "weights": [weights[x] for x in own]}))
+
+
+def plain_heaviest(one: pd.DataFrame, own: list, two: pd.DataFrame, others: list, weights: np.ndarray, top: int, rate: float, least: int) -> list:
+    a, b = (np.zeros((len(x), len(weights))) for x in (own, others))
+    for m, x in ((a, own), (b, others)):
+        for i, c in enumerate(x):
+            m[i, c] = 1
+    count, weight = a @ b.T, np.floor((a * weights) @ b.T * 100 + 0.5)
+    good = (count >= least) & (count / np.minimum.outer(a.sum(1), b.sum(1)) >= rate)
+    (f, s, g), same = (one["first"][0], one.second[0], two["first"][0]), one is two
+    found = [(-weight[i, j] / 100, *sorted((f[i], s[i] if same and i == j else g[j])), count[i, j]) for i, j in zip(*np.nonzero(good)) if not same or i < j or (i == j and s[i])]
+    return sorted(found)[:top]
+
+
+@pytest.mark.parametrize(("classes", "commits", "share", "alike", "rate", "top"), [
+    (700, 720, 0.09, False, 0.1, 50),  # counts bound it, three to a number
+    (700, 720, 0.09, True, 0.1, 50),  # very many of the same weight
+    (300, 720, 0.6, False, 0.5, 50),  # more commits than a byte counts
+    (300, 2500, 0.05, False, 0.1, 20),  # more commits than are taken at once
+    (300, 60_000, 0.0002, False, 0.01, 20),  # few classes have each commit
+    (300, 90, 0.1, False, 0.9, 400),  # few pairs count
+])
+def test_the_heaviest_of_a_cell_match_plain_sums(classes, commits, share, alike, rate, top):
+    rng, least = np.random.default_rng(3), 1 if commits == 60_000 else 3
+    weights = np.full(commits, 0.5) if alike else 2.0 ** -(np.arange(commits) / commits * (3 if commits > 720 else 0.1))
+    draw = lambda: [np.sort(rng.choice(commits, max(3, rng.binomial(commits, share)), replace=False)) for _ in range(classes)]
+    sides = [draw(), draw()]
+    one, two = (packed_block(i, x, weights, 11) for i, x in enumerate(sides))
+    for many in (one, pd.concat([two, one])):
+        other, others = (one, sides[0]) if len(many) == 1 else (two, sides[1])
+        want = plain_heaviest(one, sides[0], other, others, weights, top, rate, least)
+        for floor in (0, round(-want[len(want) // 2][0] * 100)):
+            got = shared.heaviest_pairs(many, top, least, rate, floor, 64)
+            assert [(-r.weight, r.file_a, r.file_b, r.raw_count) for r in got.itertuples()] == [r for r in want if -r[0] * 100 >= floor - 0.5] and len(got)
+
+
+def test_most_pairs_of_unlike_files_are_only_bounded(monkeypatch):
+    monkeypatch.setattr(shared, "sums", None)  # would sum up all pairs in double precision
+    summed = []
+    monkeypatch.setattr(shared.Heaviest, "take", lambda self, a, *more, f=shared.Heaviest.take: (summed.append(len(a)), f(self, a, *more)))
+    rng = np.random.default_rng(4)
+    own = [[np.flatnonzero(rng.random(720) < 0.09) for _ in range(3000)] for _ in range(2)]
+    weights = 2.0 ** -(np.arange(720) / 24 / 365)
+    one, two = (packed_block(i, x, weights) for i, x in enumerate(own))
+    assert len(shared.heaviest_pairs(pd.concat([one, two]), 500, 3, 0.1)) == 500 and sum(summed) < 9_000_000 / 100
+    assert len(one.places[0]) < 1.5 * one.n[0][0] * 3000  # and a commit of a class takes about a byte where blocks are shuffled
+
+
+def test_co_changes_of_several_packed_blocks_match_one(spark, monkeypatch):
+    rng = random.Random(7)
+    commits = spark.createDataFrame([(f"c{h:02}", datetime.datetime(2024, 1, 1 + h // 2), f"f{i:03}") for i in range(120) for h in range(40) if rng.random() < 0.3], "hash string, date timestamp, file_path string")
+    found = []
+    for block in (1000, 4):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        found.append([tuple(r) for r in graph.co_change(commits, F.lit("2024-12-31 00:00:00").cast("timestamp"), min_rate=0.3, top=70).collect()])
+    assert found[0] == found[1] and len(found[0]) == 70
+    assert graph.co_change(commits.where("false"), F.current_timestamp()).collect() == []
+
+
 def test_co_changes_of_files_in_the_same_commits_are_never_all_paired(spark):
     files = 30_000  # of the same 30 commits: 450 million pairs
     commits = spark.range(files * 30).select(F.concat(F.lit("c"), F.col("id") % 30).alias("hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("date"), F.format_string("f%06d", F.floor(F.col("id") / 30)).alias("file_path"))
