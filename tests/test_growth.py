@@ -147,6 +147,15 @@ def test_co_changes_of_several_packed_blocks_match_one(spark, monkeypatch):
     assert graph.co_change(commits.where("false"), F.current_timestamp()).collect() == []
 
 
+def test_blocks_go_by_classes_whatever_parts_are_made(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 50)
+    kind, deal = type(spark.range(0)), type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *cols: deal(self, 40, *cols))
+    commits = spark.range(1200).select(F.concat(F.lit("c"), F.col("id") % 12 + F.floor(F.col("id") / 12)).alias("hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("date"), F.format_string("f%03d", F.floor(F.col("id") / 12)).alias("file_path"))
+    classes = graph.classes_of(graph.histories(commits, F.current_timestamp(), 365.0, 3), 5)
+    assert sorted(r["count"] for r in classes.groupBy("block").count().collect())[0] > 30 and classes.select("block").distinct().count() == 2
+
+
 def test_co_changes_of_files_in_the_same_commits_are_never_all_paired(spark):
     files = 30_000  # of the same 30 commits: 450 million pairs
     commits = spark.range(files * 30).select(F.concat(F.lit("c"), F.col("id") % 30).alias("hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("date"), F.format_string("f%06d", F.floor(F.col("id") / 30)).alias("file_path"))
